@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, toxicity
+from . import bpe, packing, quality, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_toxicity": op2_toxicity, "op6_packing": op6_packing, "op7_bpe": op7_bpe}
+    return {"op2_toxicity": op2_toxicity, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
