@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, packing, quality, topk, toxicity
+from . import bpe, forest, jaccard, packing, quality, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,7 +42,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_toxicity": op2_toxicity, "op3_forest": op3_forest, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_quality": op9_quality}
+    return {"op1_jaccard": op1_jaccard, "op2_toxicity": op2_toxicity, "op3_forest": op3_forest, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
