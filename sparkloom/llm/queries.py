@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, jaccard, packing, quality, topk, toxicity
+from . import bpe, forest, jaccard, lines, packing, quality, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_jaccard": op1_jaccard, "op2_toxicity": op2_toxicity, "op3_forest": op3_forest, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_quality": op9_quality}
+    return {"op1_jaccard": op1_jaccard, "op2_toxicity": op2_toxicity, "op3_forest": op3_forest, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_quality": op9_quality, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
