@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, jaccard, lines, packing, quality, topk, toxicity
+from . import bpe, doubling, fmindex, forest, jaccard, lines, packing, quality, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_jaccard": op1_jaccard, "op2_toxicity": op2_toxicity, "op3_forest": op3_forest, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_quality": op9_quality, "op10_lines": op10_lines}
+    return {"op1_jaccard": op1_jaccard, "op2_toxicity": op2_toxicity, "op3_forest": op3_forest, "op4_fmindex": op4_fmindex, "op5_doubling": op5_doubling, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_quality": op9_quality, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
