@@ -271,3 +271,10 @@ def join(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
     out = named.select("doc_id", F.col("n").alias("n_shingles")).join(low, "doc_id", "left").withColumn("head", F.coalesce("head", "doc_id"))
     out = out.join(found.select(F.col("node").alias("head"), "component"), "head", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "head")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose id is the smallest of its group; empty texts and null ids stay."""
+    out = join(docs, percent, width).where("doc_id is not null")
+    gone = out.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("component_id < doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
