@@ -12,7 +12,7 @@ A document's set holds the distinct hashes of its word shingles. Documents of eq
    it rather than one. In terms of counts, with o shared prefix tokens and r tokens left behind the prefix that ends
    first: o + r must reach the overlap that the pair needs.
 4. Short lists make pairs by a join on the token, and shared tokens are counted per pair. Lists of more than `crowd`
-   classes (families of near copies) are dealt into blocks and compared block by block inside a task, from the classes'
+   classes, or a quarter of that for short sets (families of near copies), are dealt into blocks and compared block by block inside a task, from the classes'
    prefixes; a pair belongs to the first crowded list that both are in, and only pairs that can still reach the overlap leave
    the task. A pair of a crowded list is always judged there, whatever its short lists say.
 5. The pairs left are verified on their whole sets, and linked classes are joined by connected components.
@@ -224,11 +224,13 @@ def links(docs: DataFrame, percent: int = 85, width: int = 4, crowd: int = 64, b
     bits[hot] = True
     marks = np.packbits(bits).tobytes()
     index = rows.mapInArrow(_index(width, rule, marks), "t long, c long, n int, last long")
-    lists = index.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("t", "k")
+    lists = index.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.max("n").alias("most")).where("lo <> hi")
+    # a list of short sets is compared in blocks from a quarter of that on, as their prefixes are light to carry
+    lists = lists.select("t", "k", ((F.col("k") > crowd) | ((F.col("k") > crowd // 4) & (F.col("most") <= 512))).alias("crowded"))
     listed = cut(index.join(lists, "t").distinct())
     # short lists
     base = lambda n: F.expr(f"{n} - ({percent} * {n} + 99) div 100 + 1")
-    short = listed.where(F.col("k") <= crowd)
+    short = listed.where(~F.col("crowded"))
     a, b = short.select("t", F.col("c").alias("a"), F.col("n").alias("n"), F.col("last").alias("la")), short.select("t", F.col("c").alias("b"), F.col("n").alias("m"), F.col("last").alias("lb"))
     both = a.join(b, "t").where((F.col("a") < F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     shared = both.groupBy("a", "b", "n", "m", "la", "lb").agg(F.count("*").alias("o"))
@@ -236,7 +238,7 @@ def links(docs: DataFrame, percent: int = 85, width: int = 4, crowd: int = 64, b
     need = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
     pairs = shared.where(F.col("o") + rest >= need).select("a", "b")
     # crowded lists
-    many = listed.where(F.col("k") > crowd)
+    many = listed.where("crowded")
     some = many.groupBy("c").agg(F.collect_set("t").alias("ts"))
     prefixes = rows.mapInArrow(_prefixes(width, rule, marks), "c long, end long, prefix binary").groupBy("c").agg(F.first("end").alias("end"), F.first("prefix").alias("prefix")).join(some, "c")
     n_blocks = F.ceil(F.col("k") / block).cast("int")
