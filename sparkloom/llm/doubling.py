@@ -42,15 +42,18 @@ _U = np.uint64
 
 
 def _reach(r, side: tuple[int, ...], right: bool) -> list[np.ndarray]:
-    """Hashes of the bytes that each round adds; 0 where the run doesn't cover them."""
+    """Hashes (31 bits) of the bytes that each round adds; 0 where the run doesn't cover them.
+
+    A pair of strings with equal names that differ only keeps a position for the comparison that follows.
+    """
     anchor, low, high = r.start + r.reach, r.start, r.start + r.count - 1
     out, before = [], GRAM if right else 0
     for size in side:
         a, b = (anchor + before, anchor + size) if right else (anchor - size, anchor - before)
         fits = (b <= high + r.length) if right else (a >= low)
         h = np.zeros(len(anchor), "u8")
-        h[fits] = hashes(r.s, a[fits], b[fits]) | _U(1)
-        out.append(h)
+        h[fits] = hashes(r.s, a[fits], b[fits]) >> _U(33) | _U(1)
+        out.append(h.astype("i4"))
         before = size
     return out
 
@@ -66,20 +69,20 @@ def _positions(length: int, grams_only: bool):
                     cols |= {k: batch.column(k).take(row) for k in ("_id", "_th")}
                     cols |= {"s": pa.array(r.whole.view("i8")), "at": pa.array(r.start - offsets[r.text]), "n": pa.array(r.count.astype("i4")), "d": pa.array(r.reach.astype("i4"))}
                     for k, h in zip(("r1", "r2", "l1", "l2"), [*_reach(r, RIGHT, True), *_reach(r, LEFT, False)], strict=True):
-                        cols[k] = pa.array(h.view("i8"))
+                        cols[k] = pa.array(h)
                 yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
-KINDS = "g long, _id long, _th long, s long, at long, n int, d int, r1 long, r2 long, l1 long, l2 long"
+KINDS = "g long, _id long, _th long, s long, at long, n int, d int, r1 int, r2 int, l1 int, l2 int"
 
 
 def _cut_out(length: int):
     """The bytes of each run asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             out: dict[str, list] = {k: [] for k in ("g", "n", "d", "alone", "at", "bytes", "row")}
             for row, (text, runs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)):
                 raw = text.encode()
@@ -138,7 +141,7 @@ def _as_rows(length: int):
     return run
 
 
-def recurring_spans(rows: DataFrame, length: int = 400, crowd: int = 4096, bucket: int = 4000) -> DataFrame:
+def recurring_spans(rows: DataFrame, length: int = 400, crowd: int = 4096, bucket: int = 1500) -> DataFrame:
     """Per key of `rows` (keyed texts): `spans`, the array of (start, end) in bytes that recurring windows cover."""
     if length < 400:
         raise ValueError("the rounds' reach is made for windows of 400 bytes or more")
@@ -160,7 +163,8 @@ def recurring_spans(rows: DataFrame, length: int = 400, crowd: int = 4096, bucke
             again = left.where("rank <> 0").groupBy("rank").agg(F.count("*").alias("c")).where("c > 1").select("rank", F.lit(True).alias("again"))
             reach = sizes[k + 1] - 1 if k + 1 < len(sizes) else 2 * length
             left = left.join(again, "rank", "left").withColumn(f"{side}_reach", F.when(F.col("again"), F.lit(reach)).otherwise(F.col(f"{side}_reach")))
-            left = left.withColumn("rank", F.when(F.col("again"), F.col("rank")).otherwise(F.lit(0))).drop("again")
+            left = left.withColumn("rank", F.when(F.col("again"), F.col("rank")).otherwise(F.lit(0))).drop("again", f"{side}{k + 1}")
+        left = cut(left.drop("rank"))  # each round reads its rows twice
     left = left.where(F.col("r_reach") + F.col("l_reach") >= length)
     # only anchors where a run of one copy may meet another run
     open_ = left.groupBy("g").agg(F.count("*").alias("c"), F.max("alone").alias("any")).where("c > 1 and any").select("g", "c")
