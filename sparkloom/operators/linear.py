@@ -66,7 +66,7 @@ def polynomial(df: DataFrame, features: Sequence[str], label: str, degree: int =
     if penalty:
         beta, b = solve(m, penalty)
     else:
-        beta, b = beta * s[-1] / s[:-1], b * s[-1]
+        beta, b = beta * s[-1] / s[:-1], float(b * s[-1])
     return _quality(Model("polynomial_regression", list(features), {"coefficients": beta.tolist(), "intercept": b, "degree": degree}), m, beta)
 
 

@@ -70,10 +70,12 @@ def binned(df: DataFrame, features: Sequence[str], bins: int | None) -> DataFram
     if not bins:
         return df
     cuts = df.select(*[F.percentile_approx(F.col(f).cast("double"), [k / bins for k in range(bins + 1)], 10_000).alias(f) for f in features]).first()
-    for f in features:
+
+    def lowered(f: str) -> Column:
         edges = F.array(*[F.lit(float(v)) for v in sorted(set(cuts[f]))])
-        df = df.withColumn(f, F.coalesce(F.array_max(F.filter(edges, lambda e, c=F.col(f): e <= c.cast("double"))), edges[0]))
-    return df
+        return F.coalesce(F.array_max(F.filter(edges, lambda e: e <= F.col(f).cast("double"))), edges[0])
+
+    return df.withColumns({f: lowered(f) for f in features})
 
 
 def _best_splits(rows: DataFrame, features: Sequence[str], sums: list[str], impurity, min_leaf: float) -> list:

@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` (eagerly) in the shared folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder (not yet made) in the one that the cluster shares and names in spark.checkpoint.dir.
 
     Only a single-machine session without that setting gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not top:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
+        top = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
+        sc.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` (eagerly) in the shared folder."""
+    shared_folder(df.sparkSession, "checkpoint")
     return df.checkpoint(eager=True)
 
 
