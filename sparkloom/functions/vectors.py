@@ -88,4 +88,4 @@ def onnx_outputs(df: DataFrame, path: str, features: Sequence[str], out: str = "
             y = (y[:, 0] if y.ndim == 3 else y).reshape(len(x), -1).astype("f4") if len(x) else y
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(list(y), pa.list_(pa.float32()))], ["row", out])
 
-    return inner.mapInArrow(run, inner.select("row").schema.add(out, "array<float>")).select("row.*", out)
+    return inner.mapInArrow(run, inner.select("row").schema.add(out, ArrayType(FloatType()))).select("row.*", out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,7 +23,7 @@ def _nearest_center(state: dict, x: list[Column]) -> Column:
 
 def seeds(df: DataFrame, x: list[Column], k: int, sample: int = 2000) -> list[list[float]]:
     """k-means++ on a bounded sample, chosen by a hash of the rows."""
-    rows = np.array([r[0] for r in df.select(F.array(*x).alias("x")).orderBy(F.xxhash64(*x), *x).limit(sample).collect()])
+    rows = np.array([r[0] for r in df.select(F.array(*x).alias("_point")).orderBy(F.xxhash64("_point"), "_point").limit(sample).collect()])
     if not 1 <= k <= len(rows):
         raise ValueError(f"k must be from 1 to {len(rows)}")
     rng = np.random.default_rng(0)
@@ -95,10 +96,9 @@ def dbscan(df: DataFrame, features: Sequence[str], row_id: str, eps: float = 0.5
     own neighbours. Border points join their smallest cluster.
     """
     x = doubles(features)
-    rows = cut(checked(df, features, row_id).select(F.col(row_id).alias("id"), F.array(*x).alias("x"), F.array(*[F.floor(c / eps) for c in x]).alias("cell")))
-    around = F.array(F.array().cast("array<bigint>"))
-    for k in range(len(x)):
-        around = F.flatten(F.transform(around, lambda a, k=k: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.concat(a, F.array((F.col("cell")[k] + s).cast("bigint"))))))
+    rows = cut(checked(df, features, row_id).select(F.col(row_id).alias("id"), F.array(*x).alias("x"), F.array(*[F.floor(c / eps).cast("bigint") for c in x]).alias("cell")))
+    steps = itertools.product((-1, 0, 1), repeat=len(x))
+    around = F.array(*[F.array(*[(F.col("cell")[k] + s).cast("bigint") for k, s in enumerate(step)]) for step in steps])
     other = rows.select(F.col("id").alias("b"), F.col("x").alias("y"), F.explode(around).alias("cell"))
     gap = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
     near = cut(rows.select(F.col("id").alias("a"), "x", "cell").join(other, "cell").where(gap <= eps * eps).select("a", "b"))

@@ -66,19 +66,19 @@ def _adaboost(state: dict, x: list[Column]) -> Column:
 
 
 def binned(df: DataFrame, features: Sequence[str], bins: int | None) -> DataFrame:
-    """Features lowered to the nearest of about `bins` quantiles."""
+    """Features raised to the nearest of about `bins` quantiles; a split x <= t at a quantile t parts both alike."""
     if not bins:
         return df
     cuts = df.select(*[F.percentile_approx(F.col(f).cast("double"), [k / bins for k in range(bins + 1)], 10_000).alias(f) for f in features]).first()
 
-    def lowered(f: str) -> Column:
+    def raised(f: str) -> Column:
         edges = F.array(*[F.lit(float(v)) for v in sorted(set(cuts[f]))])
-        return F.coalesce(F.array_max(F.filter(edges, lambda e: e <= F.col(f).cast("double"))), edges[0])
+        return F.coalesce(F.array_min(F.filter(edges, lambda e: e >= F.col(f).cast("double"))), F.element_at(edges, -1))
 
-    return df.withColumns({f: lowered(f) for f in features})
+    return df.withColumns({f: raised(f) for f in features})
 
 
-def _best_splits(rows: DataFrame, features: Sequence[str], sums: list[str], impurity, min_leaf: float) -> list:
+def _best_splits(rows: DataFrame, features: Sequence[str], sums: list[str], impurity, min_leaf: float, middle: bool) -> list:
     """For each node the best split of `rows` (node, weight w, sums, features): impurity of both sides, feature, threshold."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).cast("double").alias("v")) for k, f in enumerate(features)]))
     at = rows.select("node", "w", *sums, pairs.alias("p")).groupBy("node", "p.f", "p.v").agg(*[F.sum(s).alias(s) for s in ["w", *sums]])
@@ -92,7 +92,7 @@ def _best_splits(rows: DataFrame, features: Sequence[str], sums: list[str], impu
     at = at.where((left["w"] >= min_leaf) & (right["w"] >= min_leaf))
     # rounding: equal impurities reached by different sums tie
     score = F.round(impurity(left) + impurity(right), 9)
-    best = F.min(F.struct(score.alias("score"), "f", ((F.col("v") + F.col("next")) / 2).alias("t")))
+    best = F.min(F.struct(score.alias("score"), "f", ((F.col("v") + F.col("next")) / 2 if middle else F.col("v")).alias("t")))
     return at.groupBy("node").agg(best.alias("best")).select("node", "best.*").collect()
 
 
@@ -100,8 +100,10 @@ def _variance(s: dict) -> Column:
     return s["ss"] - s["s"] * s["s"] / s["w"]
 
 
-def grow(df: DataFrame, features: Sequence[str], y: Column, max_depth: int, min_split: int, min_leaf: int, leaf_value=None) -> dict:
-    """A regression tree on `y`. `leaf_value` maps a node's sums (w, s, ss and those of `extra` columns) to its value."""
+def grow(df: DataFrame, features: Sequence[str], y: Column, max_depth: int, min_split: int, min_leaf: int, leaf_value=None, middle: bool = True) -> dict:
+    """A regression tree on `y`. `leaf_value` maps a node's sums (w, s, ss and those of `extra` columns) to its value.
+
+    Thresholds stand in the middle between two values, or at the lower one (for binned features)."""
     rows = df.select(*features, y.alias("_y"), *([F.col("_h")] if "_h" in df.columns else []), F.lit(1).alias("_node")).cache()
     try:
         value = leaf_value or (lambda r: r["s"] / r["w"])
@@ -117,7 +119,7 @@ def grow(df: DataFrame, features: Sequence[str], y: Column, max_depth: int, min_
             if not stats:
                 raise ValueError("no rows to train on")
             can = [k for k, r in stats.items() if depth < max_depth and r["w"] >= min_split and r["w"] >= 2 * min_leaf and r["ss"] - r["s"] ** 2 / r["w"] > 1e-12]
-            splits = {r["node"]: r for r in _best_splits(level.where(F.col("node").isin(can)), features, ["s", "ss"], _variance, min_leaf)} if can else {}
+            splits = {r["node"]: r for r in _best_splits(level.where(F.col("node").isin(can)), features, ["s", "ss"], _variance, min_leaf, middle)} if can else {}
             nxt = {}
             for k, place in open_.items():
                 r, s = stats[k], splits.get(k)
@@ -141,7 +143,7 @@ def _node_of(tree: dict, x: list[Column], number: int = 1) -> Column:
 
 def decision_tree(df: DataFrame, features: Sequence[str], label: str, max_depth: int = 10, min_split: int = 5, min_leaf: int = 2, bins: int | None = None) -> Model:
     df = binned(checked(df, features, label), features, bins)
-    return Model("decision_tree", list(features), {"tree": grow(df, features, F.col(label).cast("double"), max_depth, min_split, min_leaf)}, n_samples=df.count())
+    return Model("decision_tree", list(features), {"tree": grow(df, features, F.col(label).cast("double"), max_depth, min_split, min_leaf, middle=not bins)}, n_samples=df.count())
 
 
 def gradient_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int = 100, rate: float = 0.1, max_depth: int = 6, binary: bool = False, bins: int | None = None) -> Model:
@@ -157,9 +159,9 @@ def gradient_boosting(df: DataFrame, features: Sequence[str], label: str, rounds
             total = _total({"base": base, "rate": rate, "trees": trees}, x, False)
             if binary:
                 p = sigmoid(total)
-                trees.append(grow(df.withColumn("_h", p * (1 - p)), features, p - y, max_depth, 5, 1, lambda r: -r["s"] / max(r["h"], 1e-12)))
+                trees.append(grow(df.withColumn("_h", p * (1 - p)), features, p - y, max_depth, 5, 1, lambda r: -r["s"] / max(r["h"], 1e-12), not bins))
             else:
-                trees.append(grow(df, features, y - total, max_depth, 5, 1))
+                trees.append(grow(df, features, y - total, max_depth, 5, 1, middle=not bins))
         model = Model("xgboost_binary" if binary else "xgboost_regression", list(features), {"base": base, "rate": rate, "trees": trees}, n_samples=n)
         p = model.column()
         r = df.agg(F.avg((y - p) * (y - p)).alias("mse"), F.var_pop(y).alias("var")).first()
@@ -191,7 +193,7 @@ def adaboost(df: DataFrame, features: Sequence[str], label: str, rounds: int = 5
             # polarity 1: right of the threshold is the upper class
             error = (F.col("lu") + (F.col("aw") - F.col("au")) - (F.col("lw") - F.col("lu"))) / F.col("aw")
             both = F.explode(F.array(F.struct(F.round(error, 12).alias("e"), F.lit(0).alias("flip")), F.struct(F.round(1 - error, 12).alias("e"), F.lit(1).alias("flip"))))
-            best = at.select("f", ((F.col("v") + F.col("next")) / 2).alias("t"), both.alias("b")).agg(F.min(F.struct("b.e", "f", "t", "b.flip")).alias("x")).first()["x"]
+            best = at.select("f", (F.col("v") if bins else (F.col("v") + F.col("next")) / 2).alias("t"), both.alias("b")).agg(F.min(F.struct("b.e", "f", "t", "b.flip")).alias("x")).first()["x"]
             if best is None:
                 raise ValueError("features are constant")
             e = min(max(best["e"], 1e-10), 1 - 1e-10)

@@ -80,8 +80,9 @@ def test_margins_network_and_trees_fit(noisy):
     assert boosted.r_squared > 0.8
     binary = tree.gradient_boosting(two, ["f0", "f1"], "c", rounds=6, rate=0.5, max_depth=2, binary=True, bins=16)
     assert metrics.binary(binary.transform(two), "c", "prediction").first().accuracy > 0.85
-    stumps = tree.adaboost(two, ["f0", "f1"], "c", rounds=4, bins=16)
-    assert stumps.transform(two).where("prediction = c").count() > 220
+    sides = noisy.withColumn("c", (F.col("y") > 2).cast("double"))
+    for bins in (16, None):
+        assert tree.adaboost(sides, ["f0", "f1"], "c", rounds=3, bins=bins).transform(sides).where("prediction = c").count() > 240
     for m in (boosted, binary):
         again = boosted_json.parse(boosted_json.dump(m), ["f0", "f1"])
         both = m.transform(two, "p").withColumn("q", again.column())
