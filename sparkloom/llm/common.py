@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 NULL_ID = (1 << 63) - 1
 
 
+#: Rows of a batch between Spark and Python. Texts are long: this bounds what a task's two sides hold at once.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts or vectors; from now on the session sends them to Python in batches of few rows."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

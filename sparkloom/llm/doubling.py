@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keyed
-from .spans import BYTES, blocks, hashes, mix, sums
+from .spans import BYTES, blocks, hashes, mix, slices, sums
 from .windows import merged, runs_of
 
 GRAM = 64
@@ -60,7 +60,7 @@ def _reach(r, side: tuple[int, ...], right: bool) -> list[np.ndarray]:
 
 def _positions(length: int, grams_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for first, _last, data, offsets in blocks(batch.column("text")):
                 r = runs_of(BYTES[data], offsets, length, GRAM)
                 cols = {"g": pa.array(r.gram.view("i8"))}
@@ -82,7 +82,7 @@ def _cut_out(length: int):
     """The bytes of each run asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+        for batch in slices(batches, 500):
             out: dict[str, list] = {k: [] for k in ("g", "n", "d", "alone", "at", "bytes", "row")}
             for row, (text, runs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)):
                 raw = text.encode()

@@ -15,7 +15,9 @@ A document's set holds the distinct hashes of its word shingles. Documents of eq
    classes, or a quarter of that for short sets (families of near copies), are dealt into blocks and compared block by block inside a task, from the classes'
    prefixes; a pair belongs to the first crowded list that both are in, and only pairs that can still reach the overlap leave
    the task. A pair of a crowded list is always judged there, whatever its short lists say.
-5. The pairs left are verified on their whole sets, and linked classes are joined by connected components.
+5. The pairs left are verified on their whole sets: first each class with the smallest one that it may link with, then
+   only pairs that those links have not connected yet, as the others can't change a component. A family of k near copies
+   so verifies some k pairs. Linked classes are joined by connected components.
 
 Defined cases: null, empty and white-space texts have an empty set and link with nothing; texts of fewer words than a
 shingle have the whole sequence as their one shingle; rows that share a doc_id are one node, its links pooled; rows
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, keyed
-from .spans import BYTES, NOT_SPACE, blocks, hashes, mix, runs, sums
+from .spans import BYTES, NOT_SPACE, blocks, hashes, mix, runs, slices, sums
 
 _U = np.uint64
 HOT = 62
@@ -76,7 +78,7 @@ def set_name(x: np.ndarray) -> tuple[int, int]:
 
 def _recurring(width: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             h = np.sort(np.concatenate([h for _, h, _ in shingles(batch.column("text"), width)] or [np.zeros(0, "u8")]))
             edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, "i8")
             n = np.diff(edge)
@@ -88,7 +90,7 @@ def _recurring(width: int, least: int):
 
 def _names(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(len(x), *set_name(x)) if len(x) else (0, 0, 0) for x in sets(batch.column("text"), width)]
             n, a, b = (np.array(v, "i8") for v in zip(*found, strict=True)) if found else [np.zeros(0, "i8")] * 3
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n), "c": pa.array(a), "c2": pa.array(b)})
@@ -122,12 +124,12 @@ def _index(width: int, rule: Rule, marks: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(table)
-        for batch in batches:
+        for batch in slices(batches):
             seen, out = set(), []
             for x in sets(batch.column("text"), width, bits):
                 if len(x) and (name := set_name(x)[0]) not in seen:
                     seen.add(name)
-                    out.append((name, len(x), x[: rule.base(len(x))]))
+                    out.append((name, len(x), x[: rule.base(len(x))].copy()))
             size = np.array([len(x) for _, _, x in out], "i8")
             spread = lambda v, kind: pa.array(np.repeat(np.array(v, kind), size))
             yield pa.RecordBatch.from_pydict({
@@ -146,7 +148,7 @@ def _prefixes(width: int, rule: Rule, marks: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(table)
-        for batch in batches:
+        for batch in slices(batches):
             seen, out = set(), []
             for x in sets(batch.column("text"), width, bits):
                 if len(x) and (name := set_name(x)[0]) not in seen:
@@ -206,7 +208,7 @@ def _verify(rule: Rule):
 
 def _whole(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [x for x in sets(batch.column("text"), width) if len(x)]
             yield pa.RecordBatch.from_pydict({"c": pa.array([set_name(x)[0] for x in found], pa.int64()), "x": pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())})
 
@@ -214,7 +216,7 @@ def _whole(width: int):
 
 
 def links(docs: DataFrame, percent: int = 85, width: int = 4, crowd: int = 64, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """Per row: doc_id, n, c (its class); and the linked pairs of classes a < b."""
+    """Per row: doc_id, n, c (its class); and pairs of classes a < b that connect just what the links connect."""
     rule = Rule(percent)
     rows = keyed(docs).select("doc_id", "text")
     named = cut(rows.mapInArrow(_names(width), "doc_id long, n long, c long, c2 long"))
@@ -247,14 +249,25 @@ def links(docs: DataFrame, percent: int = 85, width: int = 4, crowd: int = 64, b
     many = many.select("t", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "c", "n", "end", "prefix", "ts")
     crowded = many.groupBy("t", "i", "j").applyInPandas(_crowd(rule), "a long, b long")
     pairs = cut(pairs.union(crowded).distinct())
-    # verification on whole sets
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    first = named.where("n > 0").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    # an id that several texts share brings sets of other classes, which meet no pair or are themselves wanted
-    texts = rows.join(first.select("doc_id").distinct(), "doc_id").mapInArrow(_whole(width), "c long, x binary").join(wanted, "c", "left_semi")
-    texts = texts.groupBy("c").agg(F.first("x").alias("x"))
-    full = pairs.join(texts.withColumnRenamed("c", "a"), "a").join(texts.select(F.col("c").alias("b"), F.col("x").alias("y")), "b")
-    return named, full.select("a", "b", "x", "y").mapInPandas(_verify(rule), "a long, b long")
+
+    def verified(some: DataFrame) -> DataFrame:
+        wanted = some.select(F.col("a").alias("c")).union(some.select(F.col("b").alias("c"))).distinct()
+        first = named.where("n > 0").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+        # an id that several texts share brings sets of other classes, which meet no pair or are themselves wanted
+        texts = rows.join(first.select("doc_id").distinct(), "doc_id").mapInArrow(_whole(width), "c long, x binary").join(wanted, "c", "left_semi")
+        texts = texts.groupBy("c").agg(F.first("x").alias("x"))
+        full = some.join(texts.withColumnRenamed("c", "a"), "a").join(texts.select(F.col("c").alias("b"), F.col("x").alias("y")), "b")
+        return full.select("a", "b", "x", "y").mapInPandas(_verify(rule), "a long, b long")
+
+    low = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    near = cut(verified(low))
+    of = cut(components(near))
+    left = pairs.join(low, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        left = left.join(of.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    left = cut(left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    stars = of.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return named, stars.union(verified(left))
 
 
 def join(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:

@@ -50,6 +50,13 @@ def hashes(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((s[end] - s[start]) * powers(len(s))[1][start])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, which bounds what a step over them holds and sends at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column without nulls."""
     n = len(column)
