@@ -15,7 +15,10 @@ A document's set holds the distinct hashes of its word shingles. Documents of eq
    classes, or a quarter of that for short sets (families of near copies), are dealt into blocks and compared block by block inside a task, from the classes'
    prefixes; a pair belongs to the first crowded list that both are in, and only pairs that can still reach the overlap leave
    the task. A pair of a crowded list is always judged there, whatever its short lists say.
-5. The pairs left are verified on their whole sets, and linked classes are joined by connected components.
+5. Families come before that, as their pairs grow with the square of their size: classes with at least half of their listed
+   tokens in crowded lists meet in the largest of those, dealt into blocks, with their whole sets; a block gives one star per
+   group of linked classes. Step 4 then takes only crowded lists, and pairs in them, that no family connects yet.
+6. The pairs left are verified on their whole sets, and linked classes are joined by connected components.
 
 Defined cases: null, empty and white-space texts have an empty set and link with nothing; texts of fewer words than a
 shingle have the whole sequence as their one shingle; rows that share a doc_id are one node, its links pooled; rows
@@ -161,28 +164,57 @@ def _prefixes(width: int, rule: Rule, marks: bytes):
     return run
 
 
+def _shared(rows: list[np.ndarray]) -> np.ndarray:
+    """Tokens that each two sets share: all pairs at once, by some thousand tokens at a time."""
+    _, at, times = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    row_of = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    common = times[at] > 1
+    at, row_of = (np.cumsum(times > 1) - 1)[at[common]], row_of[common]
+    order = np.argsort(at, kind="stable")
+    at, row_of = at[order], row_of[order]
+    shared = np.zeros((len(rows), len(rows)), "f4")
+    for low in range(0, int((times > 1).sum()), 4096):
+        some = slice(*np.searchsorted(at, [low, low + 4096]))
+        wide = np.zeros((len(rows), 4096), "f4")
+        wide[row_of[some], at[some] - low] = 1
+        shared += wide @ wide.T
+    return shared
+
+
+def _family(rule: Rule):
+    """A star for each group of two or more classes of a block that links connect."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("c")
+        c, rows = group["c"].to_numpy(), [np.frombuffer(x, "<u8") for x in group["x"]]
+        n, o = np.array([len(x) for x in rows]), _shared(rows).astype("i8")
+        linked = 100 * o >= rule.percent * (n[:, None] + n[None] - o)
+        head = np.full(len(c), -1)
+        for i in range(len(c)):
+            front = np.array([i]) if head[i] < 0 else np.zeros(0, int)
+            while len(front):
+                head[front] = i
+                front = np.flatnonzero(linked[front].any(0) & (head < 0))
+        far = head != np.arange(len(c))
+        return pd.DataFrame({"a": np.minimum(c, c[head])[far], "b": np.maximum(c, c[head])[far]})
+
+    return run
+
+
 def _crowd(rule: Rule):
     """Pairs of a block of a crowded list that can still reach the overlap that they need."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         t, i, j = (int(group[k].iloc[0]) for k in ("t", "i", "j"))
         group = group.sort_values(["n", "c"])
-        c, n, side, end = (group[k].to_numpy() for k in ("c", "n", "side", "end"))
+        c, n, side, end, family = (group[k].to_numpy() for k in ("c", "n", "side", "end", "family"))
         rows = [np.frombuffer(x, "<u8") for x in group["prefix"]]
         p = np.array([len(x) for x in rows])
-        # shared prefix tokens of all pairs at once, by some thousand tokens at a time
-        vocabulary, at = np.unique(np.concatenate(rows), return_inverse=True)
-        row_of = np.repeat(np.arange(len(rows)), p)
-        shared = np.zeros((len(rows), len(rows)), "f4")
-        for low in range(0, len(vocabulary), 4096):
-            some = (at >= low) & (at < low + 4096)
-            wide = np.zeros((len(rows), min(4096, len(vocabulary) - low)), "f4")
-            np.add.at(wide, (row_of[some], at[some] - low), 1)
-            shared += wide @ wide.T
+        shared = _shared(rows)
         rest = np.where(end[:, None] <= end[None], (n - p)[:, None], (n - p)[None])
         ok = (shared + rest >= rule.need(n[:, None], n[None])) & (100 * np.minimum(n[:, None], n[None]) >= rule.percent * np.maximum(n[:, None], n[None]))
         ok &= np.triu(np.ones_like(ok), 1) if i == j else (side[:, None] == i) & (side[None] == j)
-        a, b = np.nonzero(ok & (c[:, None] != c[None]))
+        a, b = np.nonzero(ok & (family[:, None] != family[None]))
         ts = [np.sort(x) for x in group["ts"]]
         mine = np.array([np.intersect1d(ts[x], ts[y], assume_unique=True)[0] == t for x, y in zip(a, b, strict=True)], bool)
         a, b = a[mine], b[mine]
@@ -213,8 +245,43 @@ def _whole(width: int):
     return run
 
 
+def _sets_of(rows: DataFrame, named: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """c, x: the whole set of each wanted class, from the text of one of its rows."""
+    first = named.where("n > 0").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+    # an id that several texts share brings sets of other classes, which are dropped or themselves wanted
+    texts = rows.join(first.select("doc_id").distinct(), "doc_id").mapInArrow(_whole(width), "c long, x binary").join(wanted, "c", "left_semi")
+    return texts.groupBy("c").agg(F.first("x").alias("x"))
+
+
+def _families(rows: DataFrame, named: DataFrame, many: DataFrame, rule: Rule, width: int, block: int, tokens: int = 1 << 20, deals: int = 2) -> DataFrame:
+    """Stars a < b of classes that links connect, of most families of near copies. `many`: t, c, n, k of crowded lists.
+
+    Blocks hold about `block` classes and `tokens` tokens. A family of several blocks comes out in parts; each further deal
+    puts the parts that are left into other blocks. What is never joined here costs more pairs later, no links.
+    """
+    half = F.expr(f"2 * count(*) >= n - ({rule.percent} * n + 99) div 100 + 1")
+    member = many.groupBy("c", "n").agg(half.alias("half"), F.max(F.struct("k", "t")).alias("top")).where("half").select("c", "n", "top.t")
+    size = member.groupBy("t").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / tokens)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    member = cut(member.join(size, "t").select("t", "c", "blocks"))
+    member = cut(member.join(_sets_of(rows, named, member.select("c"), width), "c"))
+    stars = None
+    for deal in range(deals):
+        some = member
+        if stars is not None:
+            some = member.where("blocks > 1").join(components(stars).select(F.col("node").alias("c"), "component"), "c", "left").withColumn("family", F.coalesce("component", "c"))
+            apart = some.groupBy("t").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("t")
+            some = some.join(apart, "t", "left_semi")
+        some = some.withColumn("i", F.pmod(F.xxhash64("c", F.lit(deal)), "blocks"))
+        found = cut(some.select("t", "i", "c", "x").groupBy("t", "i").applyInPandas(_family(rule), "a long, b long"))
+        stars = found if stars is None else stars.union(found)
+    return stars
+
+
 def links(docs: DataFrame, percent: int = 85, width: int = 4, crowd: int = 64, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """Per row: doc_id, n, c (its class); and the linked pairs of classes a < b."""
+    """Per row: doc_id, n, c (its class); and pairs of classes a < b with the same components as all links.
+
+    The pairs are links, but for those of families, which are stars over classes that links connect.
+    """
     rule = Rule(percent)
     rows = keyed(docs).select("doc_id", "text")
     named = cut(rows.mapInArrow(_names(width), "doc_id long, n long, c long, c2 long"))
@@ -237,24 +304,25 @@ def links(docs: DataFrame, percent: int = 85, width: int = 4, crowd: int = 64, b
     rest = F.when(F.col("la") <= F.col("lb"), F.col("n") - base("n")).otherwise(F.col("m") - base("m"))
     need = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
     pairs = shared.where(F.col("o") + rest >= need).select("a", "b")
-    # crowded lists
-    many = listed.where("crowded")
+    # families, and what else is in crowded lists
+    many = listed.where("crowded").select("t", "c", "n", "k")
+    stars = _families(rows, named, many, rule, width, block)
+    many = many.join(components(stars).select(F.col("node").alias("c"), "component"), "c", "left").withColumn("family", F.coalesce("component", "c")).drop("component")
+    apart = many.groupBy("t").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("t")
+    many = cut(many.join(apart, "t", "left_semi"))
     some = many.groupBy("c").agg(F.collect_set("t").alias("ts"))
     prefixes = rows.mapInArrow(_prefixes(width, rule, marks), "c long, end long, prefix binary").groupBy("c").agg(F.first("end").alias("end"), F.first("prefix").alias("prefix")).join(some, "c")
     n_blocks = F.ceil(F.col("k") / block).cast("int")
     many = many.join(prefixes, "c").withColumn("side", F.pmod(F.xxhash64("c"), n_blocks).cast("int"))
     many = many.withColumn("o", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    many = many.select("t", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "c", "n", "end", "prefix", "ts")
+    many = many.select("t", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "c", "n", "family", "end", "prefix", "ts")
     crowded = many.groupBy("t", "i", "j").applyInPandas(_crowd(rule), "a long, b long")
     pairs = cut(pairs.union(crowded).distinct())
     # verification on whole sets
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    first = named.where("n > 0").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    # an id that several texts share brings sets of other classes, which meet no pair or are themselves wanted
-    texts = rows.join(first.select("doc_id").distinct(), "doc_id").mapInArrow(_whole(width), "c long, x binary").join(wanted, "c", "left_semi")
-    texts = texts.groupBy("c").agg(F.first("x").alias("x"))
+    texts = _sets_of(rows, named, wanted, width)
     full = pairs.join(texts.withColumnRenamed("c", "a"), "a").join(texts.select(F.col("c").alias("b"), F.col("x").alias("y")), "b")
-    return named, full.select("a", "b", "x", "y").mapInPandas(_verify(rule), "a long, b long")
+    return named, full.select("a", "b", "x", "y").mapInPandas(_verify(rule), "a long, b long").union(stars)
 
 
 def join(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
