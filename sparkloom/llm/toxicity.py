@@ -22,10 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import keyed
 from .learning import held_out, teaching_sample
-from .spans import BYTES, LETTER, blocks, hashes, runs, sums
+from .spans import BYTES, LETTER, blocks, hashes, runs, slices, sums
 
 #: Bytes of the word beginnings that make patterns; 0 is the whole word.
 BEGINNINGS = (0, 3, 4, 5, 6, 7, 8)
@@ -75,20 +76,16 @@ def lookup(wanted: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of either label that have each feature, summed over a batch."""
+    """Texts of either label that have each feature, summed over a block of a batch."""
     for batch in batches:
         label = batch.column("label").to_numpy(zero_copy_only=False)
-        keys, marks = [], []
         for first, last, data, offsets in blocks(pc.utf8_lower(batch.column("text"))):
             for h, _word, text in features(data, offsets):
                 pairs = np.unique(np.stack([h, text.astype("u8")]), axis=1) if len(h) else np.zeros((2, 0), "u8")
-                keys.append(pairs[0])
-                marks.append(label[first + pairs[1].astype("i8")])
-        keys, marks = np.concatenate(keys or [np.zeros(0, "u8")]), np.concatenate(marks or [np.zeros(0, "i4")])
-        uniq, at = np.unique(keys, return_inverse=True)
-        pos = np.bincount(at, weights=marks, minlength=len(uniq)).astype("i8")
-        n = np.bincount(at, minlength=len(uniq)).astype("i8")
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(uniq.view("i8")), "pos": pa.array(pos), "neg": pa.array(n - pos)})
+                uniq, at = np.unique(pairs[0], return_inverse=True)
+                pos = np.bincount(at, weights=label[first + pairs[1].astype("i8")], minlength=len(uniq)).astype("i8")
+                n = np.bincount(at, minlength=len(uniq)).astype("i8")
+                yield pa.RecordBatch.from_pydict({"feature": pa.array(uniq.view("i8")), "pos": pa.array(pos), "neg": pa.array(n - pos)})
 
 
 def _votes(wanted: np.ndarray):
@@ -188,18 +185,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, longest: int = 6
     return Model(wanted, weights, bias)
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, text: str | None = "text"):
+    """Scores of the column `text`, which goes, or with None, of the field text of the column row, which stays."""
     wanted, weights, bias = model.wanted, model.weights, model.bias
     table = lookup(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             z = np.full(batch.num_rows, bias)
             if len(wanted):
-                for first, last, has in _present(batch.column("text"), wanted, table):
+                column = batch.column(text) if text else pc.fill_null(pc.struct_field(batch.column("row"), "text"), "")
+                for first, last, has in _present(column, wanted, table):
                     z[first:last] += has @ weights
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(score)], [*(c for c in batch.schema.names if c != "text"), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != text), pa.array(score)], [*(c for c in batch.schema.names if c != text), "score"])
 
     return run
 
@@ -214,6 +213,6 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **limits:
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **limits: int) -> DataFrame:
     """The rows of `docs`, with all their columns, that aren't predicted toxic."""
     model = fit(docs, labels, **limits)
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    kinds = inner.drop("text").schema.add("score", "double")
-    return inner.mapInArrow(_scorer(model), kinds).where(F.col("score") < threshold).select("row.*")
+    # the text goes to Python once, inside the row
+    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return inner.mapInArrow(_scorer(model, None), StructType([*inner.schema, StructField("score", DoubleType())])).where(F.col("score") < threshold).select("row.*")
