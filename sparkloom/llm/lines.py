@@ -1,14 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-1. Every text becomes the sequence of its lines' hashes. A line that several documents hold names its first holder (the
-   smallest id). A document overlaps the first holders of its rare shared lines, those of at most `rare` documents.
+1. Every text becomes the sequence of its lines' hashes. A window is a run of lines that just suffices for a block:
+   `min_lines` lines, or fewer of `min_bytes` bytes. A window that several documents hold names its first holder (the
+   smallest id). A document overlaps the first holders of its rare shared windows, those of at most `rare` documents.
 2. Each such pair is aligned with patience diff on the two hash sequences: common ends, then lines unique on both sides
    in their longest increasing order, then the gaps between them. Runs of aligned lines are common blocks; blocks of at
    least `min_lines` lines or `min_bytes` bytes are deleted from the later document.
-3. Lines shared by more documents than that, where no block has covered them yet, ask their first holders in the same
-   way, so that large groups of copies lose nothing to the bound.
+3. Windows shared by more documents than that, where blocks have not covered all their lines yet, ask their first
+   holders in the same way, so that large groups of copies lose nothing to the bound.
 
-A document has at most one partner per line, whatever the size of a group of copies, and the first holder of a line
+Every line of a block stands in a window inside the block, so that asking the windows' first holders is enough. A
+document has at most one partner per window, whatever the size of a group of copies, and the first holder of a line
 never loses it. Blocks are judged on the input.
 
 Defined cases: null and empty texts have no lines and stay empty; lines end at \\n and compare by bytes; blank lines
@@ -63,6 +65,43 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
+def _windows(min_lines: int, min_bytes: int):
+    """Each text's windows: first and last position, joint hash, and whether it's the first of its hash in the text.
+
+    A window begins and ends with a line that isn't blank; blank lines between count for the hash alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, sizes = batch.column("hs"), batch.column("sizes").flatten().to_numpy()
+            n = hs.value_lengths().to_numpy()
+            begin = np.cumsum(n) - n
+            s = sums(hs.flatten().to_numpy().view("u8"))
+            solid = np.flatnonzero(sizes > 0)
+            text = np.repeat(np.arange(len(n)), n)[solid]
+            size = np.concatenate([[0], np.cumsum(sizes[solid], dtype="i8")])
+            found = []
+            for k in range(1, min_lines + 1):
+                i = np.arange(len(solid) - k + 1)
+                j = i + k - 1
+                i = i[(text[i] == text[j]) & ((k == min_lines) | (size[j + 1] - size[i] >= min_bytes))]
+                found.append((text[i], solid[i], solid[i + k - 1]))
+            text, at, to = (np.concatenate(x) for x in zip(*found, strict=True))
+            h = hashes(s, at, to + 1).view("i8")
+            order = np.lexsort((at, h, text))
+            new = np.ones(len(order), bool)
+            new[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+            yield pa.RecordBatch.from_pydict({
+                "_id": batch.column("_id").take(pa.array(text)),
+                "_th": batch.column("_th").take(pa.array(text)),
+                "at": pa.array(at - begin[text], pa.int32()),
+                "to": pa.array(to - begin[text], pa.int32()),
+                "h": pa.array(h),
+                "new": pa.array(new),
+            })
+
+    return run
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions of two sequences, in order."""
     out: list[tuple[int, int]] = []
@@ -129,8 +168,8 @@ def duplicated(docs: DataFrame, rare: int = 50, min_lines: int = 3, min_bytes: i
     """For each document that loses lines: its key _id, _th and the positions `gone`."""
     rows = keyed(docs).select("_id", "_th", "text")
     seq = cut(rows.mapInArrow(_sequences, "_id long, _th long, hs array<long>, sizes array<int>").dropDuplicates(["_id", "_th"]))
-    line = seq.select("_id", "_th", F.posexplode(F.arrays_zip("hs", "sizes")).alias("at", "line")).where("line.sizes > 0").select("_id", "_th", "at", F.col("line.hs").alias("h"))
-    held = line.select("h", "_id", "_th").distinct()
+    window = seq.select("_id", "_th", "hs", "sizes").mapInArrow(_windows(min_lines, min_bytes), "_id long, _th long, at int, to int, h long, new boolean")
+    held = window.where("new").select("h", "_id", "_th")
     shared = held.groupBy("h").agg(F.min(F.struct("_id", "_th")).alias("first"), F.count("*").alias("df")).where("df > 1")
     shared = cut(shared.select("h", F.col("first._id").alias("f_id"), F.col("first._th").alias("f_th"), "df"))
 
@@ -140,9 +179,11 @@ def duplicated(docs: DataFrame, rare: int = 50, min_lines: int = 3, min_bytes: i
         both = pairs.join(first, ["f_id", "f_th"]).join(seq.select("_id", "_th", F.col("hs").alias("a"), "sizes"), ["_id", "_th"])
         return both.select("_id", "_th", "a", "b", "sizes").mapInPandas(_align(min_lines, min_bytes), "_id long, _th long, gone array<int>").where("size(gone) > 0")
 
-    by_rare = cut(aligned(line.join(shared.where(F.col("df") <= rare), "h")))
-    left = line.join(shared.where(F.col("df") > rare), "h").join(by_rare.select("_id", "_th", F.explode("gone").alias("at")).distinct(), ["_id", "_th", "at"], "left_anti")
+    by_rare = cut(aligned(held.join(shared.where(F.col("df") <= rare), "h")))
     # no more positions than the document has lines come together here
+    covered = by_rare.select("_id", "_th", F.explode("gone").alias("at")).groupBy("_id", "_th").agg(F.collect_set("at").alias("covered"))
+    left = window.join(shared.where(F.col("df") > rare), "h").join(covered, ["_id", "_th"], "left")
+    left = left.where(F.col("covered").isNull() | (F.size(F.array_except(F.sequence("at", "to"), "covered")) > 0))
     positions = by_rare.union(aligned(left)).select("_id", "_th", F.explode("gone").alias("at"))
     return positions.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 

@@ -255,6 +255,16 @@ def test_lines(spark, docs, none, rows):
     assert {line for _, t, *_ in rows for line in (t or "").split("\n") if line.strip()} <= kept
 
 
+def test_lines_ask_holders_of_windows(spark):
+    """A block goes although its lines' first holders, each another document, don't hold the block."""
+    small = [(1, "one\ntwo\nx"), (2, "y\nthree"), (3, "four\nz"), (4, "v\none\ntwo\n\nthree\nfour\nw"), (5, "p\none\ntwo\n\nthree\nfour\nq")]
+    small += [(6, "m" * 90 + "\nr"), (7, "a\nshort"), (8, "b\n" + "m" * 90 + "\nshort"), (9, "c\n" + "m" * 90 + "\nshort\nd")]
+    df = spark.createDataFrame(small, "doc_id long, text string")
+    for rare in (50, 1):
+        text = {r.doc_id: r.text for r in lines.dedup_text(df, rare=rare).collect()}
+        assert text == dict(small) | {5: "p\nq", 8: "b\nshort", 9: "c\nd"}
+
+
 def test_patience():
     rng = random.Random(2)
     for _ in range(200):
