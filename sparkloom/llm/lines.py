@@ -5,7 +5,9 @@
    smallest id). A document overlaps the first holders of its rare shared windows, those of at most `rare` documents.
 2. Each such pair is aligned with patience diff on the two hash sequences: common ends, then lines unique on both sides
    in their longest increasing order, then the gaps between them. Runs of aligned lines are common blocks; blocks of at
-   least `min_lines` lines or `min_bytes` bytes are deleted from the later document.
+   least `min_lines` lines or `min_bytes` bytes are deleted from the later document. Where the alignment leaves lines that
+   the partner holds (a second copy, a moved block, a gap without unique lines), the longest runs of the later document's
+   lines that stand anywhere in the partner are found by a suffix automaton and judged as blocks too.
 3. Windows shared by more documents than that, where blocks have not covered all their lines yet, ask their first
    holders in the same way, so that large groups of copies lose nothing to the bound.
 
@@ -25,7 +27,7 @@ import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -140,6 +142,44 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def held_runs(a: list[int], b: list[int]) -> list[int]:
+    """For each position of `a`, the length of the longest run ending there that stands anywhere in `b`.
+
+    A suffix automaton of `b` reads `a`, so that repeated lines don't cost the product of the lengths."""
+    to: list[dict[int, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for h in b:
+        new, p = len(to), last
+        to.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while p >= 0 and h not in to[p]:
+            to[p][h] = new
+            p = link[p]
+        if p >= 0:
+            q = to[p][h]
+            if size[q] > size[p] + 1:
+                copy = len(to)
+                to.append(dict(to[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                while p >= 0 and to[p].get(h) == q:
+                    to[p][h] = copy
+                    p = link[p]
+                link[q] = q = copy
+            link[new] = q
+        last = new
+    out, at, n = [], 0, 0
+    for h in a:
+        while at and h not in to[at]:
+            at = link[at]
+            n = size[at]
+        if h in to[at]:
+            at, n = to[at][h], n + 1
+        out.append(n)
+    return out
+
+
 def common_blocks(a: list[int], b: list[int], sizes: list[int], min_lines: int, min_bytes: int) -> list[int]:
     """Positions of `a`, the later one, that stand in common blocks of enough lines or bytes."""
     out: list[int] = []
@@ -152,7 +192,18 @@ def common_blocks(a: list[int], b: list[int], sizes: list[int], min_lines: int,
             block = []
         block.append(x)
         last = (x, y)
-    return out
+    gone, there = set(out), set(b)
+    if any(sizes[k] > 0 and k not in gone and h in there for k, h in enumerate(a)):
+        solid, total, cover = [0], [0], [0] * (len(a) + 1)
+        for z in sizes:
+            solid.append(solid[-1] + (z > 0))
+            total.append(total[-1] + z)
+        for k, n in enumerate(held_runs(a, b), 1):
+            if n and (solid[k] - solid[k - n] >= min_lines or total[k] - total[k - n] >= min_bytes):
+                cover[k - n] += 1
+                cover[k] -= 1
+        gone |= {k for k, c in enumerate(accumulate(cover)) if c}
+    return sorted(gone)
 
 
 def _align(min_lines: int, min_bytes: int):

@@ -1,6 +1,7 @@
 """The document operators against brute force, on a small table with awkward rows."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -265,6 +266,41 @@ def test_lines_ask_holders_of_windows(spark):
         assert text == dict(small) | {5: "p\nq", 8: "b\nshort", 9: "c\nd"}
 
 
+def test_lines_second_and_moved_copies():
+    """Every run of enough lines or bytes that the partner holds goes, however often and wherever it stands."""
+    rng = random.Random(8)
+    assert lines.common_blocks([1, 7, 1], [1, 9], [90, 5, 90], 3, 80) == [0, 2]
+    assert lines.common_blocks([4, 5, 6, 1, 2, 3], [1, 2, 3, 4, 5, 6], [5] * 6, 3, 80) == [0, 1, 2, 3, 4, 5]
+    for _ in range(500):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(25))] for _ in range(2))
+        sizes = [[0, 5, 20, 35, 50, 90][h] for h in a]
+        want = set()
+        for i, j in itertools.combinations(range(len(a) + 1), 2):
+            enough = sum(z > 0 for z in sizes[i:j]) >= 3 or sum(sizes[i:j]) >= 80
+            if enough and any(b[k : k + j - i] == a[i:j] for k in range(len(b))):
+                want |= set(range(i, j))
+        assert set(lines.common_blocks(a, b, sizes, 3, 80)) == want
+    assert lines.held_runs([3] * 5, [3] * 3) == [1, 2, 3, 3, 3]
+
+
+def test_lines_against_all_earlier_documents(spark):
+    """Over many documents: a line goes if and only if it stands in a block that any earlier document holds."""
+    rng = random.Random(12)
+    word = [f"{k} " + "w" * rng.choice([3, 12, 30, 45, 90]) for k in range(25)]
+    small = [(d, [rng.choice(word) for _ in range(rng.randrange(14))]) for d in range(60)]
+    want = {}
+    for d, x in small:
+        gone = set()
+        for i, j in itertools.combinations(range(len(x) + 1), 2):
+            enough = j - i >= 3 or sum(map(len, x[i:j])) >= 80
+            if enough and any(y[k : k + j - i] == x[i:j] for e, y in small if e < d for k in range(len(y))):
+                gone |= set(range(i, j))
+        want[d] = "\n".join(line for k, line in enumerate(x) if k not in gone)
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in small], "doc_id long, text string")
+    for rare in (50, 2):
+        assert {r.doc_id: r.text for r in lines.dedup_text(df, rare=rare).collect()} == want
+
+
 def test_patience():
     rng = random.Random(2)
     for _ in range(200):
