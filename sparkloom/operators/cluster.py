@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..frame import checked, doubles, first_least, squared_distance
 from ..model import Model, scorer
 from ..plans.graph import components, cut
+from ..stats import with_next
 
 
 @scorer("kmeans", "fuzzy_cmeans", "agglomerative", "dbscan")
@@ -122,16 +123,17 @@ def dbscan_model(df: DataFrame, clustered: DataFrame, features: Sequence[str], r
 def agglomerative(df: DataFrame, features: Sequence[str], k: int = 3, linkage: str = "complete", most: int = 400) -> Model:
     """Greedy merging on squared distances, single, complete or average.
 
-    Up to `most` distinct rows merge exactly; larger tables are first gathered by k-means into `most` weighted groups,
-    whose number bounds what merges on the driver.
+    Single linkage of one feature takes any table: its groups end at the k - 1 widest gaps between neighbouring values.
+    Other merging needs the distances of all pairs on the driver; over `most` distinct rows it's refused.
     """
     x = doubles(features)
     df = checked(df, features)
     points = df.groupBy(*[c.alias(n) for c, n in zip(x, features, strict=True)]).agg(F.count(F.lit(1)).alias("n"))
+    if linkage == "single" and len(features) == 1:
+        return _by_gaps(points, features[0], k)
     some = points.orderBy(*features).limit(most + 1).collect()
     if len(some) > most:
-        model = kmeans(df, features, most, rounds=5)
-        some = [{**dict(zip(features, c, strict=True)), "n": 1} for c in model.state["centers"]]
+        raise ValueError(f"{linkage} linkage of {len(features)} features compares all pairs and takes at most {most} distinct rows; raise `most` or gather the rows first")
     p, size = np.array([[r[f] for f in features] for r in some], "f8"), np.array([r["n"] for r in some], "f8")
     if not len(p) or not 1 <= k <= len(p):
         raise ValueError(f"k must be from 1 to {len(p)}")
@@ -156,3 +158,20 @@ def agglomerative(df: DataFrame, features: Sequence[str], k: int = 3, linkage: s
         alive.remove(j)
     centers = [np.average(p[groups[a]], axis=0, weights=size[groups[a]]).tolist() for a in alive]
     return Model("agglomerative", list(features), {"centers": centers}, n_samples=df.count())
+
+
+def _by_gaps(points: DataFrame, feature: str, k: int) -> Model:
+    """Single linkage of distinct values with counts `n`; of equal gaps the lower are merged first."""
+    points = points.select(F.col(feature).alias("v"), "n").cache()
+    try:
+        values, rows = points.agg(F.count(F.lit(1)), F.sum("n")).first()
+        if not values or not 1 <= k <= values:
+            raise ValueError(f"k must be from 1 to {values}")
+        gaps = with_next(points, "v").where("next is not null")
+        gap = (F.col("next") - F.col("v")) * (F.col("next") - F.col("v"))
+        ends = sorted(r.v for r in gaps.orderBy(gap.desc(), F.desc("v")).limit(k - 1).collect()) if k > 1 else []
+        group = F.aggregate(F.array(*[F.lit(e) for e in ends]), F.lit(0), lambda a, e: a + F.when(F.col("v") > e, 1).otherwise(0)) if ends else F.lit(0)
+        found = points.groupBy(group.alias("g")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("center")).collect()
+        return Model("agglomerative", [feature], {"centers": [[r.center] for r in sorted(found, key=lambda r: r.g)]}, n_samples=rows)
+    finally:
+        points.unpersist()

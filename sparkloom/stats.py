@@ -64,16 +64,37 @@ def order_statistic(df: DataFrame, column: Column, place: int, few: int = 10_000
     return sorted(r[0] for r in values.where(F.col("v").between(low, high)).collect())[place]
 
 
-def running_sums(df: DataFrame, order: str, sums: dict[str, Column], descending: bool = False, buckets: int = 256) -> DataFrame:
+def range_cuts(df: DataFrame, order: str, buckets: int = 256) -> list[float]:
+    """Values that part `order` into up to `buckets` ranges of about as many rows."""
+    cuts = df.select(F.percentile_approx(F.col(order).cast("double"), [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    return sorted(set(cuts))
+
+
+def _ranged(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
+    where = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda a, c: a + F.when(F.col(order).cast("double") > c, 1).otherwise(0)) if cuts else F.lit(0)
+    return df.withColumn("_range", where)
+
+
+def with_next(df: DataFrame, order: str, cuts: Sequence[float] | None = None) -> DataFrame:
+    """`df`, of one row per value of `order`, with the value that follows as `next` (null at the last).
+
+    Windows run within a range; the last row of a range takes the first value of a later one.
+    """
+    parts = _ranged(df, order, range_cuts(df, order) if cuts is None else cuts)
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_range")
+    firsts = parts.groupBy("_range").agg(F.min(order).alias("_first")).select("_range", F.lead("_first").over(ahead).alias("_after"))
+    inside = Window.partitionBy("_range").orderBy(order)
+    out = parts.select("*", F.lead(order).over(inside).alias("next")).join(F.broadcast(firsts), "_range")
+    return out.select(*df.columns, F.coalesce("next", "_after").alias("next"))
+
+
+def running_sums(df: DataFrame, order: str, sums: dict[str, Column], descending: bool = False, buckets: int = 256, cuts: Sequence[float] | None = None) -> DataFrame:
     """`df`, of one row per value of `order`, with running sums in that order.
 
     Rows are dealt into ranges of `order`; windows run within a range, and the totals of earlier ranges (at most
     `buckets` rows) are added.
     """
-    cuts = df.select(F.percentile_approx(F.col(order).cast("double"), [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    where = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda a, c: a + F.when(F.col(order).cast("double") > c, 1).otherwise(0)) if cuts else F.lit(0)
-    parts = df.withColumn("_range", where)
+    parts = _ranged(df, order, range_cuts(df, order, buckets) if cuts is None else cuts)
     totals = parts.groupBy("_range").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
     key = F.desc("_range") if descending else F.asc("_range")
     before = Window.partitionBy(F.lit(0)).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import queries as catalogue
+from sparkloom import stats
 from sparkloom.functions import metrics, vectors
 from sparkloom.model import Model
 from sparkloom.operators import bayes, cluster, decomp, glm, linear, margin, mining, neighbors, network, resample, survival, tree, tseries, validate
@@ -113,6 +114,25 @@ def test_clusters(spark):
         cluster.kmeans(near, ["x"], 1000)
 
 
+def test_single_linkage_of_any_size(spark):
+    """The widest gaps of the whole table part the groups, and every row counts; other merging refuses what it can't hold."""
+    rng = random.Random(3)
+    values = [round(rng.uniform(0, 100), 3) for _ in range(1500)] + [100.9, 250.0, 250.5] + [7.5] * 400
+    values = [v for v in values if not 40 < v < 40.6 and not 80 < v < 80.7]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    v = sorted(set(values))
+    ends = sorted(sorted(range(len(v) - 1), key=lambda i: (-((v[i + 1] - v[i]) ** 2), -v[i]))[:4])
+    edges = [-math.inf, *[v[i] for i in ends], math.inf]
+    want = [np.mean([y for y in values if a < y <= b]) for a, b in zip(edges, edges[1:])]
+    m = cluster.agglomerative(df, ["x"], 5, "single", most=300)
+    assert np.allclose([c[0] for c in m.state["centers"]], want) and m.n_samples == len(values)
+    follow = stats.with_next(df.distinct(), "x").orderBy("x").collect()
+    assert [(r.x, r.next) for r in follow] == list(zip(v, [*v[1:], None]))
+    for linkage, features in (("complete", ["x"]), ("average", ["x"]), ("single", ["x", "y"])):
+        with pytest.raises(ValueError, match="at most 300"):
+            cluster.agglomerative(df.withColumn("y", F.col("x")), features, 5, linkage, most=300)
+
+
 def test_directions(noisy):
     x = np.array([[r[f] for f in FEATURES] for r in noisy.collect()])
     values = np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1]
