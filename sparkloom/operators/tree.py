@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..frame import checked, decode_labels, doubles, encode_labels, sigmoid
 from ..model import Model, scorer
+from ..stats import range_cuts, running_sums, with_next
 
 
 def tree_column(tree: dict, x: list[Column], strict: bool = False) -> Column:
@@ -179,17 +180,22 @@ def adaboost(df: DataFrame, features: Sequence[str], label: str, rounds: int = 5
     df = df.select(*features, (2 * F.col("_k") - 1).cast("double").alias("_y")).cache()
     try:
         n = df.count()
+        cuts = [range_cuts(df.select(F.col(f).cast("double").alias("v")).distinct(), "v") for f in features]
         stumps: list[dict] = []
         for _ in range(rounds):
             margin = F.lit(0.0)
             for s in stumps:
                 margin = margin + F.lit(s["alpha"] * s["polarity"]) * F.when(F.col(features[s["feature"]]).cast("double") <= F.lit(s["threshold"]), -1.0).otherwise(1.0)
             w = F.exp(-F.col("_y") * margin)
-            pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).cast("double").alias("v")) for k, f in enumerate(features)]))
-            at = df.select(w.alias("w"), (w * (F.col("_y") > 0).cast("double")).alias("up"), pairs.alias("p")).groupBy("p.f", "p.v").agg(F.sum("w").alias("w"), F.sum("up").alias("up"))
-            by = Window.partitionBy("f").orderBy("v")
-            so_far, all_of = by.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("f").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            at = at.select("f", "v", F.lead("v").over(by).alias("next"), F.sum("w").over(so_far).alias("lw"), F.sum("up").over(so_far).alias("lu"), F.sum("w").over(all_of).alias("aw"), F.sum("up").over(all_of).alias("au")).where("next is not null")
+            # each feature's sums run over ranges of its values
+            weighed = df.select(*features, w.alias("w"), (w * (F.col("_y") > 0).cast("double")).alias("up"))
+            whole = weighed.agg(F.sum("w").alias("aw"), F.sum("up").alias("au"))
+            at = None
+            for k, (f, c) in enumerate(zip(features, cuts, strict=True)):
+                one = weighed.groupBy(F.col(f).cast("double").alias("v")).agg(F.sum("w").alias("w"), F.sum("up").alias("up"))
+                one = with_next(running_sums(one, "v", {"lw": F.col("w"), "lu": F.col("up")}, cuts=c), "v", c).select(F.lit(k).alias("f"), "v", "next", "lw", "lu")
+                at = one if at is None else at.union(one)
+            at = at.where("next is not null").crossJoin(F.broadcast(whole))
             # polarity 1: right of the threshold is the upper class
             error = (F.col("lu") + (F.col("aw") - F.col("au")) - (F.col("lw") - F.col("lu"))) / F.col("aw")
             both = F.explode(F.array(F.struct(F.round(error, 12).alias("e"), F.lit(0).alias("flip")), F.struct(F.round(1 - error, 12).alias("e"), F.lit(1).alias("flip"))))
@@ -206,6 +212,8 @@ def adaboost(df: DataFrame, features: Sequence[str], label: str, rounds: int = 5
 def random_forest(df: DataFrame, features: Sequence[str], label: str, classify: bool = False, trees: int = 100, max_depth: int = 10, seed: int = 42, out: str = "prediction") -> tuple[DataFrame, object]:
     """Spark's own forest: a third of the features per split to regress, their square root to classify.
 
+    Features of up to 256 distinct values keep them all as split points; others have as many bins as the fullest of these,
+    32 at least.
     Returns the scored rows and the fitted pipeline stage.
     """
     from pyspark.ml.classification import RandomForestClassifier
@@ -214,10 +222,12 @@ def random_forest(df: DataFrame, features: Sequence[str], label: str, classify:
 
     df = checked(df, features, label)
     cols = [c for c in df.columns]
+    counts = df.agg(*[F.count_distinct(F.col(f).cast("double")) for f in features]).first()
+    bins = max([32, *(c for c in counts if c <= 256)])
     df = VectorAssembler(inputCols=list(features), outputCol="_features").transform(df)
     if classify:
         df, labels = encode_labels(df, label, "_label")
-        fitted = RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_p", numTrees=trees, maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt").fit(df.withColumn("_label", F.col("_label").cast("double")))
+        fitted = RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_p", numTrees=trees, maxDepth=max_depth, maxBins=bins, seed=seed, featureSubsetStrategy="sqrt").fit(df.withColumn("_label", F.col("_label").cast("double")))
         return fitted.transform(df).select(*cols, decode_labels(F.col("_p"), labels).alias(out)), fitted
-    fitted = RandomForestRegressor(featuresCol="_features", labelCol="_label", predictionCol=out, numTrees=trees, maxDepth=max_depth, seed=seed, featureSubsetStrategy="onethird").fit(df.withColumn("_label", F.col(label).cast("double")))
+    fitted = RandomForestRegressor(featuresCol="_features", labelCol="_label", predictionCol=out, numTrees=trees, maxDepth=max_depth, maxBins=bins, seed=seed, featureSubsetStrategy="onethird").fit(df.withColumn("_label", F.col(label).cast("double")))
     return fitted.transform(df).select(*cols, out), fitted

@@ -182,7 +182,7 @@ def gradient_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def adaboost(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _standard(spark, sf_dir)
-    m = tree.adaboost(rows, ["x"], "y", rounds=3, bins=32)
+    m = tree.adaboost(rows, ["x"], "y", rounds=3)
     return spark.createDataFrame([(k, s["threshold"], s["polarity"], s["alpha"]) for k, s in enumerate(m.state["stumps"])], "round int, threshold double, polarity double, alpha double")
 
 

@@ -90,6 +90,32 @@ def test_margins_network_and_trees_fit(noisy):
         assert both.where("abs(p - q) > 1e-9").isEmpty()
 
 
+def test_adaboost_query_tries_all_midpoints(spark):
+    """The registered query against the same boosting in numpy, over all midpoints of distinct values."""
+    rows = catalogue._standard(spark, DATA).select("x", "y").dropna().toPandas()
+    x, y = rows.x.to_numpy(), np.where(rows.y > 0, 1.0, -1.0)
+    v = np.unique(x)
+    assert len(v) > 64
+    mids, w = (v[1:] + v[:-1]) / 2, np.ones(len(x))
+    got = catalogue.FOUND["adaboost"](spark, DATA).orderBy("round").collect()
+    assert len(got) == 3
+    for r in got:
+        error = np.array([w[np.where(x <= t, -1, 1) != y].sum() for t in mids]) / w.sum()
+        best = min(error.min(), (1 - error).min())
+        mine = w[r.polarity * np.where(x <= r.threshold, -1, 1) != y].sum() / w.sum()
+        assert np.abs(mids - r.threshold).min() < 1e-9 and mine == pytest.approx(best, abs=1e-9)
+        assert r.alpha == pytest.approx(0.5 * math.log((1 - best) / best), abs=1e-6)
+        w = w * np.exp(-r.alpha * y * r.polarity * np.where(x <= r.threshold, -1, 1))
+
+
+def test_forest_splits_at_every_value(spark):
+    df = spark.createDataFrame([(float(k), float(k % 2)) for k in range(50) for _ in range(20)], "x double, y double")
+    _, fitted = tree.random_forest(df, ["x"], "y", trees=2, max_depth=2)
+    assert fitted.getMaxBins() == 50
+    wide = spark.createDataFrame([(float(k), float(k % 2)) for k in range(300)], "x double, y double")
+    assert tree.random_forest(wide, ["x"], "y", trees=2, max_depth=2)[1].getMaxBins() == 32
+
+
 def test_naive_bayes_and_neighbours(noisy):
     labelled = noisy.withColumn("c", F.when(F.col("f0") > 0, 5.0).otherwise(2.0))
     assert bayes.naive_bayes(labelled, ["f0"], "c").transform(labelled).where("prediction = c").count() > 270
