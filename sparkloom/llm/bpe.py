@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import keyed
 
-CACHE_PIECES = 600_000
+#: Pieces whose ids a worker keeps, about 30 MB; then it starts over.
+CACHE_PIECES = 200_000
 
 
 def ranks_path() -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.graph import components, cut, shared_folder
+
+__all__ = ["BATCH_ROWS", "NULL_ID", "components", "cut", "fan_out", "keyed", "matched", "stored", "table"]
+
 #: Stands for a null doc_id inside an operator: later than every real id.
 NULL_ID = (1 << 63) - 1
 
@@ -23,19 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` (eagerly) in the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only a single-machine session without that setting gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text, and the key (_id, _th) of a row: the id with null made sortable, and a hash of the text.
 
@@ -55,35 +44,23 @@ def fan_out(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of `edges` (a, b: long) by large-star and small-star steps.
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: like a checkpoint, but compressed and read by column."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
-    Returns node, component (the smallest node reachable) for every node of an edge. Each round is two grouped
-    minimum aggregations over the edge list, with partial aggregation on the map side, so that a node with very
-    many neighbours never meets in one task; the list is checkpointed each round and ends as stars.
+def matched(rows: DataFrame, keys: DataFrame, key: str, most: int = 5000, spread: int = 64) -> DataFrame:
+    """Inner join of `rows` with `keys`, a stored table of distinct `key` and `c`, the rows of `rows` that hold it.
+
+    Keys of over 1/`most` of all those rows, of which there are fewer than `most`, are broadcast to deal their rows out
+    over `spread` salts, so that no task gets all rows of one key. `rows` is read once.
     """
-    e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: every larger neighbour joins the smallest of the neighbourhood
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        # small star: the smaller neighbours and the node itself join the smallest of them
-        small_low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(small_low, "b").select(
-            F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("p")
-        ).select("p.a", "p.b").where("a <> b").distinct()
-        nxt = cut(small)
-        # ended: every node hangs on one other node, and none of those hangs itself
-        heads = nxt.select(F.col("a").alias("b")).distinct()
-        done = nxt.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").limit(1).union(
-            nxt.join(heads, "b", "left_semi").select("b", F.lit(1).alias("n")).limit(1)
-        ).count() == 0
-        e = nxt
-        if done:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
-        e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    )
+    bar = max(10_000, -(-(keys.agg(F.sum("c")).first()[0] or 0) // most))
+    hot: Column = F.col("c") >= bar
+    salts = F.broadcast(keys.where(hot).select(key, F.lit(spread).alias("_spread")))
+    dealt = rows.join(salts, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "_spread"), F.lit(0)).cast("int")).drop("_spread")
+    every = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, spread - 1).otherwise(0))))
+    return dealt.join(every, [key, "_salt"]).drop("_salt")

@@ -20,12 +20,18 @@ BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=_U) * _U
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
+#: A worker keeps so many powers, and makes more anew for a longer block.
+KEPT_POWERS = (1 << 20) + (1 << 16)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**j and BASE**-j for j < n."""
     if len(_powers[0]) < n:
         size = max(n, 1 << 16)
-        for k, b in enumerate((BASE, _INVERSE)):
-            _powers[k] = np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, b, _U)]), dtype=_U)
+        more = [np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, b, _U)]), dtype=_U) for b in (BASE, _INVERSE)]
+        if size > KEPT_POWERS:
+            return more[0][:n], more[1][:n]
+        _powers[:] = more
     return _powers[0][:n], _powers[1][:n]
 
 
