@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import keyed
 from .learning import held_out, teaching_sample
-from .spans import BYTES, NOT_SPACE, blocks, hashes, runs, sums
+from .spans import BYTES, NOT_SPACE, blocks, hashes, runs, slices, sums
 
 _IS = {
     "upper": np.array([0x41 <= b <= 0x5A for b in range(256)]),
@@ -156,7 +156,7 @@ def train_field(x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int, pe
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         ids, labels = batch.column("doc_id"), batch.column("label")
         for a, b, data, offsets in blocks(batch.column("text")):
             x, size, first = line_features(data, offsets)
@@ -168,9 +168,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, longest: int = 40_000, rounds: int = 150) -> Model:
-    """Fit on at most `most` labelled teaching rows of at most `longest` characters, which bounds what the driver gets."""
-    sample = teaching_sample(docs, labels, "quality", most, longest)
+def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, characters: int = 30_000_000, rounds: int = 150) -> Model:
+    """Fit on at most `most` labelled teaching rows of `characters` together, which bounds what the driver gets."""
+    sample = teaching_sample(docs, labels, "quality", most, characters)
     rows = sample.select("doc_id", "label", "text").mapInArrow(_sampled, "doc_id long, label int, x binary, size binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     y = np.array([r["label"] for r in rows], "i8")
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, longest: int = 40_
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             score = np.full(batch.num_rows, model.base if model.base is not None else 0.5)
             if model.base is None:
                 for a, b, data, offsets in blocks(batch.column("text")):

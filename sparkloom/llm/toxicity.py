@@ -77,7 +77,7 @@ def lookup(wanted: np.ndarray) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of either label that have each feature, summed over a block of a batch."""
-    for batch in batches:
+    for batch in slices(batches):
         label = batch.column("label").to_numpy(zero_copy_only=False)
         for first, last, data, offsets in blocks(pc.utf8_lower(batch.column("text"))):
             for h, _word, text in features(data, offsets):
@@ -92,7 +92,7 @@ def _votes(wanted: np.ndarray):
     table = lookup(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [np.flatnonzero(row).astype("i4") for _, _, has in _present(batch.column("text"), wanted, table) for row in has]
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "votes": pa.array(got, pa.list_(pa.int32()))})
 
@@ -158,9 +158,9 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int =
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, longest: int = 60_000, voters: int = 400, support: int = 6) -> Model:
-    """Fit on at most `most` labelled teaching rows; what reaches the driver is bounded by most * voters."""
-    sample = teaching_sample(docs, labels, "toxic", most, longest)
+def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, characters: int = 100_000_000, voters: int = 400, support: int = 6) -> Model:
+    """Fit on at most `most` labelled teaching rows of `characters` together; what reaches the driver is bounded by most * voters."""
+    sample = teaching_sample(docs, labels, "toxic", most, characters)
     counts = sample.select("text", "label").mapInArrow(_counts, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     totals = sample.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in totals}
