@@ -1,8 +1,9 @@
 """Packing of token sequences: first-fit decreasing over a tournament tree, in randomised groups of documents.
 
 1. One pass tokenises each whole text and cuts its ids every `size` tokens; a row per piece, without the ids.
-2. Rows are dealt into groups by a hash of the row; each group of about `group_docs` documents is packed alone.
-   A group holds a few thousand lengths whatever the corpus holds, so no task grows with the input.
+2. Pieces are dealt into groups by a hash of the row, the piece and the row's number where it was read, so that neither
+   copies of one row nor the pieces of one very long text meet; each group of about `group_pieces` pieces is packed alone.
+   The pieces are checkpointed with that number, so that a rerun deals alike. No task grows with the input.
 3. Within a group, pieces go in decreasing length to the first sequence with room. A complete binary tree over the
    sequences' free room (each inner node the larger of its children) finds that sequence in log time.
 
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import cut, keyed
+from .spans import slices
 
 END = 2
 #: Ends each word in the byte-pair encoder's input; a text that holds it goes to the tokenizer as it is.
 MARK = "\x01"
 WORD_END = "</w>"
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker keeps, about 30 MB; then it starts over.
+CACHE_WORDS = 200_000
 
 
 def tokenizer_path() -> str:
@@ -109,7 +112,8 @@ def _pieces(path: str, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         end = np.array([END], "<u4").tobytes()
-        for batch in batches:
+        done = 0
+        for batch in slices(batches, 500):
             out: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for row, text in enumerate(batch.column("text").to_pylist()):
                 raw = encode(text) + end
@@ -126,6 +130,8 @@ def _pieces(path: str, size: int, with_ids: bool):
             take = pa.array(out.pop("row"), pa.int32())
             ids = out.pop("ids")
             cols = {k: batch.column(k).take(take) for k in ("doc_id", "_id", "_th")}
+            cols["_row"] = pa.array(take.to_numpy().astype("i8") + done)
+            done += batch.num_rows
             cols |= {k: pa.array(v, pa.int64()) for k, v in out.items()}
             if with_ids:
                 cols["ids"] = pa.array(ids, pa.list_(pa.int32()))
@@ -168,12 +174,12 @@ def _packer(size: int):
     return run
 
 
-def pack(docs: DataFrame, size: int = 4096, group_docs: int = 4000, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, size: int = 4096, group_pieces: int = 4000, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for)."""
-    rows = keyed(docs)
-    n_groups = max(1, -(-docs.count() // group_docs))
-    kinds = "doc_id long, _id long, _th long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    pieces = rows.mapInArrow(_pieces(path or tokenizer_path(), size, with_ids), kinds)
-    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "_th", F.lit(7)), F.lit(n_groups)))
+    kinds = "doc_id long, _id long, _th long, _row long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    pieces = keyed(docs).mapInArrow(_pieces(path or tokenizer_path(), size, with_ids), kinds)
+    pieces = cut(pieces.withColumn("_deal", F.xxhash64("_id", "_th", "start", "_row", F.spark_partition_id())).drop("_row"))
+    n_groups = max(1, -(-pieces.count() // group_pieces))
+    pieces = pieces.withColumn("_group", F.pmod("_deal", F.lit(n_groups))).drop("_deal")
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return pieces.groupBy("_group").applyInPandas(_packer(size), kinds + ", sequence_id long, offset long")

@@ -186,7 +186,7 @@ def test_packing(docs, rows, none):
     tok = Tokenizer.from_file(packing.tokenizer_path())
     tok.encode_special_tokens = True
     want = [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t, *_ in rows]
-    got = packing.pack(docs, size=256, group_docs=10, with_ids=True).collect()
+    got = packing.pack(docs, size=256, group_pieces=10, with_ids=True).collect()
     expect = [(i, s, len(x[s : s + 256]), zlib.crc32(x[s : s + 256].tobytes()), len(x)) for (i, *_), x in zip(rows, want, strict=True) for s in range(0, len(x), 256)]
     assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got), key=repr) == sorted(expect, key=repr)
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
@@ -232,13 +232,6 @@ def test_bpe(docs, rows, none):
     assert bpe.encode(none).count() == 0
 
 
-def brute_lines(rows, rare=3, min_lines=2, min_bytes=30):
-    order = {}
-    for i, t, *_ in rows:
-        order.setdefault((i if i is not None else 1 << 63, t or ""), (t or "").split("\n") if t else [])
-    return order
-
-
 def test_lines(spark, docs, none, rows):
     a = "first line here\nsecond line here\nthird line here\n\nfifth line here and it is a long one"
     small = [(1, a), (2, "own start\n" + a + "\nown end"), (3, "second line here\nnothing else"), (4, a), (5, None), (6, ""), (7, a.replace("third", "3rd"))]
