@@ -1,23 +1,29 @@
 """Substrings that recur anywhere, by distributed prefix doubling over content-chosen positions.
 
-Every `length`-byte window belongs to an anchor (see windows). The positions ranked are the anchors, and a position's
-rank names the bytes around it:
-
-1. The first rank is the anchor's gram of 64 bytes. Spark counts ranks; positions of a unique rank go.
-2. Runs that are equal as a whole (all bytes that their windows cover) fold into one position with a count. All windows
-   of a run with a count over 1 recur.
-3. Each round pairs a position's rank with the rank of the bytes at a growing offset, 64, 128, ... to the right, and as
-   far to the left, and reranks by the pair; where a pair is unique the position's reach ends below that offset. A
-   position whose reach to both sides can't make up a window goes.
-4. Past the threshold: the positions left compare all their windows by rank of the whole window, at each distance
-   from the anchor. Anchors with very many different runs deal their windows out as rows, so none meets in one task.
+Every `length`-byte window belongs to an anchor (see windows), and the windows of one anchor that follow each other form
+a run. Positions to be ranked stand on a lattice around the anchors, a quarter of a window apart, so that equal strings
+have equal positions.
+
+1. Positions. Spark counts the anchors' grams of 64 bytes and keeps the runs whose gram recurs. Runs that are equal as a
+   whole are one to all that follows, and all windows of a run with copies recur. The bytes of each other run that
+   still shares its gram are cut out once and stored.
+2. First round. The names of two neighbouring cells (a quarter of a window each) make a position's pair. Spark sorts
+   all pairs by range; the place in that order, equal pairs having one, is the rank of half a window. A pair that stands
+   alone in the order is unique, and goes.
+3. Second round. A position's rank and the rank one cell further on (h = 1 cell: both must have survived) make the pair;
+   sorted and ranked again, they name three quarters of a window.
+4. Past the threshold. Every window holds such a position (its core) within its first quarter; the core's rank and what
+   the window has left and right of it, a quarter of its bytes together, name the window. Windows without a ranked core
+   are unique. Names are compared anchor by anchor; anchors with over `crowd` different runs deal a row per window out
+   instead, counted by Spark, so that none meets in one task.
 5. Recurring windows join into spans per document, and leave its bytes.
 
-Ranks are names by hash instead of by place in a global sort: equal strings have equal names, which is all that
-counting needs, and no round orders the corpus as a whole.
+Hot grams, runs and windows are joined with salted keys, and sorted pairs of one value are dealt over tasks by the run's
+name. First names are hashes of 64 bits; ranks are exact.
 
 Defined cases: null counts as empty; matches never cross texts; a row repeats another's text as any copy does; texts
-below the length keep all; an empty table gives no rows; columns besides doc_id and text are ignored.
+below the length keep all; very long texts are taken in parts; an empty table gives no rows; columns besides doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -28,34 +34,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keyed
+from .common import cut, keyed, matched, stored
 from .spans import BYTES, blocks, hashes, mix, slices, sums
 from .windows import merged, runs_of
 
 GRAM = 64
-#: Reach of the rounds: bytes from the anchor to the right, and to the left.
-RIGHT, LEFT = (128, 256), (64, 192)
+#: Cells of the lattice in a window, and in the core whose rank the last round gives.
+CELLS, CORE = 4, 3
 _U = np.uint64
-
-
-def _reach(r, side: tuple[int, ...], right: bool) -> list[np.ndarray]:
-    """Hashes (31 bits) of the bytes that each round adds; 0 where the run doesn't cover them.
-
-    A pair of strings with equal names that differ only keeps a position for the comparison that follows.
-    """
-    anchor, low, high = r.start + r.reach, r.start, r.start + r.count - 1
-    out, before = [], GRAM if right else 0
-    for size in side:
-        a, b = (anchor + before, anchor + size) if right else (anchor - size, anchor - before)
-        fits = (b <= high + r.length) if right else (a >= low)
-        h = np.zeros(len(anchor), "u8")
-        h[fits] = hashes(r.s, a[fits], b[fits]) >> _U(33) | _U(1)
-        out.append(h.astype("i4"))
-        before = size
-    return out
+_ODD = _U(0x9E3779B97F4A7C15)
 
 
 def _positions(length: int, grams_only: bool):
@@ -66,120 +57,237 @@ def _positions(length: int, grams_only: bool):
                 cols = {"g": pa.array(r.gram.view("i8"))}
                 if not grams_only:
                     row = pa.array(first + r.text)
+                    cols |= {"run": pa.array(r.run.view("i8")), "n": pa.array(r.count.astype("i4")), "d": pa.array(r.reach.astype("i4"))}
                     cols |= {k: batch.column(k).take(row) for k in ("_id", "_th")}
-                    cols |= {"s": pa.array(r.whole.view("i8")), "at": pa.array(r.start - offsets[r.text]), "n": pa.array(r.count.astype("i4")), "d": pa.array(r.reach.astype("i4"))}
-                    for k, h in zip(("r1", "r2", "l1", "l2"), [*_reach(r, RIGHT, True), *_reach(r, LEFT, False)], strict=True):
-                        cols[k] = pa.array(h)
+                    cols["at"] = pa.array(r.start - offsets[r.text])
                 yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
-KINDS = "g long, _id long, _th long, s long, at long, n int, d int, r1 int, r2 int, l1 int, l2 int"
+RUN = "g long, run long, n int, d int, _id long, _th long, at long"
 
 
 def _cut_out(length: int):
     """The bytes of each run asked for."""
+    kinds = {"g": pa.int64(), "run": pa.int64(), "n": pa.int32(), "d": pa.int32(), "alone": pa.bool_(), "crowded": pa.bool_(), "at": pa.int64(), "bytes": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in slices(batches, 500):
-            out: dict[str, list] = {k: [] for k in ("g", "n", "d", "alone", "at", "bytes", "row")}
-            for row, (text, runs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)):
-                raw = text.encode()
+            out: dict[str, list] = {k: [] for k in kinds}
+            rows = []
+            for row, (text, runs, *key) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("text", "runs", "_id", "_th")), strict=True)):
+                if key == last:  # repeated rows follow each other
+                    continue
+                raw, last = text.encode(), key
                 for x in runs:
-                    for k in ("g", "n", "d", "alone", "at"):
+                    x["bytes"] = raw[x["at"] : x["at"] + x["n"] - 1 + length]
+                    for k in kinds:
                         out[k].append(x[k])
-                    out["bytes"].append(raw[x["at"] : x["at"] + x["n"] - 1 + length])
-                    out["row"].append(row)
-            row = pa.array(out.pop("row"), pa.int32())
-            kinds = {"g": pa.int64(), "n": pa.int32(), "d": pa.int32(), "alone": pa.bool_(), "at": pa.int64(), "bytes": pa.binary()}
+                    rows.append(row)
             cols = {k: pa.array(out[k], kind) for k, kind in kinds.items()}
-            yield pa.RecordBatch.from_pydict(cols | {k: batch.column(k).take(row) for k in ("_id", "_th")})
+            take = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_pydict(cols | {k: batch.column(k).take(take) for k in ("_id", "_th")})
+
+    return run
+
+
+def _pairs(length: int):
+    """For each position of a run's lattice with two whole cells: the names of both."""
+    cell = length // CELLS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2000):
+            d = batch.column("d").to_numpy().astype("i8")
+            for a, b, data, offsets in blocks(batch.column("bytes")):
+                anchor, size = d[a:b], np.diff(offsets)
+                low, high = -(anchor // cell), (size - anchor) // cell - 2  # first and last position, in cells from the anchor
+                count = np.maximum(high - low + 1, 0)
+                of = np.repeat(np.arange(b - a), count)
+                m = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + low[of]
+                at = offsets[:-1][of] + anchor[of] + m * cell
+                s = sums(BYTES[data])
+                take = pa.array(a + of)
+                yield pa.RecordBatch.from_pydict({
+                    "run": batch.column("run").take(take),
+                    "g": batch.column("g").take(take),
+                    "crowded": batch.column("crowded").take(take),
+                    "m": pa.array(m.astype("i4")),
+                    "x": pa.array(hashes(s, at, at + cell).view("i8")),
+                    "y": pa.array(hashes(s, at + cell, at + 2 * cell).view("i8")),
+                })
+
+    return run
+
+
+POSITION = "run long, g long, crowded boolean, m int"
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray] | None:
+    """A sorted partition as a table, and where its pairs begin."""
+    table = [b for b in batches if b.num_rows]
+    if not table:
+        return None
+    table = pa.Table.from_batches(table).combine_chunks()
+    x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return table, new
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted partition's number, first and last pair, and count of pairs."""
+    if got := _columns(batches):
+        table, new = got
+        pick = lambda k, at: [table.column(k)[at].as_py()]
+        last = table.num_rows - 1
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "x0": pick("x", 0), "y0": pick("y", 0), "x1": pick("x", last), "y1": pick("y", last), "pairs": [int(new.sum())]})
+
+
+def _number(before: dict[int, tuple[int, bool, bool]]):
+    """Ranks of a sorted partition's rows; those of pairs that stand alone are left out.
+
+    `before`: for a partition, its first rank, and whether its first and last pair go on beyond it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := _columns(batches):
+            table, new = got
+            base, joins_left, joins_right = before[TaskContext.get().partitionId()]
+            alone = new & np.concatenate([new[1:], [True]])
+            if joins_left:
+                alone[0] = False
+            if joins_right:
+                alone[-1] = False
+            table = table.append_column("rank", pa.array(base + np.cumsum(new) - 1)).filter(pa.array(~alone))
+            yield from table.select(["run", "g", "crowded", "m", "rank"]).to_batches(max_chunksize=10_000)
 
     return run
 
 
-def window_ranks(g: np.ndarray, n: np.ndarray, d: np.ndarray, contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of the given runs: the run's number, the window's number in it, and the window's rank."""
+def ranked(pairs: DataFrame) -> DataFrame:
+    """One round: `pairs` (a position and its pair x, y) sorted by Spark, and ranked by place. Unique pairs go.
+
+    Rows of one pair go on to the next partition where they are many. What the driver gets is a row per partition.
+    """
+    order = ["x", "y", "run", "m"]
+    rows = cut(pairs.repartitionByRange(*order).sortWithinPartitions(*order))
+    ends = sorted(rows.select("x", "y").mapInArrow(_ends, "part int, x0 long, y0 long, x1 long, y1 long, pairs long").collect())
+    before, base, last = {}, 0, None
+    for k, e in enumerate(ends):
+        left = last == (e.x0, e.y0)
+        last = (e.x1, e.y1)
+        right = k + 1 < len(ends) and last == (ends[k + 1].x0, ends[k + 1].y0)
+        base -= left
+        before[e.part] = (base, left, right)
+        base += e.pairs
+    return rows.mapInArrow(_number(before), POSITION + ", rank long")
+
+
+def window_names(n: np.ndarray, d: np.ndarray, contents: list[bytes], cores: tuple[np.ndarray, np.ndarray, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows of the given runs that have a ranked core: the run's number, the window's number, and its name.
+
+    `cores`: run's number, place in cells from the anchor, and rank.
+    """
+    cell = length // CELLS
     data = np.frombuffer(b"".join(contents), "u1")
-    base = np.concatenate([[0], np.cumsum([len(x) for x in contents])])[:-1]
-    run = np.repeat(np.arange(len(n)), n)
-    k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    h = hashes(sums(BYTES[data]), base[run] + k, base[run] + k + length)
-    return run, k, mix(h ^ g.view("u8")[run] ^ ((d[run] - k).astype("u8") * _U(0x9E3779B97F4A7C15)))
+    base = np.concatenate([[0], np.cumsum([len(x) for x in contents])])[:-1].astype("i8")
+    of = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    m = -((d[of] - k) // cell)  # the first lattice position at or after the window's start
+    key = cores[0] * 256 + cores[1] + 128
+    order = np.argsort(key)
+    key, rank = key[order], cores[2][order]
+    want = of * 256 + m + 128
+    at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
+    has = key[at] == want if len(key) else np.zeros(len(want), bool)
+    of, k, m, at = of[has], k[has], m[has], at[has]
+    left = m * cell - (k - d[of])
+    start = base[of] + k
+    s = sums(BYTES[data])
+    core = start + left
+    before, after = hashes(s, start, core), hashes(s, core + CORE * cell, start + length)
+    name = mix(mix(rank[at].astype("u8") + left.astype("u8") * _ODD) ^ mix(before + _U(1)) * _U(3) ^ after)
+    return of, k, name
 
 
 def _compare(length: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"_id": pd.Series([], dtype="i8"), "_th": pd.Series([], dtype="i8"), "start": pd.Series([], dtype="i8"), "end": pd.Series([], dtype="i8")})
-        n = group["n"].to_numpy("i8")
-        of, k, rank = window_ranks(group["g"].to_numpy(), n, group["d"].to_numpy("i8"), group["bytes"].tolist(), length)
-        order = np.argsort(rank, kind="stable")
-        same = rank[order[1:]] == rank[order[:-1]]
-        hit = np.zeros(len(rank), bool)
+    spans = {"_id": "i8", "_th": "i8", "start": "i8", "end": "i8"}
+
+    def run(runs: pd.DataFrame, cores: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({k: pd.Series([], dtype=v) for k, v in spans.items()})
+        if not len(runs) or not len(cores):
+            return none
+        # repeated rows may bring a run again, which then has copies
+        runs = runs.drop_duplicates("run").sort_values("run", ignore_index=True)
+        number = np.searchsorted(runs["run"].to_numpy(), cores["run"].to_numpy())
+        n, d = runs["n"].to_numpy("i8"), runs["d"].to_numpy("i8")
+        of, k, name = window_names(n, d, runs["bytes"].tolist(), (number, cores["m"].to_numpy("i8"), cores["rank"].to_numpy("i8")), length)
+        order = np.argsort(name, kind="stable")
+        same = name[order[1:]] == name[order[:-1]]
+        hit = np.zeros(len(name), bool)
         hit[order[1:][same]] = hit[order[:-1][same]] = True
-        hit &= group["alone"].to_numpy(bool)[of]  # all windows of the other runs are known to recur
+        hit &= runs["alone"].to_numpy(bool)[of]  # all windows of the other runs are known to recur
         if not hit.any():
             return none
-        at = group["at"].to_numpy()
-        open_ = hit & ~np.concatenate([[False], hit[:-1] & (of[1:] == of[:-1])])
-        close = hit & ~np.concatenate([hit[1:] & (of[1:] == of[:-1]), [False]])
-        a, b = np.flatnonzero(open_), np.flatnonzero(close)
-        return pd.DataFrame({"_id": group["_id"].to_numpy()[of[a]], "_th": group["_th"].to_numpy()[of[a]], "start": at[of[a]] + k[a], "end": at[of[b]] + k[b] + length})
+        of, k = of[hit], k[hit]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (k[1:] != k[:-1] + 1)
+        a, b = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:] - 1, [len(of) - 1]])
+        at = runs["at"].to_numpy("i8")
+        return pd.DataFrame({"_id": runs["_id"].to_numpy()[of[a]], "_th": runs["_th"].to_numpy()[of[a]], "start": at[of[a]] + k[a], "end": at[of[b]] + k[b] + length})
 
     return run
 
 
 def _as_rows(length: int):
+    """A row per window with a ranked core."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for low in range(0, len(batch), 500):
                 x = batch.iloc[low : low + 500]
-                of, k, rank = window_ranks(x["g"].to_numpy(), x["n"].to_numpy("i8"), x["d"].to_numpy("i8"), x["bytes"].tolist(), length)
-                yield pd.DataFrame({"_id": x["_id"].to_numpy()[of], "_th": x["_th"].to_numpy()[of], "alone": x["alone"].to_numpy()[of], "start": x["at"].to_numpy()[of] + k, "rank": rank.view("i8")})
+                cores = [(i, c["m"], c["rank"]) for i, many in enumerate(x["cores"]) for c in many]
+                of, k, name = window_names(x["n"].to_numpy("i8"), x["d"].to_numpy("i8"), x["bytes"].tolist(), tuple(np.array(v, "i8") for v in zip(*cores, strict=True)), length)
+                yield pd.DataFrame({"_id": x["_id"].to_numpy()[of], "_th": x["_th"].to_numpy()[of], "alone": x["alone"].to_numpy()[of], "start": x["at"].to_numpy()[of] + k, "name": name.view("i8")})
 
     return run
 
 
 def recurring_spans(rows: DataFrame, length: int = 400, crowd: int = 4096, bucket: int = 1500) -> DataFrame:
     """Per key of `rows` (keyed texts): `spans`, the array of (start, end) in bytes that recurring windows cover."""
-    if length < 400:
-        raise ValueError("the rounds' reach is made for windows of 400 bytes or more")
+    if length < CELLS * GRAM // 2:
+        raise ValueError(f"windows have {CELLS * GRAM // 2} bytes or more")
     text = rows.select("_id", "_th", "text")
-    grams = text.select("text").mapInArrow(_positions(length, True), "g long").groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    found = cut(text.mapInArrow(_positions(length, False), KINDS).join(grams, "g", "left_semi"))
-    key = ["g", "s", "d", "n"]
-    names = ("r1", "r2", "l1", "l2")
-    folded = found.groupBy(*key).agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_th", "at")).alias("first"), *[F.first(k).alias(k) for k in names])
-    folded = cut(folded.select(*key, "first._id", "first._th", "first.at", *names, (F.col("copies") == 1).alias("alone")))
-    whole = found.join(folded.where(~F.col("alone")).select(*key), key, "left_semi").select("_id", "_th", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end"))
-    # rounds: rerank by the pair of a rank and the rank at the next offset
-    left = folded
-    for side, sizes in (("r", RIGHT), ("l", LEFT)):
-        left = left.withColumn("rank", F.col("g")).withColumn(f"{side}_reach", F.lit(sizes[0] - 1))
-        for k in range(len(sizes)):
-            pair = F.when((F.col("rank") != 0) & (F.col(f"{side}{k + 1}") != 0), F.xxhash64("rank", f"{side}{k + 1}")).otherwise(F.lit(0))
-            left = left.withColumn("rank", pair)
-            again = left.where("rank <> 0").groupBy("rank").agg(F.count("*").alias("c")).where("c > 1").select("rank", F.lit(True).alias("again"))
-            reach = sizes[k + 1] - 1 if k + 1 < len(sizes) else 2 * length
-            left = left.join(again, "rank", "left").withColumn(f"{side}_reach", F.when(F.col("again"), F.lit(reach)).otherwise(F.col(f"{side}_reach")))
-            left = left.withColumn("rank", F.when(F.col("again"), F.col("rank")).otherwise(F.lit(0))).drop("again", f"{side}{k + 1}")
-        left = cut(left.drop("rank"))  # each round reads its rows twice
-    left = left.where(F.col("r_reach") + F.col("l_reach") >= length)
+    grams = cut(text.select("text").mapInArrow(_positions(length, True), "g long").groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
+    found = stored(matched(text.mapInArrow(_positions(length, False), RUN), grams, "g").drop("c"))
+    folded = found.groupBy("run").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_th", "at", "g", "n", "d")).alias("first"))
+    folded = cut(folded.select("run", "copies", "first.*"))
+    whole = matched(found, folded.where("copies > 1").select("run", F.col("copies").alias("c")), "run")
+    whole = whole.select("_id", "_th", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end"))
     # only anchors where a run of one copy may meet another run
-    open_ = left.groupBy("g").agg(F.count("*").alias("c"), F.max("alone").alias("any")).where("c > 1 and any").select("g", "c")
-    left = left.join(open_, "g").select("g", "n", "d", "alone", "at", "_id", "_th", "c")
-    asked = left.groupBy("_id", "_th").agg(F.collect_list(F.struct("g", "n", "d", "alone", "at", "c")).alias("runs"))
-    asked = text.join(asked, ["_id", "_th"])
-    fields = "g long, n int, d int, alone boolean, at long, bytes binary, _id long, _th long"
-    n_buckets = max(1, left.count() // bucket)
-    few = asked.withColumn("runs", F.filter("runs", lambda x: x["c"] <= crowd)).where("size(runs) > 0").mapInArrow(_cut_out(length), fields)
-    some = few.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(n_buckets))).groupBy("bucket").applyInPandas(_compare(length), "_id long, _th long, start long, end long")
-    many = asked.withColumn("runs", F.filter("runs", lambda x: x["c"] > crowd)).where("size(runs) > 0").mapInArrow(_cut_out(length), fields)
-    many = many.mapInPandas(_as_rows(length), "_id long, _th long, alone boolean, start long, rank long")
-    twice = many.groupBy("rank").agg(F.count("*").alias("c")).where("c > 1").select("rank")
-    more = many.where("alone").join(twice, "rank", "left_semi").select("_id", "_th", "start", (F.col("start") + length).alias("end"))
-    return whole.union(some).union(more).groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    open_ = cut(folded.groupBy("g").agg(F.count("*").alias("c"), F.min("copies").alias("least")).where("c > 1 and least = 1").select("g", "c"))
+    asked = matched(folded, open_, "g").withColumn("alone", F.col("copies") == 1).withColumn("crowded", F.col("c") > crowd)
+    asked = asked.groupBy("_id", "_th").agg(F.collect_list(F.struct("g", "run", "n", "d", "alone", "crowded", "at")).alias("runs"))
+    runs = "g long, run long, n int, d int, alone boolean, crowded boolean, at long, bytes binary, _id long, _th long"
+    runs = stored(text.join(asked, ["_id", "_th"]).mapInArrow(_cut_out(length), runs))
+    # the rounds
+    half = ranked(runs.select("run", "g", "crowded", "d", "bytes").mapInArrow(_pairs(length), POSITION + ", x long, y long"))
+    ahead = Window.partitionBy("run").orderBy("m")
+    pairs = half.withColumn("next", F.lead("m").over(ahead)).withColumn("y", F.lead("rank").over(ahead)).where("next = m + 1")
+    cores = cut(ranked(pairs.select("run", "g", "crowded", "m", F.col("rank").alias("x"), "y")))
+    # past the threshold
+    few = runs.where("not crowded")
+    n_buckets = max(1, few.count() // bucket)
+    dealt = F.pmod(F.xxhash64("g"), F.lit(n_buckets)).alias("bucket")
+    some = few.select("run", "n", "d", "alone", "at", "bytes", "_id", "_th", dealt).groupBy("bucket").cogroup(cores.where("not crowded").select("run", "m", "rank", dealt).groupBy("bucket"))
+    some = some.applyInPandas(_compare(length), "_id long, _th long, start long, end long")
+    of_run = cores.where("crowded").groupBy("run").agg(F.collect_list(F.struct("m", "rank")).alias("cores"))
+    many = runs.where("crowded").join(of_run, "run").mapInPandas(_as_rows(length), "_id long, _th long, alone boolean, start long, name long")
+    twice = cut(many.groupBy("name").agg(F.count("*").alias("c")).where("c > 1"))
+    more = matched(many.where("alone"), twice, "name").select("_id", "_th", "start", (F.col("start") + length).alias("end"))
+    return whole.union(some).union(more).groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,20 +2,24 @@
 
 1. Every window of `length` words belongs to an anchor gram of ten words (see windows); a text falls into runs of
    windows with one anchor. Spark keeps the runs whose gram recurs, and folds runs of equal words into one with the
-   smallest doc_id that holds it: every other document loses all windows of such a run.
+   smallest doc_id that holds it: every other document loses all windows of such a run, by name.
 2. What different runs of one gram share is left. Runs are dealt into shards by their gram, so that windows which may
-   be equal meet in one shard. A shard indexes its runs: a suffix order, its Burrows-Wheeler transform in a wavelet
-   matrix of packed bits with running counts, and for each interval of suffixes that share `length` words the smallest
-   doc_id.
-3. The runs stream through the index from their last words backwards. Each step narrows an interval by one word and
-   keeps the matching statistic, cut back to `length` words by widening to the enclosing interval; wherever it stands
-   at `length` and the interval's smallest doc_id is smaller than the run's own, the window is reported.
+   be equal meet in one shard. A shard indexes its runs: the Burrows-Wheeler transform of their words in a wavelet matrix
+   of packed bits with running counts; the suffix order itself is dropped. Two trees of minima over that order hold the
+   lengths that neighbouring suffixes share (a byte each), and their documents.
+3. Every run streams through the index from its last word backwards, against the documents that come before its own. A
+   step narrows the interval by one word. Where no earlier document is left in it, the match is cut back to the length
+   that a neighbouring suffix shares, which widens the interval, until the step succeeds. This gives the matching
+   statistic at each word: how many words from there on an earlier document holds. Stretches of at least `length` are
+   reported.
 4. A gram with more than `crowd` different runs deals its windows out as rows and takes the smallest doc_id per window
    by a grouped minimum, so that no shard grows with such a gram.
 
+Hot grams, runs and windows are joined with salted keys.
+
 Defined cases: null texts have no words; a null doc_id counts as later than every other; rows that share a doc_id are
-one document and never earlier than each other; texts shorter than a window keep all; an empty table gives no rows;
-columns besides doc_id and text are ignored (dedup_text keeps them).
+one document and never earlier than each other; texts shorter than a window keep all; very long texts are taken in parts;
+an empty table gives no rows; columns besides doc_id and text are ignored (dedup_text keeps them).
 """
 
 from __future__ import annotations
@@ -29,59 +33,111 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, keyed
-from .spans import BYTES, NOT_SPACE, blocks, hashes, mix, runs, sums
-from .windows import merged, runs_of
+from .common import NULL_ID, cut, keyed, matched, stored
+from .spans import blocks, hashes, mix, slices, sums
+from .windows import merged, runs_of, word_hashes
 
 GRAM = 10
 _U = np.uint64
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = runs(NOT_SPACE[data], offsets)
-    return hashes(sums(BYTES[data]), starts, ends), first
-
-
 def _runs(length: int, grams_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row, _last, data, offsets in blocks(batch.column("text")):
                 words, first = word_hashes(data, offsets)
                 r = runs_of(words, first, length, GRAM)
                 cols = {"g": pa.array(r.gram.view("i8"))}
                 if not grams_only:
                     take = pa.array(row + r.text)
+                    cols |= {"run": pa.array(r.run.view("i8")), "n": pa.array(r.count.astype("i4")), "d": pa.array(r.reach.astype("i4"))}
                     cols |= {k: batch.column(k).take(take) for k in ("_id", "_th")}
-                    cols |= {"s": pa.array(r.whole.view("i8")), "at": pa.array(r.start - first[r.text]), "n": pa.array(r.count.astype("i4")), "d": pa.array(r.reach.astype("i4"))}
+                    cols["at"] = pa.array(r.start - first[r.text])
                 yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
+RUN = "g long, run long, n int, d int, _id long, _th long, at long"
+
+
 def _cut_out(length: int):
     """The words of each run asked for, joined by spaces."""
+    kinds = {"g": pa.int64(), "run": pa.int64(), "n": pa.int32(), "d": pa.int32(), "crowded": pa.bool_(), "words": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("g", "s", "n", "d", "words", "row")}
-            for row, (text, asked) in enumerate(zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)):
-                words = text.encode().split()
+        last = None
+        for batch in slices(batches, 500):
+            out: dict[str, list] = {k: [] for k in kinds}
+            rows = []
+            for row, (text, asked, *key) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("text", "runs", "_id", "_th")), strict=True)):
+                if key == last:  # repeated rows follow each other
+                    continue
+                words, last = text.encode().split(), key
                 for x in asked:
-                    for k in ("g", "s", "n", "d"):
+                    x["words"] = b" ".join(words[x["at"] : x["at"] + x["n"] - 1 + length])
+                    for k in kinds:
                         out[k].append(x[k])
-                    out["words"].append(b" ".join(words[x["at"] : x["at"] + x["n"] - 1 + length]))
-                    out["row"].append(row)
-            take = pa.array(out.pop("row"), pa.int32())
-            kinds = {"g": pa.int64(), "s": pa.int64(), "n": pa.int32(), "d": pa.int32(), "words": pa.binary()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(out[k], kind) for k, kind in kinds.items()} | {"first": batch.column("_id").take(take)})
+                    rows.append(row)
+            first = batch.column("_id").take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_pydict({k: pa.array(out[k], kind) for k, kind in kinds.items()} | {"first": first})
 
     return run
 
 
+class Minima:
+    """A complete binary tree of minima over an array: twice its size, and log time for every question."""
+
+    def __init__(self, values: np.ndarray, beyond: int):
+        self.leaves = 1 << max(1, (len(values) - 1).bit_length())
+        self.tree = np.full(2 * self.leaves, beyond, values.dtype)
+        self.tree[self.leaves : self.leaves + len(values)] = values
+        size = self.leaves
+        while size > 1:
+            self.tree[size // 2 : size] = np.minimum(self.tree[size : 2 * size : 2], self.tree[size + 1 : 2 * size : 2])
+            size //= 2
+        self.beyond = beyond
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Smallest value in each [low, high)."""
+        out = np.full(len(low), self.beyond, self.tree.dtype)
+        a, b = low + self.leaves, high + self.leaves
+        while (open_ := a < b).any():
+            out = np.where(open_ & (a & 1 == 1), np.minimum(out, self.tree[a]), out)
+            a = (a + 1) >> 1
+            out = np.where(open_ & (b & 1 == 1), np.minimum(out, self.tree[b - 1]), out)
+            b = b >> 1
+        return out
+
+    def before(self, at: np.ndarray, bar: np.ndarray) -> np.ndarray:
+        """The last place up to `at` with a value below `bar`; there must be one."""
+        node = at + self.leaves
+        while (on := self.tree[node] >= bar).any():
+            node = np.where(on, (node >> np.bitwise_count((node & -node) - 1)) - 1, node)
+        while (on := node < self.leaves).any():
+            right = 2 * node + 1
+            node = np.where(on, right - (self.tree[np.where(on, right, 0)] >= bar), node)
+        return node - self.leaves
+
+    def after(self, at: np.ndarray, bar: np.ndarray) -> np.ndarray:
+        """The first place from `at` on with a value below `bar`; there must be one."""
+        node = at + self.leaves
+        while (on := self.tree[node] >= bar).any():
+            up = node + 1
+            node = np.where(on, up >> np.bitwise_count((up & -up) - 1), node)
+        while (on := node < self.leaves).any():
+            left = 2 * node
+            node = np.where(on, left + (self.tree[np.where(on, left, 0)] >= bar), node)
+        return node - self.leaves
+
+
 class FMIndex:
-    """Backward search over texts of symbols 1, 2, ..., each text ended by 0, for patterns of up to `length` symbols."""
+    """Backward search over texts of symbols 1, 2, ..., each text ended by 0, for patterns of up to `length` symbols.
 
-    def __init__(self, text: np.ndarray, length: int):
+    `stop` is the end of each symbol's text (the place of its 0), and `owner` numbers the document that it belongs to.
+    """
+
+    def __init__(self, text: np.ndarray, stop: np.ndarray, owner: np.ndarray, length: int):
         n = len(text)
         rank, h = text.astype("i8"), 1
         while h < length + 1:  # order of suffixes by their first `length` symbols at least, which is all that is asked
@@ -91,8 +147,11 @@ class FMIndex:
             if rank.max(initial=0) == n - 1:
                 break
             h *= 2
-        self.order = np.argsort(rank, kind="stable")
-        bwt = text[self.order - 1]
+        order = np.argsort(rank, kind="stable")
+        self.owners = Minima(owner[order].astype("i4"), np.iinfo("i4").max)
+        self.shared = Minima(np.append(self._shared(text, stop, order, length), [0]).astype("u1"), 0)
+        bwt = text[order - 1]
+        self.size, self.length = n, length
         self.symbols = int(text.max(initial=0)) + 1
         self.count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.symbols))])
         self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
@@ -101,12 +160,25 @@ class FMIndex:
             words = np.zeros(n // 64 + 1, _U)
             packed = np.packbits(bit, bitorder="little")
             words.view("u1")[: len(packed)] = packed
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype="i8")])
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype="i4")]).astype("i4")
             zeros = n - int(before[-1])
             self.levels.append((words, before, zeros))
             bwt = np.concatenate([bwt[~bit], bwt[bit]])
         self.start = self._down(np.arange(self.symbols), np.zeros(self.symbols, "i8"))
 
+    @staticmethod
+    def _shared(text: np.ndarray, stop: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+        """How many symbols each suffix shares with the one before it in the order, up to `length`; by halves of hashes."""
+        s = sums(mix(text.astype("u8") + _U(1)))
+        a, b = order[:-1], order[1:]
+        most = np.minimum(np.minimum(stop[a] - a, stop[b] - b), length)
+        low, high = np.zeros(len(a), "i8"), most
+        while (on := low < high).any():
+            mid = (low + high + 1) // 2
+            same = hashes(s, a, a + mid) == hashes(s, b, b + mid)
+            low, high = np.where(on & same, mid, low), np.where(on & ~same, mid - 1, high)
+        return np.concatenate([[0], low])
+
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where position `at` of the transform leads among all places of `symbol` on the wavelet matrix's last level."""
         top = len(self.levels) - 1
@@ -123,8 +195,45 @@ class FMIndex:
         return both[: len(symbol)], both[len(symbol) :]
 
 
-def earliest(texts: list[np.ndarray], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text and each of its windows of `length` symbols, the smallest owner of a text that holds the window."""
+    def widened(self, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the patterns' first n symbols (all suffixes where n is 0)."""
+        some = n > 0
+        bar = np.where(some, n, 1)
+        return np.where(some, self.shared.before(low, bar), 0), np.where(some, self.shared.after(high, bar), self.size)
+
+    def statistics(self, pattern: list[np.ndarray], own: np.ndarray) -> list[np.ndarray]:
+        """For each pattern and each of its symbols: how many symbols from there on, up to `length`, stand in a text of
+        an owner below the pattern's own."""
+        size = np.array([len(x) for x in pattern], "i8")
+        at = np.cumsum(size) - size
+        flat = np.concatenate(pattern)
+        out = np.zeros(len(flat), "i4")
+        order = np.argsort(-size, kind="stable")
+        low, high, n = np.zeros(len(size), "i8"), np.full(len(size), self.size), np.zeros(len(size), "i8")
+        for back in range(int(size.max(initial=0))):
+            live = order[: int(np.searchsorted(-size[order], -back, "left"))]
+            symbol = flat[at[live] + size[live] - 1 - back]
+            todo = np.arange(len(live))
+            while len(todo):
+                x = live[todo]
+                a, b = self.step(symbol[todo], low[x], high[x])
+                good = (a < b) & (self.owners.least(a, np.maximum(a, b)) < own[x])
+                y = x[good]
+                low[y], high[y], n[y] = a[good], b[good], n[y] + 1
+                todo, x = todo[~good], x[~good]
+                more = n[x] > 0  # what matched nothing stays at nothing
+                todo, x = todo[more], x[more]
+                n[x] = np.maximum(self.shared.tree[self.shared.leaves + low[x]], self.shared.tree[self.shared.leaves + high[x]])
+                low[x], high[x] = self.widened(low[x], high[x], n[x])
+            over = live[n[live] > self.length]
+            n[over] = self.length
+            low[over], high[over] = self.widened(low[over], high[over], n[over])
+            out[at[live] + size[live] - 1 - back] = n[live]
+        return np.split(out, at[1:])
+
+
+def earlier(texts: list[np.ndarray], owner: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each text and each of its windows of `length` symbols, whether a text of a smaller owner holds the window."""
     size = np.array([len(t) for t in texts])
     _, symbols = np.unique(np.concatenate(texts), return_inverse=True)
     text = np.zeros(len(symbols) + len(texts), "i8")
@@ -133,40 +242,15 @@ def earliest(texts: list[np.ndarray], owner: np.ndarray, length: int) -> list[np
     inside = np.ones(len(text), bool)
     inside[at[1:] - 1] = False
     text[inside] = symbols + 1
-    index = FMIndex(text, length)
-    # intervals of suffixes that share a whole window
-    s = sums(mix(text.astype("u8") + _U(1)))
-    starts = index.order
-    whole = starts + length <= at[of[starts] + 1] - 1
-    h = np.zeros(len(text), "u8")
-    h[whole] = hashes(s, starts[whole], starts[whole] + length)
-    new = np.ones(len(text), bool)
-    new[1:] = ~(whole[1:] & whole[:-1] & (h[1:] == h[:-1]))
-    first = np.flatnonzero(new)
-    block = np.cumsum(new) - 1
-    last = np.concatenate([first[1:], [len(text)]])
-    low_owner = np.minimum.reduceat(owner[of[starts]], first)
-    out = [np.zeros(max(0, n - length + 1), owner.dtype) for n in size]
-    lanes = np.argsort(-size, kind="stable")
-    low, high = np.zeros(len(texts), "i8"), np.full(len(texts), len(text), "i8")
-    matched = np.zeros(len(texts), "i8")
-    found = np.zeros((len(texts), max(0, int(size.max()) - length + 1)), owner.dtype)
-    for back in range(int(size.max())):
-        live = lanes[: int(np.searchsorted(-size[lanes], -back, "left"))]
-        symbol = text[at[live] + size[live] - 1 - back]
-        a, b = index.step(symbol, low[live], high[live])
-        n = matched[live] + 1
-        over = n >= length  # back to the interval of the first `length` words
-        k = block[a[over]]
-        a[over], b[over], n[over] = first[k], last[k], length
-        low[live], high[live], matched[live] = a, b, n
-        found[live[over], size[live[over]] - 1 - back] = low_owner[k]
-    return [found[i, : len(out[i])] for i in range(len(texts))]
+    own = np.unique(owner, return_inverse=True)[1]
+    index = FMIndex(text, at[1:][of] - 1, own[of], length)
+    found = index.statistics(np.split(symbols + 1, np.cumsum(size)[:-1]), own)
+    return [x[: max(0, len(x) - length + 1)] >= length for x in found]
 
 
 def _shard(length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        data, texts = b"\n".join(group["words"]), []
+        data = b"\n".join(group["words"])
         sizes = np.array([len(w) for w in group["words"]])
         offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
         offsets[-1] -= 1
@@ -174,12 +258,12 @@ def _shard(length: int):
         texts = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         own = group["first"].to_numpy("i8")
         rows = []
-        for i, low in enumerate(earliest(texts, own, length)):
-            hit = np.concatenate([[0], (low < own[i]).astype("i1"), [0]])
+        for i, there in enumerate(earlier(texts, own, length)):
+            hit = np.concatenate([[0], there.astype("i1"), [0]])
             edge = np.flatnonzero(np.diff(hit))
             rows += [(i, a, b) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         i, a, b = (np.array(v, "i8") for v in zip(*rows, strict=True)) if rows else [np.zeros(0, "i8")] * 3
-        return pd.DataFrame({k: group[k].to_numpy()[i] for k in ("g", "s", "d", "n", "first")} | {"lo": a, "hi": b - 1 + length})
+        return pd.DataFrame({"run": group["run"].to_numpy()[i], "lo": a, "hi": b - 1 + length})
 
     return run
 
@@ -200,7 +284,7 @@ def _as_rows(length: int):
                 k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 h = hashes(sums(words), first[of] + k, first[of] + k + length)
                 name = mix(h ^ x["g"].to_numpy().view("u8")[of] ^ ((x["d"].to_numpy("i8")[of] - k).astype("u8") * _U(0x9E3779B97F4A7C15)))
-                yield pd.DataFrame({c: x[c].to_numpy()[of] for c in ("g", "s", "d", "n", "first")} | {"lo": k, "name": name.view("i8")})
+                yield pd.DataFrame({c: x[c].to_numpy()[of] for c in ("run", "first")} | {"lo": k, "name": name.view("i8")})
 
     return run
 
@@ -208,30 +292,28 @@ def _as_rows(length: int):
 def earlier_spans(rows: DataFrame, length: int = 50, crowd: int = 4096, shard: int = 2500) -> DataFrame:
     """Per key of `rows` (keyed texts): `spans`, the array of (start, end) in words that an earlier document's windows cover."""
     text = rows.select("_id", "_th", "text")
-    grams = text.select("text").mapInArrow(_runs(length, True), "g long").groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    found = text.mapInArrow(_runs(length, False), "g long, _id long, _th long, s long, at long, n int, d int")
-    found = cut(found.join(grams, "g", "left_semi"))
-    key = ["g", "s", "d", "n"]
-    folded = cut(found.groupBy(*key).agg(F.min(F.struct("_id", "_th", "at")).alias("first")).select(*key, "first.*"))
-    firsts = folded.select(*key, F.col("_id").alias("first"))
-    later = found.join(firsts, key).where("_id > first").select("_id", "_th", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end"))
-    many = folded.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    open_ = folded.join(many, "g")
-    n_shards = max(1, open_.count() // shard)
-    asked = open_.groupBy("_id", "_th").agg(F.collect_list(F.struct("g", "s", "n", "d", "at", "c")).alias("runs"))
-    asked = text.join(asked, ["_id", "_th"])
-    kinds = "g long, s long, n int, d int, words binary, first long"
-    few = asked.withColumn("runs", F.filter("runs", lambda x: x["c"] <= crowd)).where("size(runs) > 0").mapInArrow(_cut_out(length), kinds)
-    out = "g long, s long, d int, n int, first long, lo long, hi long"
-    some = few.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(n_shards))).groupBy("shard").applyInPandas(_shard(length), out)
-    crowded = asked.withColumn("runs", F.filter("runs", lambda x: x["c"] > crowd)).where("size(runs) > 0").mapInArrow(_cut_out(length), kinds)
-    crowded = crowded.mapInPandas(_as_rows(length), "g long, s long, d int, n int, first long, lo long, name long")
-    low = crowded.groupBy("name").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("name", "low")
-    more = crowded.join(low, "name").where("low < first").select(*key, "first", "lo", (F.col("lo") + length).alias("hi"))
-    # what the first holders of a run lose
-    inner = found.join(some.union(more).withColumnRenamed("first", "_id"), [*key, "_id"])
-    inner = inner.select("_id", "_th", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi")).alias("end"))
-    return later.union(inner).groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    grams = cut(text.select("text").mapInArrow(_runs(length, True), "g long").groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
+    found = stored(matched(text.mapInArrow(_runs(length, False), RUN), grams, "g").drop("c"))
+    folded = found.groupBy("run").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_th", "at", "g", "n", "d")).alias("first"))
+    folded = cut(folded.select("run", "copies", "first.*"))
+    open_ = cut(folded.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
+    asked = matched(folded, open_, "g").withColumn("crowded", F.col("c") > crowd)
+    asked = asked.groupBy("_id", "_th").agg(F.collect_list(F.struct("g", "run", "n", "d", "crowded", "at")).alias("runs"))
+    runs = "g long, run long, n int, d int, crowded boolean, words binary, first long"
+    runs = stored(text.join(asked, ["_id", "_th"]).mapInArrow(_cut_out(length), runs))
+    few = runs.where("not crowded")
+    n_shards = max(1, few.count() // shard)
+    lost = few.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(n_shards))).groupBy("shard").applyInPandas(_shard(length), "run long, lo long, hi long")
+    many = runs.where("crowded").mapInPandas(_as_rows(length), "run long, first long, lo long, name long")
+    low = cut(many.groupBy("name").agg(F.count("*").alias("c"), F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("name", "c", "low"))
+    lost = lost.union(matched(many, low, "name").where("low < first").select("run", "lo", (F.col("lo") + length).alias("hi")))
+    # a run's first holder loses what an earlier document holds; later holders lose all windows of the run
+    lost = lost.groupBy("run").agg(F.collect_set(F.struct("lo", "hi")).alias("lost"))
+    judged = cut(folded.select("run", F.col("copies").alias("c"), F.col("_id").alias("first")).join(lost, "run", "left").where("c > 1 or lost is not null"))
+    every = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("n") - 1 + length).cast("long").alias("hi")))
+    spans = matched(found, judged, "run").select("_id", "_th", "at", F.explode(F.when(F.col("_id") > F.col("first"), every).otherwise(F.col("lost"))).alias("x"))
+    spans = spans.select("_id", "_th", F.struct((F.col("at") + F.col("x.lo")).alias("start"), (F.col("at") + F.col("x.hi")).alias("end")).alias("x"))
+    return spans.groupBy("_id", "_th").agg(F.collect_set("x").alias("spans"))
 
 
 def _keep(text: str, spans) -> tuple[list[bytes], int]:

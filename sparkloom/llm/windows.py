@@ -8,28 +8,31 @@ within the runs of one anchor gram. A run covers the units from its first window
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 
-from .spans import hashes, sums
+from .spans import BYTES, NOT_SPACE, hashes, mix, runs, sums
 
 _U = np.uint64
+#: Units taken at once: a longer block goes in parts that overlap by a window, which bounds memory and keeps places in 24 bits.
+PART = 1 << 20
 _LOW = (1 << 24) - 1
 
 
 @dataclass
 class Runs:
-    """Parallel arrays: text number, first window's start within the text, count of windows, anchor's distance, hashes."""
+    """Parallel arrays: text number, first window's start in the block, count of windows, anchor's distance, names.
+
+    `run` names a run by all that its windows cover, their count and the anchor's place; `gram` names the anchor.
+    """
 
     text: np.ndarray
-    start: np.ndarray  # in units of the block
+    start: np.ndarray
     count: np.ndarray
     reach: np.ndarray  # from the first window's start to the anchor
     gram: np.ndarray
-    whole: np.ndarray
-    s: np.ndarray  # running sums over the block, for further hashes
-    length: int
+    run: np.ndarray
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -43,13 +46,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs_of(units: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Runs:
-    """Runs of all whole windows in the texts [offsets[i], offsets[i + 1]) of a block of 64-bit units."""
-    s = sums(units)
+def _part(units: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Runs:
     n, w = len(units), length - gram + 1
     none = np.zeros(0, "i8")
     if n < length:
-        return Runs(none, none, none, none, none.view("u8"), none.view("u8"), s, length)
+        return Runs(none, none, none, none, none.view("u8"), none.view("u8"))
+    s = sums(units)
     at = np.arange(n - gram + 1)
     g = hashes(s, at, at + gram)
     best = sliding_min((g & ~_U(_LOW)) | (at & _LOW).astype("u8"), w)
@@ -63,7 +65,38 @@ def runs_of(units: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> R
     # a run ends where the next one starts or where windows stop fitting
     stop = np.flatnonzero(valid & np.concatenate([change[1:] | ~valid[1:], [True]])) + 1
     text = np.searchsorted(offsets, start, "right") - 1
-    return Runs(text, start, stop - start, anchor[start] - start, g[anchor[start]], hashes(s, start, stop - 1 + length), s, length)
+    count, reach, name = stop - start, anchor[start] - start, g[anchor[start]]
+    whole = hashes(s, start, stop - 1 + length)
+    run = mix(whole ^ mix(name + _U(1)) ^ (count.astype("u8") << _U(40)) ^ (reach.astype("u8") << _U(20)))
+    return Runs(text, start, count, reach, name, run)
+
+
+def runs_of(units: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Runs:
+    """Runs of all whole windows in the texts [offsets[i], offsets[i + 1]) of a block of 64-bit units."""
+    if len(units) < PART + length:
+        return _part(units, offsets, length, gram)
+    found = []
+    for low in range(0, len(units), PART):
+        some = units[low : low + PART + length - 1]
+        r = _part(some, np.clip(offsets - low, 0, len(some)), length, gram)
+        r.start = r.start + low
+        found.append(r)
+    return Runs(*(np.concatenate([getattr(r, f.name) for r in found]) for f in fields(Runs)))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of a block's texts, and each text's first word (n + 1 numbers)."""
+    cuts = [0, len(data)]
+    if len(data) > PART:  # in parts cut at white space
+        gaps = np.flatnonzero(~NOT_SPACE[data])
+        at = np.searchsorted(gaps, np.arange(PART, len(data), PART))
+        cuts = np.unique(np.concatenate([cuts, gaps[at[at < len(gaps)]]])).tolist()
+    found, first = [], np.zeros(len(offsets), "i8")
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        starts, ends, begin = runs(NOT_SPACE[data[a:b]], np.clip(offsets - a, 0, b - a))
+        found.append(hashes(sums(BYTES[data[a:b]]), starts, ends))
+        first += begin
+    return np.concatenate(found) if found else np.zeros(0, "u8"), first
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -147,7 +147,8 @@ def test_fm_index_counts():
     """Backward search finds every pattern as often as it stands in the texts."""
     rng = np.random.default_rng(3)
     text = np.concatenate([np.append(rng.integers(1, 4, 40), 0) for _ in range(6)])
-    index = fmindex.FMIndex(text, 6)
+    stop = np.repeat(np.arange(40, 246, 41), 41)
+    index = fmindex.FMIndex(text, stop, np.repeat(np.arange(6), 41), 6)
     flat = text.tolist()
     for size in range(1, 7):
         for p in range(len(flat) - size):
@@ -160,6 +161,39 @@ def test_fm_index_counts():
             assert high[0] - low[0] == sum(flat[q : q + size] == pattern for q in range(len(flat) - size + 1))
 
 
+@pytest.mark.parametrize("symbols", [2, 9])
+def test_fm_index_matching_statistics(symbols):
+    """How much of a text, from each place on, a text of a smaller owner holds."""
+    rng = np.random.default_rng(symbols)
+    texts = [rng.integers(1, 1 + symbols, rng.integers(1, 50)) for _ in range(12)]
+    texts += [np.concatenate([texts[0], texts[3]]), texts[5], texts[5][:20]]
+    owner = rng.permutation(len(texts)) // 2
+    text = np.concatenate([np.append(t, 0) for t in texts])
+    size = np.array([len(t) + 1 for t in texts])
+    index = fmindex.FMIndex(text, np.repeat(np.cumsum(size) - 1, size), np.repeat(owner, size), 12)
+    holds = lambda x, k: any(x == y[q : q + len(x)] for y, o in zip(plain, owner, strict=True) if o < owner[k] for q in range(len(y) - len(x) + 1))
+    plain = [t.tolist() for t in texts]
+    for k, got in enumerate(index.statistics(texts, owner)):
+        want = [next(n for n in range(min(12, len(plain[k]) - p), -1, -1) if not n or holds(plain[k][p : p + n], k)) for p in range(len(plain[k]))]
+        assert got.tolist() == want
+
+
+@pytest.mark.parametrize("op,length", [(fmindex, 12), (doubling, 400)])
+def test_windows_of_long_texts_in_parts(docs, op, length, monkeypatch):
+    """Texts longer than a part give what they give whole."""
+    from sparkloom.llm import spans, windows
+
+    data = np.frombuffer(b"".join((r.text or "").encode() for r in docs.collect()), "u1")
+    offsets = np.array([0, 900, 900, len(data)])
+    units = spans.BYTES[data]
+    whole, words = windows.runs_of(units, offsets, length, 10), windows.word_hashes(data, offsets)
+    cover = lambda r: {(int(s + k), int(s + d), int(g)) for s, n, d, g in zip(r.start, r.count, r.reach, r.gram, strict=True) for k in range(n)}
+    monkeypatch.setattr(windows, "PART", 1000)
+    parts, again = windows.runs_of(units, offsets, length, 10), windows.word_hashes(data, offsets)
+    assert cover(parts) == cover(whole) and len(parts.start) > len(whole.start)
+    assert all((a == b).all() for a, b in zip(words, again, strict=True))
+
+
 @pytest.mark.parametrize("crowd", [4096, 1])
 def test_doubling(docs, rows, none, crowd, monkeypatch):
     monkeypatch.setattr(doubling.recurring_spans, "__defaults__", (400, crowd, 3))
