@@ -1,21 +1,25 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts up to `chunk` characters are pre-tokenised whole. Longer ones are cut into chunks that overlap by `overlap`
-characters on either side, dealt over all tasks, and pre-tokenised and encoded there piece by piece. A pre-token
-boundary that two neighbouring chunks share resynchronises them: from one boundary on, the pattern matches alike in
-both. The stitch keeps the left chunk's pieces up to the first shared boundary and the right chunk's after it. Where
-the overlap has none (one very long word), the stitch pre-tokenises on through the text itself until it meets a
-boundary of the right chunk, or the end. Decoding concatenates the raw bytes of the ids.
-
-Defined cases: null text counts as empty (no tokens; the digests of nothing); rows that repeat give a row each; an
-empty table gives no rows; columns besides doc_id and text are ignored; null doc_id stays null.
+1. Texts over `chunk` characters are cut into chunks that overlap by `overlap` characters on either side, and each chunk
+   is pre-tokenised alone. Texts over `spread` characters have chunks of that size, dealt over all tasks; shorter ones
+   stay in their task.
+2. Stitch. A pre-token boundary that two neighbouring chunks share resynchronises them: from one boundary on, the
+   pattern matches alike in both. The stitch keeps the left chunk's boundaries up to the first shared one and the right
+   chunk's after it. Where the overlap has none (one very long word), it pre-tokenises on through the text itself until
+   it meets a boundary of the right chunk, or the end.
+3. The pieces between the stitched boundaries are encoded; those of dealt texts over all tasks again, and joined last.
+   Decoding concatenates the raw bytes of the ids.
+
+Defined cases: null text counts as empty (no tokens; the digests of nothing); rows that repeat give a row each, and long
+ones are encoded once; an empty table gives no rows; columns besides doc_id and text are ignored; null doc_id stays null.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -23,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import NULL_ID, keyed
+from .spans import slices
 
 #: Pieces whose ids a worker keeps, about 30 MB; then it starts over.
 CACHE_PIECES = 200_000
@@ -86,14 +91,65 @@ def _result(enc: PieceEncoder, ids: bytes) -> tuple[int, str, str]:
 KINDS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _whole(path: str, with_ids: bool):
+def chunk_starts(enc: PieceEncoder, text: str, lo: int, last: bool) -> np.ndarray:
+    """Where the pieces of a chunk that begins at `lo` start in the whole text, and where the last one ends.
+
+    The last piece of a chunk that isn't the text's last may go on beyond it, so it is left out.
+    """
+    pieces = enc.pattern.findall(text)
+    if not last and pieces:
+        pieces.pop()
+    return np.fromiter(accumulate(map(len, pieces), initial=lo), "i8", len(pieces) + 1)
+
+
+def stitch(enc: PieceEncoder, chunks: list[np.ndarray], text_at: Callable[[int, int], str], total: int) -> np.ndarray:
+    """Where the pieces of the whole text start, and its end, from the chunks' starts in order."""
+    out: list[np.ndarray] = []
+    at = 0  # a true boundary: all before it is done
+    for k, starts in enumerate(chunks):
+        last = k + 1 == len(chunks)
+        i = int(np.searchsorted(starts, at))
+        if i == len(starts) or starts[i] != at:  # not in step: go on through the text until a start of this chunk
+            stop, grown, walked = int(starts[-1]), 4096, []
+            while at < total and (last or at < stop) and (i == len(starts) or starts[i] != at):
+                some = text_at(at, min(total, at + grown))
+                end = enc.pattern.match(some).end()
+                if end == len(some) and at + grown < total:
+                    grown *= 2  # the piece may go on
+                    continue
+                walked.append(at)
+                at, grown = at + end, 4096
+                i = int(np.searchsorted(starts, at))
+            out.append(np.array(walked, "i8"))
+            if i == len(starts) or starts[i] != at:
+                continue
+        j = len(starts) - 1  # leave this chunk at the first start that the next one shares
+        if not last:
+            both = np.intersect1d(starts[i:], chunks[k + 1], assume_unique=True)
+            if len(both):
+                j = i + int(np.searchsorted(starts[i:], both[0]))
+        out.append(starts[i:j])
+        at = int(starts[j])
+    return np.concatenate([*out, [total]]).astype("i8")
+
+
+def pieces_of(enc: PieceEncoder, text: str, chunk: int, overlap: int) -> list[str]:
+    """The pre-tokens of a text, by overlapping chunks."""
+    n = len(text)
+    if n <= chunk:
+        return enc.pattern.findall(text)
+    ends = [(max(0, lo - overlap), min(n, lo + chunk + overlap)) for lo in range(0, n, chunk)]
+    at = stitch(enc, [chunk_starts(enc, text[a:b], a, b == n) for a, b in ends], lambda a, b: text[a:b], n).tolist()
+    return [text[a:b] for a, b in pairwise(at)]
+
+
+def _whole(path: str, chunk: int, overlap: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        find = enc.pattern.findall
-        for batch in batches:
+        for batch in slices(batches, 500):
             rows, all_ids = [], []
             for t in batch.column("text").to_pylist():
-                ids = enc.encode(find(t))
+                ids = enc.encode(pieces_of(enc, t, chunk, overlap))
                 rows.append(_result(enc, ids))
                 if with_ids:
                     all_ids.append(np.frombuffer(ids, "<u4").astype("i4"))
@@ -106,103 +162,75 @@ def _whole(path: str, with_ids: bool):
     return run
 
 
-def chunk_pieces(enc: PieceEncoder, text: str, lo: int, last: bool) -> tuple[list[int], list[bytes]]:
-    """Starts (in the whole text) and ids of the pieces of a chunk that begins at `lo`.
-
-    The last piece of a chunk that isn't the text's last may go on beyond it, so it is left out; the list of starts
-    ends with where the kept pieces end.
-    """
-    pieces = enc.pattern.findall(text)
-    if not last and pieces:
-        pieces.pop()
-    starts = [lo]
-    for p in pieces:
-        starts.append(starts[-1] + len(p))
-    return starts, [enc.piece(p) for p in pieces]
-
-
-def _chunks(path: str, overlap: int):
+def _boundaries(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for batch in batches:
-            got = [chunk_pieces(enc, t, lo, last) for t, lo, last in zip(batch["_part"], batch["_lo"], batch["_last"], strict=True)]
-            batch["_starts"] = [np.array(s, "<i8").tobytes() for s, _ in got]
-            batch["_sizes"] = [np.array([len(x) // 4 for x in p], "<i4").tobytes() for _, p in got]
-            batch["_ids"] = [b"".join(p) for _, p in got]
+            batch["_starts"] = [chunk_starts(enc, t, lo, last).astype("<i8").tobytes() for t, lo, last in zip(batch["_part"], batch["_lo"], batch["_last"], strict=True)]
             yield batch
 
     return run
 
 
-def stitch(enc: PieceEncoder, chunks: list[tuple[int, str, np.ndarray, np.ndarray, bytes]], total: int) -> bytes:
-    """Ids of the whole text from its chunks in order: (lo, text, piece starts and the last's end, ids in each, ids)."""
-    out: list[bytes] = []
-    at = 0  # a true boundary: all before it is encoded
-    text_at = lambda a, b: "".join(
-        t[max(a, lo) - lo : min(b, nxt) - lo] for (lo, t, *_), nxt in zip(chunks, [c[0] for c in chunks[1:]] + [total], strict=True) if lo < b and nxt > a
-    )
-    for k, (_lo, _t, starts, sizes, ids) in enumerate(chunks):
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype="i8")]) * 4
-        i = int(np.searchsorted(starts, at))
-        if i >= len(starts) or starts[i] != at:  # not in step: go on through the text until a start of this chunk
-            stop = int(starts[-1])
-            if at >= stop and k + 1 < len(chunks):
-                continue
-            step, grown = 0, 4096
-            while at < total:
-                hit = enc.pattern.match(piece_text := text_at(at, min(total, at + grown)))
-                if hit.end() == len(piece_text) and at + grown < total:
-                    grown *= 2  # the piece may go on
-                    continue
-                out.append(enc.piece(hit[0]))
-                at += hit.end()
-                grown, step = 4096, step + 1
-                i = int(np.searchsorted(starts, at))
-                if i < len(starts) and starts[i] == at or at >= stop and k + 1 < len(chunks):
-                    break
-            if i >= len(starts) or starts[i] != at:
-                continue
-        # leave this chunk at the first start that the next one shares
-        j = len(starts) - 1
-        if k + 1 < len(chunks):
-            both = np.intersect1d(starts[i:], chunks[k + 1][2], assume_unique=False)
-            if len(both):
-                j = i + int(np.searchsorted(starts[i:], both[0]))
-        out.append(ids[ends[i] : ends[j]])
-        at = int(starts[j])
-    return b"".join(out)
-
+def _stitcher(path: str, chunk: int):
+    """A long text's pieces in parts that end at true boundaries, to be encoded anywhere."""
 
-def _stitcher(path: str, with_ids: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        enc = encoder(path)
         group = group.sort_values("_lo")
-        copies = int((group["_lo"] == 0).sum())  # rows that repeat share a key
-        group = group.drop_duplicates("_lo")
-        chunks = [(lo, t, np.frombuffer(s, "<i8"), np.frombuffer(n, "<i4"), ids) for lo, t, s, n, ids in group[["_lo", "_part", "_starts", "_sizes", "_ids"]].itertuples(index=False)]
-        ids = stitch(enc, chunks, int(group["_n"].iloc[0]))
-        n, a, b = _result(enc, ids)
-        out = pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]] * copies, "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+        lows, parts, total = group["_lo"].tolist(), group["_part"].tolist(), int(group["_n"].iloc[0])
+        ends = [*lows[1:], total]
+        text_at = lambda a, b: "".join(t[max(a, lo) - lo : min(b, end) - lo] for lo, t, end in zip(lows, parts, ends, strict=True) if lo < b and end > a)
+        at = stitch(encoder(path), [np.frombuffer(s, "<i8") for s in group["_starts"]], text_at, total)
+        cut = np.unique([*np.searchsorted(at, np.arange(0, total, chunk)), len(at) - 1])
+        rows = [(int(at[i]), text_at(int(at[i]), int(at[j])), np.diff(at[i : j + 1]).astype("<i4").tobytes()) for i, j in pairwise(cut)]
+        out = pd.DataFrame(rows, columns=["_lo", "_part", "_sizes"])
+        return out.assign(**{k: group[k].iloc[0] for k in ("_id", "_th", "_copies")})
+
+    return run
+
+
+def _encoded(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder(path)
+        for batch in batches:
+            ids = []
+            for text, sizes in zip(batch["_part"], batch["_sizes"], strict=True):
+                at = [0, *accumulate(np.frombuffer(sizes, "<i4").tolist())]
+                ids.append(enc.encode([text[a:b] for a, b in pairwise(at)]))
+            yield batch[["_id", "_th", "_copies", "_lo"]].assign(_ids=ids)
+
+    return run
+
+
+def _joiner(path: str, with_ids: bool):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids = b"".join(group.sort_values("_lo")["_ids"])
+        n, a, b = _result(encoder(path), ids)
+        out = pd.DataFrame({"_id": group["_id"].iloc[:1], "_copies": group["_copies"].iloc[:1], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
         if with_ids:
-            out["ids"] = [np.frombuffer(ids, "<u4").astype("i4")] * copies
+            out["ids"] = [np.frombuffer(ids, "<u4").astype("i4")]
         return out
 
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = 32768, overlap: int = 512, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, chunk: int = 2048, overlap: int = 256, spread: int = 32768, with_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for)."""
     path = path or ranks_path()
-    kinds = KINDS + ", ids array<int>" * with_ids
+    more = ", ids array<int>" * with_ids
     rows = keyed(docs)
-    short = rows.where(F.length("text") <= chunk).select("doc_id", "text").mapInArrow(_whole(path, with_ids), kinds)
     n = F.length("text")
-    cuts = F.sequence(F.lit(0), (n - 1).cast("int"), F.lit(chunk))
-    long = rows.where(n > chunk).select("doc_id", "_id", "_th", n.cast("long").alias("_n"), F.posexplode(cuts).alias("_k", "_from"), "text")
+    short = rows.where(n <= spread).select("doc_id", "text").mapInArrow(_whole(path, chunk, overlap, with_ids), KINDS + more)
+    # rows that repeat id and text are one, with a count
+    long = rows.where(n > spread).groupBy("_id", "_th").agg(F.count("*").alias("_copies"), F.first("text").alias("text"))
+    long = long.select("_id", "_th", "_copies", n.alias("_n"), "text", F.explode(F.sequence(F.lit(0), n - 1, F.lit(spread))).alias("_from"))
     # each chunk reaches `overlap` characters into both neighbours
-    lo, hi = F.greatest(F.col("_from") - overlap, F.lit(0)), F.least(F.col("_from") + chunk + overlap, F.col("_n").cast("int"))
-    long = long.select("doc_id", "_id", "_th", "_n", lo.cast("long").alias("_lo"), (hi >= F.col("_n")).alias("_last"), F.substring("text", lo + 1, hi - lo).alias("_part"))
-    long = long.repartition("_id", "_th", "_lo").mapInPandas(
-        _chunks(path, overlap), "doc_id long, _id long, _th long, _n long, _lo long, _last boolean, _part string, _starts binary, _sizes binary, _ids binary"
-    )
-    return short.union(long.groupBy("_id", "_th").applyInPandas(_stitcher(path, with_ids), kinds))
+    lo, hi = F.greatest(F.col("_from") - overlap, F.lit(0)), F.least(F.col("_from") + spread + overlap, F.col("_n"))
+    long = long.select("_id", "_th", "_copies", F.col("_n").cast("long"), lo.cast("long").alias("_lo"), (hi >= F.col("_n")).alias("_last"), F.substring("text", lo + 1, hi - lo).alias("_part"))
+    key = "_id long, _th long, _copies long"
+    long = long.repartition("_id", "_th", "_lo").mapInPandas(_boundaries(path), f"{key}, _n long, _lo long, _last boolean, _part string, _starts binary")
+    long = long.groupBy("_id", "_th").applyInPandas(_stitcher(path, spread), f"_lo long, _part string, _sizes binary, {key}")
+    long = long.repartition("_id", "_th", "_lo").mapInPandas(_encoded(path), f"{key}, _lo long, _ids binary")
+    long = long.groupBy("_id", "_th").applyInPandas(_joiner(path, with_ids), "_id long, _copies long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
+    each = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
+    return short.union(long.withColumn("_each", each).select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids))

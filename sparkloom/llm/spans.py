@@ -6,6 +6,7 @@ A span's hash is a polynomial in its units modulo 2**64, taken from running sums
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ _INVERSE = pow(BASE, -1, 1 << 64)
 #: Random values of the 256 bytes.
 BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=_U) * _U(2) + _U(1)
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -57,10 +59,19 @@ def hashes(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, which bounds what a step over them holds and sends at once."""
+    """Batches of few rows, which bounds what a step over them holds and sends at once; a batch's memory goes back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        give_back()
+
+
+def give_back() -> None:
+    """Hand what the allocators keep back to the system: workers stay between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

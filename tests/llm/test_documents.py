@@ -262,7 +262,8 @@ def test_bpe(docs, rows, none):
         expect.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     cols = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert keyed(bpe.encode(docs), *cols) == sorted(expect, key=repr)
-    assert keyed(bpe.encode(docs, chunk=40, overlap=12), *cols) == sorted(expect, key=repr)  # nearly all stitched, often through one long word
+    for chunk, overlap, spread in ((40, 12, 100), (7, 3, 10_000), (25, 40, 30)):  # nearly all stitched, often through one long word
+        assert keyed(bpe.encode(docs, chunk=chunk, overlap=overlap, spread=spread), *cols) == sorted(expect, key=repr)
     assert bpe.encode(none).count() == 0
 
 
