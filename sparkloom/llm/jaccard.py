@@ -3,19 +3,20 @@
 A document's set holds the distinct hashes of its word shingles. Documents of equal sets form a class; classes join.
 
 1. Order. All tokens have one global order, frequent ones last. A distributed count of tokens that recur gives a hint
-   of what is frequent, kept in a bit table of fixed size; tokens order by that bit and then by hash. Results don't
+   of how frequent they are, kept in a table of fixed size; tokens order by being in it, and then by hash. Results don't
    depend on the hint.
 2. Index. For Jaccard t, a set of n tokens overlaps any partner in at least ceil(t n) of them, so the first
    n - ceil(t n) + 1 tokens of both in the global order share one. Only these are listed, and lists of one class go.
-3. Adaptive prefix. A class whose listed tokens are marked frequent has many candidates; its compared prefix is longer by
-   l - 1 tokens, l growing with the number of candidates to be expected, and a pair must then share l tokens of
-   it rather than one. In terms of counts, with o shared prefix tokens and r tokens left behind the prefix that ends
-   first: o + r must reach the overlap that the pair needs.
+3. Adaptive prefix. The counted frequencies of a class's listed tokens add up to the candidates to be expected. A prefix
+   longer by l - 1 tokens lets a pair through only with l shared tokens of it rather than one; l minimises the estimated
+   cost of carrying the prefix and of verifying the candidates that l shared tokens leave. In terms of counts, with o
+   shared prefix tokens and r tokens left behind the prefix that ends first: o + r must reach the overlap that the pair
+   needs.
 4. Short lists make pairs by a join on the token, and shared tokens are counted per pair. Lists of more than `crowd`
    classes, or a quarter of that for short sets (families of near copies), are dealt into blocks and compared block by block inside a task, from the classes'
    prefixes; a pair belongs to the first crowded list that both are in, and only pairs that can still reach the overlap leave
    the task. A pair of a crowded list is always judged there, whatever its short lists say.
-5. Families come before that, as their pairs grow with the square of their size: classes with at least half of their listed
+5. Families, an addition to the method, come before that, as their pairs grow with the square of their size: classes with at least half of their listed
    tokens in crowded lists meet in the largest of those, dealt into blocks, with their whole sets; a block gives one star per
    group of linked classes. Step 4 then takes only crowded lists, and pairs in them, that no family connects yet.
 6. The pairs left are verified on their whole sets, and linked classes are joined by connected components.
@@ -28,6 +29,7 @@ and text are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, keyed
-from .spans import BYTES, NOT_SPACE, blocks, hashes, mix, runs, sums
+from .spans import BYTES, NOT_SPACE, blocks, hashes, mix, runs, slices, sums
 
 _U = np.uint64
 HOT = 62
 TABLE_BITS = 24
-#: At most so many frequent tokens mark the bit table (order hint only).
+#: At most so many frequent tokens enter the table (a hint of order and cost only).
 HINTS = 400_000
+#: Cost model of a prefix: verifying one token of a candidate costs 1, carrying one token of a prefix to the blocks CARRY;
+#: of the candidates that share l tokens of a prefix, so many share l + 1.
+CARRY, KEEP = 100.0, 0.95
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], "u1")
 
 
@@ -64,7 +69,7 @@ def sets(column: pa.Array, width: int, marks: np.ndarray | None = None) -> Itera
     """Each row's set, ascending in the global order."""
     for _, h, at in shingles(column, width):
         if marks is not None:
-            h = h | (marks[h >> _U(62 - TABLE_BITS)].astype("u8") << _U(HOT))
+            h = h | ((marks[h >> _U(62 - TABLE_BITS)] > 0).astype("u8") << _U(HOT))
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             x = np.sort(h[a:b])
             yield x[np.concatenate([[True], x[1:] != x[:-1]])] if b > a else x
@@ -79,7 +84,7 @@ def set_name(x: np.ndarray) -> tuple[int, int]:
 
 def _recurring(width: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             h = np.sort(np.concatenate([h for _, h, _ in shingles(batch.column("text"), width)] or [np.zeros(0, "u8")]))
             edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, "i8")
             n = np.diff(edge)
@@ -91,7 +96,7 @@ def _recurring(width: int, least: int):
 
 def _names(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(len(x), *set_name(x)) if len(x) else (0, 0, 0) for x in sets(batch.column("text"), width)]
             n, a, b = (np.array(v, "i8") for v in zip(*found, strict=True)) if found else [np.zeros(0, "i8")] * 3
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n), "c": pa.array(a), "c2": pa.array(b)})
@@ -108,12 +113,16 @@ class Rule:
     def base(self, n: int) -> int:
         return n + (-self.percent * n) // 100 + 1
 
-    def longer(self, x: np.ndarray) -> int:
-        """Length of the compared prefix: more of the set where more of the listed tokens are frequent."""
+    def longer(self, x: np.ndarray, classes: np.ndarray) -> int:
+        """Length of the compared prefix, by estimated cost. `classes`: logarithms of the frequent tokens' counts."""
         n, p = len(x), self.base(len(x))
-        hot = int((x[:p] >> _U(HOT)).sum())
-        more = 0 if not hot else n // 10 if 4 * hot < p else n // 4
-        return min(n, p + more)
+        often = x[:p][x[:p] >> _U(HOT) > 0] & _U((1 << HOT) - 1)
+        candidates = float(np.exp2(classes[often >> _U(62 - TABLE_BITS)].astype("f8")).sum())
+        if not candidates:
+            return p
+        # the minimum over l of CARRY * (p + l - 1) + candidates * n * KEEP ** (l - 1)
+        more = np.log(candidates * n * -np.log(KEEP) / CARRY) / -np.log(KEEP)
+        return min(n, p + int(np.clip(more, 0, n // 4)))
 
     def need(self, n, m):
         return -((-self.percent * (n + m)) // (100 + self.percent))
@@ -121,13 +130,12 @@ class Rule:
 
 def _index(width: int, rule: Rule, marks: bytes):
     """A row for each listed token: token, class, size, listed length and last listed token."""
-    table = np.frombuffer(marks, "u1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(table)
-        for batch in batches:
+        classes = np.frombuffer(zlib.decompress(marks), "u1")
+        for batch in slices(batches):
             seen, out = set(), []
-            for x in sets(batch.column("text"), width, bits):
+            for x in sets(batch.column("text"), width, classes):
                 if len(x) and (name := set_name(x)[0]) not in seen:
                     seen.add(name)
                     out.append((name, len(x), x[: rule.base(len(x))]))
@@ -145,16 +153,15 @@ def _index(width: int, rule: Rule, marks: bytes):
 
 def _prefixes(width: int, rule: Rule, marks: bytes):
     """The compared prefix of every class whose listed tokens include frequent ones, and of all others the listed one."""
-    table = np.frombuffer(marks, "u1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(table)
-        for batch in batches:
+        classes = np.frombuffer(zlib.decompress(marks), "u1")
+        for batch in slices(batches):
             seen, out = set(), []
-            for x in sets(batch.column("text"), width, bits):
+            for x in sets(batch.column("text"), width, classes):
                 if len(x) and (name := set_name(x)[0]) not in seen:
                     seen.add(name)
-                    out.append((name, x[: rule.longer(x)]))
+                    out.append((name, x[: rule.longer(x, classes)]))
             yield pa.RecordBatch.from_pydict({
                 "c": pa.array([c for c, _ in out], pa.int64()),
                 "end": pa.array([int(x[-1]) for _, x in out], pa.int64()),
@@ -238,7 +245,7 @@ def _verify(rule: Rule):
 
 def _whole(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [x for x in sets(batch.column("text"), width) if len(x)]
             yield pa.RecordBatch.from_pydict({"c": pa.array([set_name(x)[0] for x in found], pa.int64()), "x": pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())})
 
@@ -286,10 +293,11 @@ def links(docs: DataFrame, percent: int = 85, width: int = 4, crowd: int = 64, b
     rows = keyed(docs).select("doc_id", "text")
     named = cut(rows.mapInArrow(_names(width), "doc_id long, n long, c long, c2 long"))
     often = rows.mapInArrow(_recurring(width, 3), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where("n >= 24")
-    hot = [r[0] for r in often.orderBy(F.desc("n"), "t").limit(HINTS).select(F.shiftright("t", HOT - TABLE_BITS).cast("int")).collect()]
-    bits = np.zeros(1 << TABLE_BITS, bool)
-    bits[hot] = True
-    marks = np.packbits(bits).tobytes()
+    hot = often.orderBy(F.desc("n"), "t").limit(HINTS).select(F.shiftright("t", HOT - TABLE_BITS).cast("int"), F.log2("n").cast("int")).collect()
+    classes = np.zeros(1 << TABLE_BITS, "u1")
+    for at, k in reversed(hot):
+        classes[at] = k
+    marks = zlib.compress(classes.tobytes(), 1)
     index = rows.mapInArrow(_index(width, rule, marks), "t long, c long, n int, last long")
     lists = index.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.max("n").alias("most")).where("lo <> hi")
     # a list of short sets is compared in blocks from a quarter of that on, as their prefixes are light to carry
