@@ -8,9 +8,10 @@ bounds its scores from above. Queries visit annuli in order of that bound, a few
 following one, and stop where the bound falls below their k-th best score so far. Nothing is cut off otherwise, so the
 result is exact whatever the pivots.
 
-Pivots and annulus edges come from a bounded sample; every row is indexed. An annulus is compared in blocks of about
-`block` vectors and `query_block` queries, so that neither a crowded annulus nor many queries meet in one task. What the
-driver holds is a summary row per annulus (at most max_pivots * rings).
+Pivots and annulus edges come from a bounded sample; every row is indexed. An annulus is dealt into blocks of about `block`
+vectors. Each round counts the visits per block first: blocks without any stay at home, and one with more than
+`query_block` visits goes out once per so many, so that neither a crowded annulus nor many queries meet in one task. What
+the driver holds is a summary row per annulus: four to a pivot, more on larger tables, at most max_pivots * max_rings.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without id, take no part; shorter
 vectors count as padded with zeros; rows that repeat an id count once, with their least vector; ties go to the smaller
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, matched
 
 SLACK = 1e-6
 
@@ -97,7 +98,7 @@ def _keys(dim: int, top: float, pivots: np.ndarray, edges: np.ndarray):
     return run
 
 
-def _visits(dim: int, top: float, pivots: np.ndarray, cells: pd.DataFrame, first: int, last: int | None, chunks: int):
+def _visits(dim: int, top: float, pivots: np.ndarray, cells: pd.DataFrame, first: int, last: int | None):
     """The annuli that a query visits in a round: number `first` to `last` in its own order of bounds."""
     pivot_of = (cells["cell"].to_numpy() // cells.attrs["rings"]).astype(int)
     low, high, blocks = (cells[c].to_numpy() for c in ("low", "high", "blocks"))
@@ -120,9 +121,7 @@ def _visits(dim: int, top: float, pivots: np.ndarray, cells: pd.DataFrame, first
             row, cell = np.repeat(row, n), np.repeat(cell, n)
             block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             out = batch.iloc[row][["vec_id", "v", "floor"]].rename(columns={"vec_id": "query_id"})
-            out["cell"], out["block"] = cells["cell"].to_numpy()[cell].astype("i4"), block.astype("i4")
-            out["chunk"] = (batch["vec_id"].to_numpy()[row] // 20 % chunks).astype("i4")
-            yield out
+            yield out.assign(place=(cells["cell"].to_numpy()[cell].astype("i8") << 32) | block)
 
     return run
 
@@ -154,7 +153,7 @@ def _compare(dim: int, k: int):
 
 def search(
     vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 64.0,
-    rings: int = 4, max_pivots: int = 128, block: int = 4096, query_block: int = 8192, sample: int = 2048, first_visits: int = 4,
+    max_rings: int = 64, max_pivots: int = 128, block: int = 4096, query_block: int = 8192, sample: int = 8192, first_visits: int = 4,
 ) -> DataFrame:
     """Each query's k best: query_id, rank, vec_id, score. `is_query` is a condition on vec_id."""
     kinds = "query_id long, rank int, vec_id long, score long"
@@ -168,6 +167,7 @@ def search(
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     some = _lift(np.array([[*r["v"], *[0] * (dim - len(r["v"]))] for r in some], "i8"), top)
     pivots = choose_pivots(some, int(np.clip(-(-n // block), 4, max_pivots)))
+    rings = int(np.clip(n // (block * len(pivots)), 4, max_rings))
     d = _distances(some, pivots)
     own, at = d.min(1), d.argmin(1)
     split = np.linspace(0, 1, rings + 1)[1:-1]
@@ -176,9 +176,9 @@ def search(
     cells = index.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).toPandas().sort_values("cell")
     cells["blocks"] = -(-cells["n"] // block)
     cells.attrs["rings"] = rings
-    chunks = max(1, -(-n_queries // query_block))
     blocks_of = F.create_map(*[F.lit(int(x)) for pair in zip(cells["cell"], cells["blocks"], strict=True) for x in pair])
-    candidates = index.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), blocks_of[F.col("cell")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    place = F.shiftleft(F.col("cell").cast("long"), 32) + F.pmod(F.xxhash64("vec_id"), blocks_of[F.col("cell")])
+    candidates = index.select("vec_id", "v", place.alias("place"))
     queries = index.where(is_query).select("vec_id", "v")
     best, done, step = None, 0, first_visits
     while done < len(cells):
@@ -188,9 +188,13 @@ def search(
         if best is not None:
             kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
             asked = queries.join(kth, "vec_id", "left")
-        visits = asked.mapInPandas(_visits(dim, top, pivots, cells, done, last, chunks), "query_id long, v binary, floor double, cell int, block int, chunk int")
-        keys = ("cell", "block", "chunk")
-        found = candidates.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(_compare(dim, k), "query_id long, vec_id long, score long")
+        visits = asked.mapInPandas(_visits(dim, top, pivots, cells, done, last), "query_id long, v binary, floor double, place long")
+        counts = cut(visits.groupBy("place").agg(F.count("*").alias("c")))
+        chunks = F.ceil(F.col("c") / query_block).cast("int")
+        keys = ("place", "chunk")
+        visits = matched(visits, counts, "place").withColumn("chunk", F.pmod(F.xxhash64("query_id"), chunks).cast("int")).drop("c")
+        sent = candidates.join(counts, "place").select("vec_id", "v", "place", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        found = sent.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(_compare(dim, k), "query_id long, vec_id long, score long")
         if best is not None:
             found = found.union(best.select("query_id", "vec_id", "score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
