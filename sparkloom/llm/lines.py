@@ -11,7 +11,7 @@
 3. Windows shared by more documents than that, where blocks have not covered all their lines yet, ask their first
    holders in the same way, so that large groups of copies lose nothing to the bound.
 
-Every line of a block stands in a window inside the block, so that asking the windows' first holders is enough. A
+Hot windows and first holders that very many documents ask are joined with salted keys. Every line of a block stands in a window inside the block, so that asking the windows' first holders is enough. A
 document has at most one partner per window, whatever the size of a group of copies, and the first holder of a line
 never loses it. Blocks are judged on the input.
 
@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, keyed
-from .spans import BYTES, NOT_SPACE, blocks, hashes, sums
+from .common import NULL_ID, cut, keyed, matched
+from .spans import BYTES, NOT_SPACE, blocks, hashes, slices, sums
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of each text's lines, and their bytes without white space at hand: 0 for blank ones."""
-    for batch in batches:
+    for batch in slices(batches):
         for a, b, data, offsets in blocks(batch.column("text")):
             breaks = np.flatnonzero(data == 10)
             full = np.flatnonzero(np.diff(offsets) > 0)
@@ -73,7 +73,7 @@ def _windows(min_lines: int, min_bytes: int):
     A window begins and ends with a line that isn't blank; blank lines between count for the hash alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hs, sizes = batch.column("hs"), batch.column("sizes").flatten().to_numpy()
             n = hs.value_lengths().to_numpy()
             begin = np.cumsum(n) - n
@@ -222,18 +222,19 @@ def duplicated(docs: DataFrame, rare: int = 50, min_lines: int = 3, min_bytes: i
     window = seq.select("_id", "_th", "hs", "sizes").mapInArrow(_windows(min_lines, min_bytes), "_id long, _th long, at int, to int, h long, new boolean")
     held = window.where("new").select("h", "_id", "_th")
     shared = held.groupBy("h").agg(F.min(F.struct("_id", "_th")).alias("first"), F.count("*").alias("df")).where("df > 1")
-    shared = cut(shared.select("h", F.col("first._id").alias("f_id"), F.col("first._th").alias("f_th"), "df"))
+    shared = cut(shared.select("h", F.col("first._id").alias("f_id"), F.col("first._th").alias("f_th"), F.col("df").alias("c")))
 
     def aligned(asking: DataFrame) -> DataFrame:
-        pairs = asking.where("_id <> f_id or _th <> f_th").select("_id", "_th", "f_id", "f_th").distinct()
-        first = seq.select(F.col("_id").alias("f_id"), F.col("_th").alias("f_th"), F.col("hs").alias("b"))
-        both = pairs.join(first, ["f_id", "f_th"]).join(seq.select("_id", "_th", F.col("hs").alias("a"), "sizes"), ["_id", "_th"])
+        pairs = cut(asking.where("_id <> f_id or _th <> f_th").select("_id", "_th", F.xxhash64("f_id", "f_th").alias("f")).distinct())
+        holders = pairs.groupBy("f").agg(F.count("*").alias("c"))
+        holders = cut(seq.select(F.xxhash64("_id", "_th").alias("f"), F.col("hs").alias("b")).join(holders, "f"))
+        both = matched(pairs, holders, "f").join(seq.select("_id", "_th", F.col("hs").alias("a"), "sizes"), ["_id", "_th"])
         return both.select("_id", "_th", "a", "b", "sizes").mapInPandas(_align(min_lines, min_bytes), "_id long, _th long, gone array<int>").where("size(gone) > 0")
 
-    by_rare = cut(aligned(held.join(shared.where(F.col("df") <= rare), "h")))
+    by_rare = cut(aligned(matched(held, shared, "h").where(F.col("c") <= rare)))
     # no more positions than the document has lines come together here
     covered = by_rare.select("_id", "_th", F.explode("gone").alias("at")).groupBy("_id", "_th").agg(F.collect_set("at").alias("covered"))
-    left = window.join(shared.where(F.col("df") > rare), "h").join(covered, ["_id", "_th"], "left")
+    left = matched(window, shared, "h").where(F.col("c") > rare).join(covered, ["_id", "_th"], "left")
     left = left.where(F.col("covered").isNull() | (F.size(F.array_except(F.sequence("at", "to"), "covered")) > 0))
     positions = by_rare.union(aligned(left)).select("_id", "_th", F.explode("gone").alias("at"))
     return positions.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("at")).alias("gone"))
