@@ -99,36 +99,48 @@ class Minima:
         self.beyond = beyond
 
     def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Smallest value in each [low, high)."""
+        """Smallest value in each [low, high); short ones are looked through, long ones climb the tree."""
         out = np.full(len(low), self.beyond, self.tree.dtype)
-        a, b = low + self.leaves, high + self.leaves
-        while (open_ := a < b).any():
-            out = np.where(open_ & (a & 1 == 1), np.minimum(out, self.tree[a]), out)
-            a = (a + 1) >> 1
-            out = np.where(open_ & (b & 1 == 1), np.minimum(out, self.tree[b - 1]), out)
-            b = b >> 1
+        short = high - low <= 4
+        for k in range(4):
+            on = np.flatnonzero(short & (low + k < high))
+            out[on] = np.minimum(out[on], self.tree[self.leaves + low[on] + k])
+        on = np.flatnonzero(~short)
+        a, b = low[on] + self.leaves, high[on] + self.leaves
+        while len(on):
+            odd = a & 1 == 1
+            out[on[odd]] = np.minimum(out[on[odd]], self.tree[a[odd]])
+            odd = b & 1 == 1
+            out[on[odd]] = np.minimum(out[on[odd]], self.tree[b[odd] - 1])
+            a, b = (a + 1) >> 1, b >> 1
+            more = a < b
+            on, a, b = on[more], a[more], b[more]
+        return out
+
+    def _search(self, at: np.ndarray, bar: np.ndarray, step: int) -> np.ndarray:
+        """The nearest place from `at` on, leftwards (-1) or rightwards (1), with a value below `bar`; there must be one."""
+        out = at.copy()
+        on = np.arange(len(at))
+        for _ in range(3):  # it is near as a rule
+            on = on[self.tree[self.leaves + out[on]] >= bar[on]]
+            if not len(on):
+                return out
+            out[on] += step
+        node, bar = out[on] + self.leaves, bar[on]
+        while (go := np.flatnonzero(self.tree[node] >= bar)).size:
+            up = node[go] + (step > 0)
+            node[go] = (up >> np.bitwise_count((up & -up) - 1)) - (step < 0)
+        while (go := np.flatnonzero(node < self.leaves)).size:
+            child = 2 * node[go] + (step < 0)
+            node[go] = child + step * (self.tree[child] >= bar[go])
+        out[on] = node - self.leaves
         return out
 
     def before(self, at: np.ndarray, bar: np.ndarray) -> np.ndarray:
-        """The last place up to `at` with a value below `bar`; there must be one."""
-        node = at + self.leaves
-        while (on := self.tree[node] >= bar).any():
-            node = np.where(on, (node >> np.bitwise_count((node & -node) - 1)) - 1, node)
-        while (on := node < self.leaves).any():
-            right = 2 * node + 1
-            node = np.where(on, right - (self.tree[np.where(on, right, 0)] >= bar), node)
-        return node - self.leaves
+        return self._search(at, bar, -1)
 
     def after(self, at: np.ndarray, bar: np.ndarray) -> np.ndarray:
-        """The first place from `at` on with a value below `bar`; there must be one."""
-        node = at + self.leaves
-        while (on := self.tree[node] >= bar).any():
-            up = node + 1
-            node = np.where(on, up >> np.bitwise_count((up & -up) - 1), node)
-        while (on := node < self.leaves).any():
-            left = 2 * node
-            node = np.where(on, left + (self.tree[np.where(on, left, 0)] >= bar), node)
-        return node - self.leaves
+        return self._search(at, bar, 1)
 
 
 class FMIndex:
@@ -198,8 +210,9 @@ class FMIndex:
     def widened(self, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns' first n symbols (all suffixes where n is 0)."""
         some = n > 0
-        bar = np.where(some, n, 1)
-        return np.where(some, self.shared.before(low, bar), 0), np.where(some, self.shared.after(high, bar), self.size)
+        a, b = np.zeros_like(low), np.full_like(high, self.size)
+        a[some], b[some] = self.shared.before(low[some], n[some]), self.shared.after(high[some], n[some])
+        return a, b
 
     def statistics(self, pattern: list[np.ndarray], own: np.ndarray) -> list[np.ndarray]:
         """For each pattern and each of its symbols: how many symbols from there on, up to `length`, stand in a text of
@@ -217,7 +230,7 @@ class FMIndex:
             while len(todo):
                 x = live[todo]
                 a, b = self.step(symbol[todo], low[x], high[x])
-                good = (a < b) & (self.owners.least(a, np.maximum(a, b)) < own[x])
+                good = self.owners.least(a, b) < own[x]
                 y = x[good]
                 low[y], high[y], n[y] = a[good], b[good], n[y] + 1
                 todo, x = todo[~good], x[~good]
