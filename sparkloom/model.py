@@ -17,6 +17,19 @@ from .frame import decode_labels, doubles
 SCORERS: dict[str, Callable[[dict, list[Column]], Column]] = {}
 
 
+#: Models whose scores need a join with a table instead: (model, rows, name of the prediction) -> rows.
+JOINERS: dict[str, Callable[[Model, DataFrame, str], DataFrame]] = {}
+
+
+def joiner(*names: str):
+    def put(f):
+        for n in names:
+            JOINERS[n] = f
+        return f
+
+    return put
+
+
 def scorer(*names: str):
     def put(f):
         for n in names:
@@ -56,7 +69,7 @@ class Model:
         """`df` with the prediction; no action runs, so streams can be scored as well."""
         if missing := [n for n in self.features if n not in df.columns]:
             raise ValueError(f"no such columns: {', '.join(missing)}")
-        df = df.withColumn(out, self.column())
+        df = JOINERS[self.algorithm](self, df, out) if self.algorithm in JOINERS else df.withColumn(out, self.column())
         return df.withColumn(f"{out}_label", decode_labels(F.col(out), self.labels)) if self.labels else df
 
     def predict_one(self, df_like: DataFrame, values: Sequence[float]) -> float:

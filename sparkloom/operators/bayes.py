@@ -13,6 +13,8 @@ from ..model import Model, scorer
 
 
 def log_likelihoods(state: dict, x: list[Column]) -> list[Column]:
+    if len(x) * len(state["priors"]) > 100:  # an expression of that size is past what generated code can hold
+        return [_wide(*c, F.array(*x)) for c in zip(state["priors"], state["means"], state["variances"], strict=True)]
     out = []
     for prior, mean, var in zip(state["priors"], state["means"], state["variances"], strict=True):
         ll = F.lit(float(np.log(prior)))
@@ -22,6 +24,13 @@ def log_likelihoods(state: dict, x: list[Column]) -> list[Column]:
     return out
 
 
+def _wide(prior: float, mean: Sequence[float], var: Sequence[float], x: Column) -> Column:
+    array = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    off = F.zip_with(x, array(mean), lambda c, m: (c - m) * (c - m))
+    terms = F.zip_with(off, array(var), lambda o, v: o / (2 * v))
+    return F.aggregate(terms, F.lit(float(np.log(prior) - 0.5 * np.log(2 * np.pi * np.array(var, "f8")).sum())), lambda a, t: a - t)
+
+
 @scorer("naive_bayes")
 def _naive_bayes(state: dict, x: list[Column]) -> Column:
     return F.element_at(F.array(*[F.lit(float(c)) for c in state["classes"]]), first_greatest(log_likelihoods(state, x)) + 1)

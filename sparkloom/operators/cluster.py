@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -93,23 +94,51 @@ def memberships(centers: Sequence[Sequence[float]], x: list[Column], m: float) -
 def dbscan(df: DataFrame, features: Sequence[str], row_id: str, eps: float = 0.5, min_points: int = 5) -> DataFrame:
     """row_id, cluster (its smallest core row's id, or null for noise), core.
 
-    Rows fall into cells of side eps; a row meets those of its own and the neighbouring cells. A point counts among its
-    own neighbours. Border points join their smallest cluster.
+    Equal points fold into one with a count. Cells have the side eps / sqrt(d), so that all points of a cell are
+    neighbours: the points of a cell of `min_points` rows or more are core and linked without any pair. Only points of
+    thinner cells are compared with single points around them to be counted. Cells link where a core point of one and one
+    of the other are near: the outermost core points of every cell try first, and all core points only for neighbouring
+    cells that nothing connects yet. A point counts among its own neighbours. Border points join their smallest cluster.
     """
-    x = doubles(features)
-    rows = cut(checked(df, features, row_id).select(F.col(row_id).alias("id"), F.array(*x).alias("x"), F.array(*[F.floor(c / eps).cast("bigint") for c in x]).alias("cell")))
-    steps = itertools.product((-1, 0, 1), repeat=len(x))
+    x, d = doubles(features), len(features)
+    side = eps / math.sqrt(d) * (1 - 1e-9)
+    rows = checked(df, features, row_id).select(F.col(row_id).alias("id"), F.array(*x).alias("x"))
+    points = rows.groupBy("x").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")).withColumn("cell", F.transform("x", lambda v: F.floor(v / side).cast("bigint")))
+    points = cut(points)
+    points = cut(points.join(points.groupBy("cell").agg(F.sum("n").alias("of_cell")), "cell"))
+    reach = range(-math.ceil(eps / side), math.ceil(eps / side) + 1)
+    # cells that can hold a point within eps
+    steps = [s for s in itertools.product(reach, repeat=d) if any(s) and sum(max(abs(k) - 1, 0) ** 2 for k in s) * side * side <= eps * eps]
     around = F.array(*[F.array(*[(F.col("cell")[k] + s).cast("bigint") for k, s in enumerate(step)]) for step in steps])
-    other = rows.select(F.col("id").alias("b"), F.col("x").alias("y"), F.explode(around).alias("cell"))
     gap = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    near = cut(rows.select(F.col("id").alias("a"), "x", "cell").join(other, "cell").where(gap <= eps * eps).select("a", "b"))
-    core = cut(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("id")))
-    links = near.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b").where("a < b")
-    found = components(links.select("a", "b"))
-    cores = core.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    border = near.join(cores.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("low"))
-    out = rows.select("id").join(cores, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
-    return out.select(F.col("id").alias(row_id), F.coalesce("cluster", "low").alias("cluster"), F.col("cluster").isNotNull().alias("core"))
+    thin = points.where(F.col("of_cell") < min_points)
+    other = points.select(F.col("x").alias("y"), F.col("n").alias("m"), "cell")
+    counted = thin.select("p", "x", F.explode(around).alias("cell")).join(other, "cell").where(gap <= eps * eps).groupBy("p").agg(F.sum("m").alias("more"))
+    core = points.join(counted, "p", "left").where(F.coalesce("more", F.lit(0)) + F.col("of_cell") >= min_points).select("p", "x", "cell")
+    core = cut(core)
+    # all core points of a cell are one, named by the smallest; two cells are, where any of their core points are near
+    cells = core.groupBy("cell").agg(F.min("p").alias("head"), F.array_distinct(F.array(*[f("x", F.col("x")[k]) for k in range(d) for f in (F.min_by, F.max_by)])).alias("outer"))
+    cells = cut(cells)
+    forward = F.explode(F.slice(around, 1, max(1, len(steps) // 2)))
+    outer = cells.select("cell", "head", F.explode("outer").alias("x"))
+    near = outer.select(F.col("head").alias("a"), "x", forward.alias("cell")).join(outer.select("cell", F.col("head").alias("b"), F.col("x").alias("y")), "cell")
+    links = cut(near.where(gap <= eps * eps).select("a", "b").distinct())
+    joined = components(links).withColumnRenamed("node", "head")
+    cells = cut(cells.join(joined, "head", "left").select("cell", "head", F.coalesce("component", "head").alias("part")))
+    apart = cells.select(F.col("cell").alias("from"), F.col("head").alias("a"), F.col("part").alias("pa"), forward.alias("cell")).join(cells.select("cell", F.col("head").alias("b"), F.col("part").alias("pb")), "cell")
+    apart = apart.where("pa <> pb").select(F.col("from"), "cell", "a", "b")
+    near = core.select(F.col("cell").alias("from"), "x").join(apart, "from").join(core.select("cell", F.col("x").alias("y")), "cell")
+    found = components(links.union(near.where(gap <= eps * eps).select("a", "b").distinct()))
+    core = core.join(cells.select("cell", "head"), "cell")
+    core = cut(core.join(found.withColumnRenamed("node", "head"), "head", "left").select("p", "x", "cell", F.coalesce("component", "head").alias("cluster")))
+    rest = points.join(core.select("p"), "p", "left_anti")
+    near = core.select("cluster", F.col("x").alias("y"), "cell")
+    border = rest.select("p", "x", F.explode(F.concat(F.array("cell"), around)).alias("cell")).join(near, "cell").where(gap <= eps * eps).groupBy("p").agg(F.min("cluster").alias("cluster"))
+    placed = core.select("p", "cluster", F.lit(True).alias("core")).union(border.select("p", "cluster", F.lit(False)))
+    # a cluster is named by its smallest core row, of all rows that its points stand for
+    out = rows.join(points.select("x", "p"), "x").join(placed, "p", "left")
+    names = out.where("core").groupBy("cluster").agg(F.min("id").alias("name"))
+    return out.join(names, "cluster", "left").select(F.col("id").alias(row_id), F.col("name").alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
 def dbscan_model(df: DataFrame, clustered: DataFrame, features: Sequence[str], row_id: str) -> Model:
@@ -120,6 +149,12 @@ def dbscan_model(df: DataFrame, clustered: DataFrame, features: Sequence[str], r
     return Model("dbscan", list(features), {"centers": [[r[f] for f in features] for r in rows], "sizes": [r["n"] for r in rows]}, mse=noise / n if n else None, n_samples=n)
 
 
+def dbscan_train(df: DataFrame, features: Sequence[str], eps: float = 0.5, min_points: int = 5) -> Model:
+    """Clusters of the rows as a model that places other rows by the nearest mean."""
+    rows = cut(checked(df, features).select(*[c.alias(f) for c, f in zip(doubles(features), features, strict=True)]).withColumn("_row", F.monotonically_increasing_id()))
+    return dbscan_model(rows, dbscan(rows, features, "_row", eps, min_points), features, "_row")
+
+
 def agglomerative(df: DataFrame, features: Sequence[str], k: int = 3, linkage: str = "complete", most: int = 400) -> Model:
     """Greedy merging on squared distances, single, complete or average.
 

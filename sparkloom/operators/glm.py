@@ -98,8 +98,9 @@ def multilogistic(df: DataFrame, features: Sequence[str], label: str, rate: floa
         df.unpersist()
 
 
-def ordinal(df: DataFrame, features: Sequence[str], label: str, rate: float = 0.1, epochs: int = 800) -> Model:
-    """Proportional odds: P(y <= j) = sigmoid(t_j - w x), thresholds kept in order by positive steps exp(d)."""
+def ordinal(df: DataFrame, features: Sequence[str], label: str, rate: float = 0.1, epochs: int = 800, tol: float = 1e-7) -> Model:
+    """Proportional odds: P(y <= j) = sigmoid(t_j - w x), thresholds kept in order by positive steps exp(d); stops where
+    the mean loss changes by less than `tol`."""
     df, classes = encode_labels(checked(df, features, label), label, "_y")
     k = len(classes)
     if k < 2:
@@ -125,7 +126,7 @@ def ordinal(df: DataFrame, features: Sequence[str], label: str, rate: float = 0.
             gw, gt = got[: len(w)], got[len(w) : -1]
             tail = np.cumsum(gt[::-1])[::-1]
             w, first, gaps = w - rate * gw, first - rate * tail[0], gaps - rate * tail[1:] * np.exp(gaps)
-            if abs(last - got[-1]) < 1e-7:
+            if abs(last - got[-1]) < tol:
                 break
             last = got[-1]
         t = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])

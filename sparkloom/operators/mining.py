@@ -20,7 +20,8 @@ def frequent_itemsets(rows: DataFrame, min_support: float, max_size: int = 0) ->
 
     `rows` has tid and item, each pair once. A level extends the occurrences of the frequent sets of the level before by
     one larger frequent item of the same basket; counts are partial sums before they are shuffled, and occurrences of
-    sets that fail go before the next level. max_size 0 means no limit.
+    sets that fail go before the next level, and from the third level on only pairs that are frequent extend a set.
+    max_size 0 means no limit.
     """
     if not 0 < min_support <= 1:
         raise ValueError("min_support must be above 0 and at most 1")
@@ -29,13 +30,16 @@ def frequent_itemsets(rows: DataFrame, min_support: float, max_size: int = 0) ->
     single = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     rows = cut(rows.join(single.select("item"), "item", "left_semi"))
     found = [single.select(F.array("item").alias("items"), F.lit(1).alias("size"), "n")]
-    held, size = rows.select("tid", F.array("item").alias("items"), F.col("item").alias("last")), 1
+    held, size, pairs = rows.select("tid", F.array("item").alias("items"), F.col("item").alias("last")), 1, None
     while max_size == 0 or size < max_size:
-        longer = held.join(rows, "tid").where(F.col("item") > F.col("last")).select("tid", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last"))
+        longer = held.join(rows, "tid").where(F.col("item") > F.col("last"))
+        longer = (longer if pairs is None else longer.join(pairs, ["last", "item"], "left_semi")).select("tid", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last"))
         counts = cut(longer.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
         if counts.isEmpty():
             break
         size += 1
+        if pairs is None:
+            pairs = counts.select(F.col("items")[0].alias("last"), F.col("items")[1].alias("item"))
         found.append(counts.select("items", F.lit(size).alias("size"), "n"))
         held = cut(longer.join(counts.select("items"), "items", "left_semi"))
     out = found[0]
@@ -44,15 +48,17 @@ def frequent_itemsets(rows: DataFrame, min_support: float, max_size: int = 0) ->
     return out, n
 
 
-def rules(itemsets: DataFrame, n: int, min_confidence: float) -> DataFrame:
+def rules(itemsets: DataFrame, n: int, min_confidence: float, most: int = 30) -> DataFrame:
     """antecedent, consequent (arrays), support, confidence, lift, n_both of all rules from every frequent itemset.
 
     Every non-empty proper subset of an itemset can be the antecedent; subsets of a frequent set are frequent, so their
-    counts come from two joins.
+    counts come from two joins. A set of n items has 2^n - 2 rules: sets of over `most` items are refused.
     """
     if not 0 < min_confidence <= 1:
         raise ValueError("min_confidence must be above 0 and at most 1")
-    many = itemsets.where((F.col("size") > 1) & (F.col("size") <= 30)).select("items", F.col("n").alias("n_both"), F.explode(F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size) - 2"))).alias("mask"))
+    if (largest := itemsets.agg(F.max("size")).first()[0] or 0) > most:
+        raise ValueError(f"an itemset of {largest} items has 2^{largest} - 2 rules; limit itemsets by max_size, to {most} or fewer")
+    many = itemsets.where(F.col("size") > 1).select("items", F.col("n").alias("n_both"), F.explode(F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size) - 2"))).alias("mask"))
     bit = lambda want: F.expr(f"filter(items, (x, i) -> (mask div cast(pow(2, i) as bigint)) % 2 = {want})")
     parts = many.select("n_both", bit(1).alias("antecedent"), bit(0).alias("consequent"))
     count = itemsets.select("items", "n")

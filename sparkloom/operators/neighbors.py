@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import checked
+from ..frame import checked, doubles
+from ..model import Model, joiner
+from ..plans.graph import cut, shared_folder
 
 
 def _nearest_in_block(d: int, k: int):
@@ -64,3 +66,25 @@ def knn_classification(train: DataFrame, queries: DataFrame, features: Sequence[
     """qid and the commonest label among its k nearest rows, the smallest of equals."""
     votes = nearest(train, queries, features, k, train_id, query_id, label, **more).groupBy("qid", "y").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("qid").agg(F.max(F.struct("n", (-F.col("y")).alias("y"))).alias("best")).select("qid", (-F.col("best.y")).alias("prediction"))
+
+
+def knn(df: DataFrame, features: Sequence[str], label: str, k: int = 5, classify: bool = False) -> Model:
+    """The training rows, written to the shared folder, as a model: scoring joins rows with them block by block."""
+    rows = checked(df, features, label).select(*[c.alias(f) for c, f in zip(doubles(features), features, strict=True)], F.col(label).cast("double").alias("_y"))
+    rows = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
+    n = rows.count()
+    if not 1 <= k <= n:
+        raise ValueError(f"k must be from 1 to {n}")
+    path = shared_folder(df.sparkSession, "neighbours")
+    rows.write.parquet(path)
+    return Model("knn_classifier" if classify else "knn_regressor", list(features), {"table": path, "k": k}, n_samples=n)
+
+
+@joiner("knn_regressor", "knn_classifier")
+def _by_neighbours(model: Model, df: DataFrame, out: str) -> DataFrame:
+    """`df` with predictions; rows that lack a feature get null."""
+    known = df.sparkSession.read.parquet(model.state["table"])
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    score = knn_classification if model.algorithm == "knn_classifier" else knn_regression
+    found = score(known, rows, model.features, "_y", int(model.state["k"]), "_id", "_row").select(F.col("qid").alias("_row"), F.col("prediction").alias(out))
+    return rows.join(found, "_row", "left").drop("_row")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import Model, scorer
 from ..stats import running_sums
 
 
@@ -22,3 +25,16 @@ def median_survival(curve: DataFrame) -> DataFrame:
     # a hair above one half counts as half: survival is a product of quotients
     low = F.min(F.when(F.col("survival") <= 0.5 + 1e-12, F.col("time")))
     return curve.agg(F.coalesce(low, F.max("time"), F.lit(0.0)).alias("median_time"))
+
+
+@scorer("kaplan_meier")
+def _median(state: dict, x: list[Column]) -> Column:
+    return F.lit(float(state["median"]))
+
+
+def survival_model(df: DataFrame, features: Sequence[str], label: str) -> Model:
+    """Of times (the one feature) and events (the label): every row is given the median survival time."""
+    if len(features) != 1:
+        raise ValueError("one feature, the time, is needed")
+    median = median_survival(kaplan_meier(df, features[0], label)).first()[0]
+    return Model("kaplan_meier", list(features), {"median": median}, n_samples=df.count())

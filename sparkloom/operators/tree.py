@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import checked, decode_labels, doubles, encode_labels, sigmoid
+from ..frame import checked, doubles, encode_labels, first_greatest, sigmoid
 from ..model import Model, scorer
+from ..plans.graph import cut
 from ..stats import range_cuts, running_sums, with_next
 
 
@@ -40,13 +42,82 @@ def _tree_class(state: dict, x: list[Column]) -> Column:
     return tree_column(state["tree"], x)
 
 
+#: Nodes of all trees up to which an ensemble is scored by an expression; larger ones go to Python in batches.
+MOST_NODES = 1500
+
+
+def nodes(tree: dict) -> int:
+    return 1 if "value" in tree else 1 + nodes(tree["left"]) + nodes(tree["right"])
+
+
+def flat(tree: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree as arrays: feature (-1 at leaves), threshold or value, and the left child, whose neighbour is the right."""
+    feature, number, left, todo = [-1], [0.0], [0], [(0, tree)]
+    while todo:
+        k, node = todo.pop()
+        if "value" in node:
+            number[k] = float(node["value"])
+            continue
+        feature[k], number[k], left[k] = int(node["feature"]), float(node["threshold"]), len(feature)
+        todo += [(left[k], node["left"]), (left[k] + 1, node["right"])]
+        for many, blank in ((feature, -1), (number, 0.0), (left, 0)):
+            many += [blank, blank]
+    return np.array(feature), np.array(number), np.array(left)
+
+
+def tree_values(trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Rows by trees: the leaf value that each row reaches in each tree."""
+    out = np.zeros((len(x), len(trees)))
+    for j, (feature, number, left) in enumerate(trees):
+        at = np.zeros(len(x), "i8")
+        while (row := np.flatnonzero(feature[at] >= 0)).size:
+            k = at[row]
+            at[row] = left[k] + ~(x[row, feature[k]] <= number[k])
+        out[:, j] = number[at]
+    return out
+
+
+def by_batch(trees: list[dict], x: list[Column], merge) -> Column:
+    """`merge` (matrix of tree values -> numbers) of all trees' values, in Arrow batches."""
+    arrays = [flat(t) for t in trees]
+
+    @F.arrow_udf("double")
+    def score(values: pa.Array) -> pa.Array:
+        rows = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+        return pa.array(np.concatenate([merge(tree_values(arrays, rows[k : k + 4096])) for k in range(0, len(rows), 4096)] or [np.zeros(0)]))
+
+    return score(F.array(*x))
+
+
 def _total(state: dict, x: list[Column], strict: bool) -> Column:
-    out = F.lit(float(state["base"]))
+    rate, base = float(state["rate"]), float(state["base"])
+    if not strict and sum(map(nodes, state["trees"])) > MOST_NODES:
+        return by_batch(state["trees"], x, lambda v: base + rate * v.sum(1))
+    out = F.lit(base)
     for t in state["trees"]:
-        out = out + F.lit(float(state["rate"])) * tree_column(t, x, strict)
+        out = out + F.lit(rate) * tree_column(t, x, strict)
     return out
 
 
+@scorer("random_forest")
+def _forest(state: dict, x: list[Column]) -> Column:
+    return by_batch(state["trees"], x, lambda v: v.mean(1))
+
+
+@scorer("rf_classifier")
+def _forest_votes(state: dict, x: list[Column]) -> Column:
+    """The class that most trees vote for, the smallest of equals."""
+    k = int(state["classes"])
+    return by_batch(state["trees"], x, lambda v: np.stack([(v == c).sum(1) for c in range(k)], 1).argmax(1).astype("f8"))
+
+
+@scorer("xgboost_multi")
+def _boosted_classes(state: dict, x: list[Column]) -> Column:
+    """The class of the highest score; round by round the trees of all classes stand in turn."""
+    k, rate = int(state["classes"]), float(state["rate"])
+    return by_batch(state["trees"], x, lambda v: (rate * v.reshape(len(v), -1, k).sum(1)).argmax(1).astype("f8"))
+
+
 @scorer("xgboost_regression")
 def _boosted(state: dict, x: list[Column]) -> Column:
     return _total(state, x, False)
@@ -147,29 +218,55 @@ def decision_tree(df: DataFrame, features: Sequence[str], label: str, max_depth:
     return Model("decision_tree", list(features), {"tree": grow(df, features, F.col(label).cast("double"), max_depth, min_split, min_leaf, middle=not bins)}, n_samples=df.count())
 
 
-def gradient_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int = 100, rate: float = 0.1, max_depth: int = 6, binary: bool = False, bins: int | None = None) -> Model:
-    """Trees on residuals; for two classes (0 and 1) on p - y, with Newton leaves."""
-    df = binned(checked(df, features, label), features, bins).select(*features, F.col(label).cast("double").alias("_label")).cache()
-    try:
-        y, x, trees = F.col("_label"), doubles(features), []
-        n, base = df.agg(F.count(F.lit(1)), F.avg(y)).first()
-        if not n:
-            raise ValueError("no rows to train on")
-        base = 0.0 if binary else base
-        for _ in range(rounds):
-            total = _total({"base": base, "rate": rate, "trees": trees}, x, False)
-            if binary:
-                p = sigmoid(total)
-                trees.append(grow(df.withColumn("_h", p * (1 - p)), features, p - y, max_depth, 5, 1, lambda r: -r["s"] / max(r["h"], 1e-12), not bins))
-            else:
-                trees.append(grow(df, features, y - total, max_depth, 5, 1, middle=not bins))
-        model = Model("xgboost_binary" if binary else "xgboost_regression", list(features), {"base": base, "rate": rate, "trees": trees}, n_samples=n)
-        p = model.column()
-        r = df.agg(F.avg((y - p) * (y - p)).alias("mse"), F.var_pop(y).alias("var")).first()
-        model.mse, model.r_squared = r["mse"], 1 - r["mse"] / r["var"] if r["var"] else None
+def gradient_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int = 100, rate: float = 0.1, max_depth: int = 6, subsample: float = 1.0, binary: bool = False, classes: int = 0, bins: int | None = None) -> Model:
+    """Trees on residuals; for two classes (0 and 1) on p - y, with Newton leaves; for `classes` (0, 1, ...) a tree for
+    each class and round on its probability minus its mark.
+
+    Scores are kept as columns and checkpointed every few rounds, so that a round evaluates its own trees only. With
+    `subsample` below 1 each round grows on the rows whose hash, with the round's number, falls under it.
+    """
+    if not 0 < subsample <= 1:
+        raise ValueError("subsample must be above 0 and at most 1")
+    many = int(classes) if classes > 2 else 1
+    binary = binary or classes == 2
+    df = binned(checked(df, features, label), features, bins)
+    y, x, trees = F.col("_label"), doubles(features), []
+    df = cut(df.select(*[c.alias(f) for c, f in zip(x, features, strict=True)], F.col(label).cast("double").alias("_label")))
+    n, base, low, high = df.agg(F.count(F.lit(1)), F.avg(y), F.min(y), F.max(y)).first()
+    if not n:
+        raise ValueError("no rows to train on")
+    if many > 1 and not (low >= 0 and high < many):
+        raise ValueError(f"labels must be from 0 to {many - 1}")
+    base = 0.0 if binary or many > 1 else base
+    scores = [f"_s{k}" for k in range(many)]
+    df = df.withColumns({s: F.lit(float(base)) for s in scores} | ({"_row": F.xxhash64(*features, "_label")} if subsample < 1 else {}))
+    newton = lambda r: -r["s"] / max(r["h"], 1e-12)
+    for k in range(rounds):
+        some = df.where(F.pmod(F.xxhash64("_row", F.lit(k)), F.lit(1 << 30)) < F.lit(subsample * (1 << 30))) if subsample < 1 else df
+        if many > 1:
+            top = F.greatest(*[F.col(s) for s in scores])
+            parts = [F.exp(F.col(s) - top) for s in scores]
+            whole = sum(parts[1:], parts[0])
+            probabilities = [p / whole for p in parts]
+            grown = [grow(some.withColumn("_h", p * (1 - p)), features, p - (y == c).cast("double"), max_depth, 5, 1, newton, not bins) for c, p in enumerate(probabilities)]
+        elif binary:
+            p = sigmoid(F.col("_s0"))
+            grown = [grow(some.withColumn("_h", p * (1 - p)), features, p - y, max_depth, 5, 1, newton, not bins)]
+        else:
+            grown = [grow(some, features, y - F.col("_s0"), max_depth, 5, 1, middle=not bins)]
+        trees += grown
+        df = df.withColumns({s: F.col(s) + F.lit(rate) * tree_column(t, x) for s, t in zip(scores, grown, strict=True)})
+        if k % 4 == 3:
+            df = cut(df)
+    name = "xgboost_multi" if many > 1 else "xgboost_binary" if binary else "xgboost_regression"
+    model = Model(name, list(features), {"base": base, "rate": rate, "trees": trees} | ({"classes": many} if many > 1 else {}), n_samples=n)
+    if many > 1:
+        model.r_squared = model.extra["accuracy"] = df.agg(F.avg((first_greatest([F.col(s) for s in scores]) == y).cast("double"))).first()[0]
         return model
-    finally:
-        df.unpersist()
+    p = sigmoid(F.col("_s0")) if binary else F.col("_s0")
+    r = df.agg(F.avg((y - p) * (y - p)).alias("mse"), F.var_pop(y).alias("var")).first()
+    model.mse, model.r_squared = r["mse"], 1 - r["mse"] / r["var"] if r["var"] else None
+    return model
 
 
 def adaboost(df: DataFrame, features: Sequence[str], label: str, rounds: int = 50, bins: int | None = None) -> Model:
@@ -209,25 +306,40 @@ def adaboost(df: DataFrame, features: Sequence[str], label: str, rounds: int = 5
         df.unpersist()
 
 
-def random_forest(df: DataFrame, features: Sequence[str], label: str, classify: bool = False, trees: int = 100, max_depth: int = 10, seed: int = 42, out: str = "prediction") -> tuple[DataFrame, object]:
+def _read(node) -> dict:
+    """A fitted tree of Spark's as nested nodes."""
+    if node.subtreeDepth() == 0:
+        return {"value": float(node.prediction())}
+    split = node.split()
+    return {"feature": split.featureIndex(), "threshold": float(split.threshold()), "left": _read(node.leftChild()), "right": _read(node.rightChild())}
+
+
+def random_forest(df: DataFrame, features: Sequence[str], label: str, classify: bool = False, trees: int = 100, max_depth: int = 10, min_leaf: int = 1, seed: int = 42) -> Model:
     """Spark's own forest: a third of the features per split to regress, their square root to classify.
 
     Features of up to 256 distinct values keep them all as split points; others have as many bins as the fullest of these,
-    32 at least.
-    Returns the scored rows and the fitted pipeline stage.
+    32 at least. The trees are read into the model, which can be saved and scores anywhere; a classifier has its labels.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     df = checked(df, features, label)
-    cols = [c for c in df.columns]
     counts = df.agg(*[F.count_distinct(F.col(f).cast("double")) for f in features]).first()
     bins = max([32, *(c for c in counts if c <= 256)])
-    df = VectorAssembler(inputCols=list(features), outputCol="_features").transform(df)
-    if classify:
-        df, labels = encode_labels(df, label, "_label")
-        fitted = RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_p", numTrees=trees, maxDepth=max_depth, maxBins=bins, seed=seed, featureSubsetStrategy="sqrt").fit(df.withColumn("_label", F.col("_label").cast("double")))
-        return fitted.transform(df).select(*cols, decode_labels(F.col("_p"), labels).alias(out)), fitted
-    fitted = RandomForestRegressor(featuresCol="_features", labelCol="_label", predictionCol=out, numTrees=trees, maxDepth=max_depth, maxBins=bins, seed=seed, featureSubsetStrategy="onethird").fit(df.withColumn("_label", F.col(label).cast("double")))
-    return fitted.transform(df).select(*cols, out), fitted
+    x = df.select(*[c.alias(f) for c, f in zip(doubles(features), features, strict=True)], F.col(label).alias("_y"))
+    x = VectorAssembler(inputCols=list(features), outputCol="_features").transform(x).select("_features", "_y").cache()
+    more = {"featuresCol": "_features", "labelCol": "_label", "numTrees": trees, "maxDepth": max_depth, "maxBins": bins, "minInstancesPerNode": min_leaf, "seed": seed}
+    try:
+        n = x.count()
+        if not n:
+            raise ValueError("no rows to train on")
+        if classify:
+            x, labels = encode_labels(x, "_y", "_label")
+            fitted = RandomForestClassifier(featureSubsetStrategy="sqrt", **more).fit(x.withColumn("_label", F.col("_label").cast("double")))
+            grown = [_read(t._call_java("rootNode")) for t in fitted.trees]
+            return Model("rf_classifier", list(features), {"trees": grown, "classes": len(labels)}, n_samples=n, labels=labels)
+        fitted = RandomForestRegressor(featureSubsetStrategy="onethird", **more).fit(x.withColumn("_label", F.col("_y").cast("double")))
+        return Model("random_forest", list(features), {"trees": [_read(t._call_java("rootNode")) for t in fitted.trees]}, n_samples=n)
+    finally:
+        x.unpersist()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import Model, scorer
 from ..stats import moments
 
 
@@ -64,17 +66,40 @@ def arima_forecast(df_like: DataFrame, model: dict, horizon: int) -> DataFrame:
     """step (from 1) and forecast."""
     if not 1 <= horizon <= 100_000:
         raise ValueError("horizon must be from 1 to 100000")
+    return df_like.sparkSession.createDataFrame(list(enumerate(forecasts(model, horizon), 1)), "step int, forecast double")
+
+
+def arima(df: DataFrame, features: Sequence[str], label: str, p: int = 1, d: int = 1, q: int = 0) -> Model:
+    """A series, in the order of its one feature, as a model: its score of a number h is the forecast h steps ahead."""
+    if len(features) != 1:
+        raise ValueError("one feature, which orders the series, is needed")
+    return Model("arima", list(features), arima_fit(df, features[0], label, p, d, q), n_samples=df.count())
+
+
+@scorer("arima")
+def _arima(state: dict, x: list[Column]) -> Column:
+    @F.arrow_udf("double")
+    def ahead(steps: pa.Array) -> pa.Array:
+        h = steps.fill_null(0).to_numpy().astype("i8")
+        path = np.array([np.nan, *forecasts(state, min(int(h.max(initial=1)), 100_000))])
+        return pa.array(np.where((h >= 1) & (h < len(path)), path[np.clip(h, 0, len(path) - 1)], np.nan))
+
+    return F.nanvl(ahead(x[0]), F.lit(None).cast("double"))
+
+
+def forecasts(model: dict, horizon: int) -> list[float]:
+    """The next `horizon` values of a fitted series."""
     levels = [np.array(model["tail"], "f8")]
     for _ in range(model["d"]):
         levels.append(np.diff(levels[-1]))
     past, shocks = levels[-1].tolist()[::-1], list(model["shocks"])
     ends = [x[-1] for x in levels[:-1]]
     out = []
-    for step in range(1, horizon + 1):
+    for _ in range(horizon):
         z = model["constant"] + sum(a * v for a, v in zip(model["phi"], past, strict=False)) + sum(a * v for a, v in zip(model["theta"], shocks, strict=False))
         past, shocks = [z, *past][: max(model["p"], 1)], [0.0, *shocks][: model["q"]]
         for k in range(len(ends) - 1, -1, -1):
             ends[k] += z
             z = ends[k]
-        out.append((step, float(z)))
-    return df_like.sparkSession.createDataFrame(out, "step int, forecast double")
+        out.append(float(z))
+    return out

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..frame import checked
+from ..frame import checked, encode_labels
 from ..functions.metrics import regression
 from ..model import Model
-from . import bayes, cluster, decomp, glm, linear, margin, network, tree
+from . import bayes, cluster, decomp, glm, linear, margin, neighbors, network, survival, tree, tseries
 
 #: Trainers that give a model: (rows, features, label, parameters). Defaults are the trainers' own.
 TRAINERS: dict[str, Callable[..., Model]] = {
@@ -28,6 +31,14 @@ TRAINERS: dict[str, Callable[..., Model]] = {
     "xgboost_regression": tree.gradient_boosting,
     "xgboost_binary": lambda df, features, label, **p: tree.gradient_boosting(df, features, label, binary=True, **p),
     "adaboost": tree.adaboost,
+    "random_forest": tree.random_forest,
+    "rf_classifier": lambda df, features, label, **p: tree.random_forest(df, features, label, classify=True, **p),
+    "knn_regressor": neighbors.knn,
+    "knn_classifier": lambda df, features, label, **p: neighbors.knn(df, features, label, classify=True, **p),
+    "arima": tseries.arima,
+    "kaplan_meier": survival.survival_model,
+    "cox": lambda df, features, label, time, **p: glm.cox(df, time, label, features, **p),
+    "dbscan": lambda df, features, label=None, **p: cluster.dbscan_train(df, features, **p),
     "svm": margin.svm,
     "svr": margin.svr,
     "mlp_regressor": network.mlp_regressor,
@@ -38,14 +49,23 @@ TRAINERS: dict[str, Callable[..., Model]] = {
     "agglomerative": lambda df, features, label=None, **p: cluster.agglomerative(df, features, **p),
 }
 
-REGRESSION = ("linear_regression", "lasso_regression", "xgboost_regression", "mlp_regressor")
-CLASSIFICATION = ("logistic_regression", "naive_bayes", "xgboost_binary", "adaboost")
+REGRESSION = ("linear_regression", "lasso_regression", "random_forest", "knn_regressor", "mlp_regressor")
+CLASSIFICATION = ("logistic_regression", "rf_classifier", "knn_classifier", "naive_bayes")
+#: Algorithms whose label is a class; text labels are numbered for them in their order.
+OF_CLASSES = {"logistic_regression", "multilogistic", "ordinal", "naive_bayes", "xgboost_binary", "adaboost", "svm", "knn_classifier", "lda"}
 
 
 def train(df: DataFrame, algorithm: str, features: Sequence[str], label: str | None = None, **params) -> Model:
     if algorithm not in TRAINERS:
         raise ValueError(f"unknown algorithm {algorithm!r}; known: {', '.join(sorted(TRAINERS))}")
-    return TRAINERS[algorithm](df, features, label, **params)
+    if label is None or not isinstance(df.schema[label].dataType, StringType) or algorithm not in OF_CLASSES:
+        return TRAINERS[algorithm](df, features, label, **params)
+    df, labels = encode_labels(df.where(F.col(label).isNotNull()), label, "_label_number")
+    if algorithm == "xgboost_binary" and len(labels) > 2:
+        params = {"classes": len(labels)} | params
+    model = TRAINERS[algorithm](df, features, "_label_number", **params)
+    model.labels = labels
+    return model
 
 
 def cross_validate(df: DataFrame, algorithm: str, features: Sequence[str], label: str, row_id: str, k: int = 5, **params) -> DataFrame:
@@ -68,18 +88,24 @@ def cross_validate(df: DataFrame, algorithm: str, features: Sequence[str], label
         df.unpersist()
 
 
-def compare(df: DataFrame, features: Sequence[str], label: str, algorithms: Sequence[str] | None = None, task: str = "regression", name: str = "experiment", params: dict[str, dict] | None = None) -> tuple[DataFrame, dict[str, Model]]:
-    """A row per algorithm (with the error of one that fails), and the models by name."""
+def compare(df: DataFrame, features: Sequence[str], label: str, algorithms: Sequence[str] | None = None, task: str = "regression", name: str = "experiment", params: dict[str, dict] | None = None, together: int = 3) -> tuple[DataFrame, dict[str, Model]]:
+    """A row per algorithm (with the error of one that fails), and the models by name. Trainings run side by side, as
+    many as `together`."""
+    if isinstance(checked(df, features, label).schema[label].dataType, StringType):
+        raise ValueError("labels must be numbers to compare errors")
     if task not in ("regression", "classification"):
         raise ValueError(f"unknown task {task!r}")
-    models, rows = {}, []
-    for a in algorithms or (REGRESSION if task == "regression" else CLASSIFICATION):
+
+    def one(a: str) -> tuple[tuple, Model | None]:
         key = f"{name}_{a}"
         try:
             m = train(df, a, features, label, **(params or {}).get(a, {}))
             r = regression(m.transform(checked(df, features, label), "_p"), label, "_p").first()
-            models[key] = m
-            rows.append((key, a, float(r["r2"]), float(r["mse"]), int(r["n"]), len(features), None))
-        except ValueError as e:
-            rows.append((key, a, None, None, 0, len(features), str(e)))
+            return (key, a, float(r["r2"]), float(r["mse"]), int(r["n"]), len(features), None), m
+        except (ValueError, PySparkException) as e:
+            return (key, a, None, None, 0, len(features), str(e)), None
+
+    with ThreadPoolExecutor(max(1, together)) as pool:
+        done = list(pool.map(one, algorithms or (REGRESSION if task == "regression" else CLASSIFICATION)))
+    rows, models = [row for row, _ in done], {row[0]: m for row, m in done if m is not None}
     return df.sparkSession.createDataFrame(rows, "model_name string, algorithm string, r_squared double, mse double, n_samples long, n_features int, error string"), models

@@ -64,15 +64,22 @@ def order_statistic(df: DataFrame, column: Column, place: int, few: int = 10_000
     return sorted(r[0] for r in values.where(F.col("v").between(low, high)).collect())[place]
 
 
-def range_cuts(df: DataFrame, order: str, buckets: int = 256) -> list[float]:
+def range_cuts(df: DataFrame, order: str, buckets: int = 128) -> list[float]:
     """Values that part `order` into up to `buckets` ranges of about as many rows."""
     cuts = df.select(F.percentile_approx(F.col(order).cast("double"), [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
     return sorted(set(cuts))
 
 
+def _range_of(x: Column, cuts: Sequence[float], low: int = 0) -> Column:
+    """How many of the sorted cuts lie below x, found by halves: as many comparisons a row as the logarithm of the cuts."""
+    if not cuts:
+        return F.lit(low)
+    mid = len(cuts) // 2
+    return F.when(x > F.lit(float(cuts[mid])), _range_of(x, cuts[mid + 1 :], low + mid + 1)).otherwise(_range_of(x, cuts[:mid], low))
+
+
 def _ranged(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
-    where = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda a, c: a + F.when(F.col(order).cast("double") > c, 1).otherwise(0)) if cuts else F.lit(0)
-    return df.withColumn("_range", where)
+    return df.withColumn("_range", _range_of(F.col(order).cast("double"), cuts))
 
 
 def with_next(df: DataFrame, order: str, cuts: Sequence[float] | None = None) -> DataFrame:
@@ -88,7 +95,7 @@ def with_next(df: DataFrame, order: str, cuts: Sequence[float] | None = None) ->
     return out.select(*df.columns, F.coalesce("next", "_after").alias("next"))
 
 
-def running_sums(df: DataFrame, order: str, sums: dict[str, Column], descending: bool = False, buckets: int = 256, cuts: Sequence[float] | None = None) -> DataFrame:
+def running_sums(df: DataFrame, order: str, sums: dict[str, Column], descending: bool = False, buckets: int = 128, cuts: Sequence[float] | None = None) -> DataFrame:
     """`df`, of one row per value of `order`, with running sums in that order.
 
     Rows are dealt into ranges of `order`; windows run within a range, and the totals of earlier ranges (at most

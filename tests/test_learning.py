@@ -102,18 +102,109 @@ def test_adaboost_query_tries_all_midpoints(spark):
     for r in got:
         error = np.array([w[np.where(x <= t, -1, 1) != y].sum() for t in mids]) / w.sum()
         best = min(error.min(), (1 - error).min())
-        mine = w[r.polarity * np.where(x <= r.threshold, -1, 1) != y].sum() / w.sum()
-        assert np.abs(mids - r.threshold).min() < 1e-9 and mine == pytest.approx(best, abs=1e-9)
-        assert r.alpha == pytest.approx(0.5 * math.log((1 - best) / best), abs=1e-6)
-        w = w * np.exp(-r.alpha * y * r.polarity * np.where(x <= r.threshold, -1, 1))
+        t = mids[np.abs(mids - r.threshold).argmin()]  # the query rounds
+        mine = w[r.polarity * np.where(x <= t, -1, 1) != y].sum() / w.sum()
+        assert abs(t - r.threshold) < 1e-6 and mine == pytest.approx(best, abs=1e-6)
+        assert r.alpha == pytest.approx(0.5 * math.log((1 - best) / best), abs=1e-5)
+        w = w * np.exp(-r.alpha * y * r.polarity * np.where(x <= t, -1, 1))
 
 
 def test_forest_splits_at_every_value(spark):
     df = spark.createDataFrame([(float(k), float(k % 2)) for k in range(50) for _ in range(20)], "x double, y double")
-    _, fitted = tree.random_forest(df, ["x"], "y", trees=2, max_depth=2)
-    assert fitted.getMaxBins() == 50
-    wide = spark.createDataFrame([(float(k), float(k % 2)) for k in range(300)], "x double, y double")
-    assert tree.random_forest(wide, ["x"], "y", trees=2, max_depth=2)[1].getMaxBins() == 32
+    m = tree.random_forest(df, ["x"], "y", trees=2, max_depth=30)
+    assert metrics.regression(m.transform(df), "y", "prediction").first().mse < 0.1
+    again = Model.from_json(m.to_json()).transform(df, "q").withColumn("p", m.column())
+    assert again.where("p <> q").isEmpty()
+
+
+def test_text_labels_end_to_end(spark, noisy):
+    """Every classifier takes text labels and gives them back."""
+    df = noisy.withColumn("c", F.when(F.col("y") > 2, "inside").otherwise("outside"))
+    for name, params in {"logistic_regression": {"rate": 0.5}, "multilogistic": {"epochs": 30}, "ordinal": {"epochs": 30}, "naive_bayes": {}, "xgboost_binary": {"rounds": 2, "max_depth": 2, "rate": 0.9, "bins": 16}, "adaboost": {"rounds": 2, "bins": 16}, "svm": {"kernel": "linear"}, "rf_classifier": {"trees": 5}, "knn_classifier": {}}.items():
+        m = validate.train(df, name, FEATURES, "c", **params)
+        assert m.labels == ["inside", "outside"], name
+        again = Model.from_json(m.to_json()).transform(df)
+        assert again.where("prediction_label = c").count() > 200, name
+
+
+def test_boosting_of_classes(spark):
+    rng = np.random.default_rng(7)
+    centers = [(0, 0), (4, 0), (0, 4)]
+    df = spark.createDataFrame([(*map(float, rng.normal(centers[k % 3], 0.8)), ("a", "b", "c")[k % 3]) for k in range(150)], "f0 double, f1 double, y string").cache()
+    m = validate.train(df, "xgboost_binary", ["f0", "f1"], "y", rounds=3, rate=0.5, max_depth=2, bins=16)
+    assert m.algorithm == "xgboost_multi" and len(m.state["trees"]) == 9 and m.r_squared > 0.9
+    assert m.transform(df).where("prediction_label = y").count() / 150 == pytest.approx(m.r_squared)
+    half = tree.gradient_boosting(df, ["f0"], "f1", rounds=2, subsample=0.5, max_depth=2, bins=16)
+    assert half.state == tree.gradient_boosting(df.repartition(3), ["f0"], "f1", rounds=2, subsample=0.5, max_depth=2, bins=16).state
+    with pytest.raises(ValueError, match="from 0 to 2"):
+        tree.gradient_boosting(df, ["f0"], "f1", classes=3)
+
+
+def test_dbscan_by_brute_force(spark):
+    rng = random.Random(4)
+    points = [(rng.choice([0, 0.3, 5]) + rng.random() * rng.choice([0.1, 2]), rng.random() * 3) for _ in range(150)]
+    points += points[:20] + [(1.0, 1.0)] * 8
+    rows = list(enumerate(points))
+    near = {i: [j for j, q in rows if (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 0.09] for i, p in rows}
+    core = {i for i in near if len(near[i]) >= 6}
+    name = {i: i for i in core}
+    for _ in rows:
+        name = {i: min(name[j] for j in near[i] if j in core) for i in core}
+    want = {i: (name[i], True) if i in core else (min((name[j] for j in near[i] if j in core), default=None), False) for i in near}
+    df = spark.createDataFrame([(i, *p) for i, p in rows], "id long, x double, y double").repartition(3)
+    got = {r.id: (r.cluster, r.core) for r in cluster.dbscan(df, ["x", "y"], "id", 0.3, 6).collect()}
+    ties = [i for i in want if not want[i][1] and len({name[j] for j in near[i] if j in core}) > 1]
+    assert {i: v for i, v in got.items() if i not in ties} == {i: v for i, v in want.items() if i not in ties}
+    assert all(got[i][0] in {name[j] for j in near[i] if j in core} for i in ties)
+    assert cluster.dbscan(df.limit(0), ["x", "y"], "id").count() == 0
+
+
+def test_models_of_rows_series_and_times(spark, noisy):
+    from sparkloom.pipelines import Learner
+
+    knn = validate.train(noisy, "knn_regressor", FEATURES, "y", k=1)
+    assert Model.from_json(knn.to_json()).transform(noisy).where("prediction <> y").isEmpty()
+    y = [5, 9, 12.2, 14.76, 16.808, 18.4464]
+    series = spark.createDataFrame([(k, float(v)) for k, v in enumerate(y)], "t long, y double")
+    m = validate.train(series, "arima", ["t"], "y", p=1, d=0, q=0)
+    got = [r.prediction for r in m.transform(spark.createDataFrame([(1,), (2,), (0,)], "t long")).collect()]
+    assert got[:2] == pytest.approx([19.757, 20.806], abs=1e-2) and got[2] is None
+    times = spark.createDataFrame([(1.0, 1), (2.0, 1), (3.0, 0), (4.0, 1)], "t double, e int")
+    assert validate.train(times, "kaplan_meier", ["t"], "e").transform(times).first().prediction == 2.0
+    two = validate.train(noisy.select("f0", "f1"), "dbscan", ["f0", "f1"], eps=0.8)
+    assert len(two.state["centers"]) >= 1
+    assert validate.train(times.withColumn("x", F.col("t")), "cox", ["x"], "e", time="t", epochs=3).state["coefficients"][0] < 0
+    from pyspark.ml import Pipeline
+
+    staged = Pipeline(stages=[Learner(algorithm="linear_regression", features=FEATURES, label="y")]).fit(noisy).transform(noisy)
+    assert metrics.regression(staged, "y", "prediction").first().r2 > 0.99
+
+
+def test_json_text(spark):
+    from sparkloom.sources import json_text
+
+    df = json_text.rows(spark, "[[1, 2], [3, 4.5]]", '["a", "b"]')
+    assert [tuple(r) for r in df.orderBy("row_id").collect()] == [(0, 1.0, 2.0, "a"), (1, 3.0, 4.5, "b")]
+    assert json_text.rows(spark, "[[1], [2]]", "[3, 4]").schema["y"].dataType.simpleString() == "double"
+    for features, target in (("[]", None), ("[[1], [2, 3]]", None), ("[[1], [null]]", None), ("[[1]]", "[1, 2]")):
+        with pytest.raises(ValueError):
+            json_text.rows(spark, features, target)
+
+
+def test_large_itemsets_are_refused(spark):
+    found = spark.createDataFrame([([f"i{k:02}" for k in range(31)], 31, 4), (["i00"], 1, 5)], "items array<string>, size int, n long")
+    with pytest.raises(ValueError, match="31 items"):
+        mining.rules(found, 9, 0.1)
+
+
+def test_packed_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, -2.5]), (1, []), (2, None), (3, [None, 3.0])], "k int, v array<float>")
+    raw = {r.k: r.b and bytes(r.b) for r in df.select("k", vectors.pack(F.col("v")).alias("b")).collect()}
+    assert raw[0] == np.array([1.0, -2.5], "<f4").tobytes() and raw[1] == b"" and raw[2] is None and len(raw[3]) == 8
+    back = spark.createDataFrame([(0, raw[0]), (1, b""), (2, None), (3, b"abcde")], "k int, b binary")
+    assert {r.k: r.v for r in back.select("k", vectors.unpack(F.col("b")).alias("v")).collect()} == {0: [1.0, -2.5], 1: [], 2: None, 3: None}
+    with pytest.raises(ValueError, match="10000"):
+        vectors.similar(spark.createDataFrame([(1, [1.0])], "row_id long, embedding array<float>"), [1.0], 10_001)
 
 
 def test_naive_bayes_and_neighbours(noisy):
@@ -252,6 +343,8 @@ def test_onnx_outputs(spark, tmp_path):
     path.write_bytes(_message((1, 8), (8, _message((1, ""), (2, 13)))) + b"\x3a" + bytes([len(graph)]) + graph)
     df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     assert vectors.onnx_outputs(df, str(path), ["a", "b"]).first().embedding == [-1.0, -2.0]
+    m = Model.from_json(vectors.load_onnx(str(path), ["a", "b"]).to_json())
+    assert m.transform(df).first().prediction == -1.0
 
 
 def test_smote_and_votes(spark):
