@@ -302,7 +302,7 @@ def _as_rows(length: int):
     return run
 
 
-def earlier_spans(rows: DataFrame, length: int = 50, crowd: int = 4096, shard: int = 2500) -> DataFrame:
+def earlier_spans(rows: DataFrame, length: int = 50, crowd: int = 1024, shard: int = 2500) -> DataFrame:
     """Per key of `rows` (keyed texts): `spans`, the array of (start, end) in words that an earlier document's windows cover."""
     text = rows.select("_id", "_th", "text")
     grams = cut(text.select("text").mapInArrow(_runs(length, True), "g long").groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
