@@ -329,6 +329,36 @@ def test_lines_against_all_earlier_documents(spark):
         assert {r.doc_id: r.text for r in lines.dedup_text(df, rare=rare).collect()} == want
 
 
+def brute_lines(rows, min_lines=3, min_bytes=80):
+    """The texts left where every line goes that stands in a block which an earlier (id, text hash) holds."""
+    lines_of = [(key, (text or "").split("\n") if text else []) for key, text in rows]
+    out = []
+    for key, x in lines_of:
+        gone = set()
+        for i in range(len(x)):
+            for j in range(len(x), i, -1):
+                solid = [k for k in range(i, j) if x[k].strip(" \t\r\v\f")]
+                enough = len(solid) >= min_lines or sum(len(x[k].encode()) for k in solid) >= min_bytes
+                if enough and any(other < key and any(y[k : k + j - i] == x[i:j] for k in range(len(y) - (j - i) + 1)) for other, y in lines_of):
+                    gone |= set(range(i, j))
+                    break
+        out.append((key, [line for k, line in enumerate(x) if k not in gone]))
+    return out
+
+
+def test_lines_of_awkward_rows(docs, rows, spark):
+    """The query's operator, with its own parameters, against all blocks of all earlier documents."""
+    from pyspark.sql import functions as F
+
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t, *_ in rows}], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    keys = [((i if i is not None else 1 << 63, hashes[t]), t) for i, t, *_ in rows]
+    want = []
+    for (i, *_), (_, t), (_, kept) in zip(rows, keys, brute_lines(keys), strict=True):
+        n = len(t.split("\n")) if t else 0
+        want.append((i, n, n - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    assert keyed(lines.dedup(docs), "doc_id", "n_lines", "n_removed", "kept_sha256") == sorted(want, key=repr)
+
+
 def test_patience():
     rng = random.Random(2)
     for _ in range(200):
@@ -371,6 +401,13 @@ def test_toxicity(spark, none):
     assert kept.columns == docs.columns and 280 < kept.count() < 320
     assert toxicity.score(none, labels).count() == 0
     assert toxicity.score(docs, labels.limit(0)).where("score <> 0.5").count() == 0
+    scores = {(r.doc_id, r.score) for r in out.collect() if r.doc_id in (400, 401)}
+    assert len({s for _, s in scores}) == 1 and all(0 <= s < 0.3 for _, s in scores)  # null and empty texts show no feature
+    again = toxicity.score(docs.withColumn("score", docs.doc_id).withColumn("row", docs.text), labels).where("doc_id = 3").collect()
+    assert len(again) == 2 and len({r.score for r in again}) == 1  # repeated rows, clashing names
+    assert toxicity.keep_clean(docs.limit(0), labels).count() == 0
+    long = docs.unionByName(spark.createDataFrame([(3, "idiot " * 30_000, "x")], docs.schema))
+    assert toxicity.score(long, labels).where("doc_id = 3").count() == 3  # texts of any length teach
 
 
 def test_label_model_trusts_good_voters():
@@ -394,6 +431,10 @@ def test_quality(spark, none):
     assert out.where("score is null or score < 0 or score > 1").count() == 0
     assert quality.score(none, labels).count() == 0
     assert quality.score(docs, labels.limit(0)).where("score <> 0.5").count() == 0
+    scores = {r.score for r in out.collect() if r.doc_id in (400, 401)}
+    assert len(scores) == 1  # null and empty texts are one empty line
+    again = quality.score(docs.withColumn("score", docs.doc_id).withColumn("row", docs.text), labels).where("doc_id = 3").collect()
+    assert len(again) == 2 and len({r.score for r in again}) == 1
 
 
 def test_forward_backward_by_enumeration():
@@ -413,3 +454,77 @@ def test_forward_backward_by_enumeration():
             for s, t in zip(p, p[1:]):
                 want_pair[s, t] += v
     assert np.allclose(marg, want) and np.allclose(pair, want_pair) and np.isclose(log_z, total)
+
+
+def test_very_long_texts(spark):
+    """A text of over a million bytes and its copy, through every operator on texts."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(15_500))
+    assert len(text) > 1_000_000
+    df = spark.createDataFrame([(1, text), (2, text), (3, "short one")], "doc_id long, text string").repartition(2)
+    by = lambda out: {r.doc_id: r for r in out.collect()}
+    assert {i: r.component_id for i, r in by(jaccard.join(df)).items()} == {1: 1, 2: 1, 3: 3}
+    assert {i: (r.n_words, r.n_removed) for i, r in by(fmindex.dedup(df)).items()} == {1: (186_000, 0), 2: (186_000, 186_000), 3: (2, 0)}
+    assert {i: (r.n_removed, r.n_spans) for i, r in by(doubling.dedup(df)).items()} == {1: (len(text), 1), 2: (len(text), 1), 3: (0, 0)}
+    assert {i: r.n_removed for i, r in by(lines.dedup(df)).items()} == {1: 0, 2: 15_500, 3: 0}
+    got = by(bpe.encode(df))
+    assert got[1].ids_sha256 == got[2].ids_sha256 and got[2].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    enc = bpe.encoder(bpe.ranks_path())
+    assert got[1].n_tokens == len(enc.bpe.encode_ordinary(text))
+    pieces = [r for r in packing.pack(df).collect() if r.doc_id == 1]
+    assert sorted(r.start for r in pieces) == list(range(0, pieces[0].doc_tokens, 4096)) and sum(r.length for r in pieces) == pieces[0].doc_tokens
+
+
+def test_stages_of_empty_tables(none):
+    for stage in (jaccard.keep_one, fmindex.dedup_text, lines.dedup_text):
+        out = stage(none)
+        assert out.columns == none.columns and out.count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """run() against brute-force versions of its stages; the classifier's own decisions are taken as they are."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = ["\n".join(line(rng.randint(2, 14)) for _ in range(rng.randint(2, 9))) for _ in range(70)]
+    passage, block = line(70), "\n".join(line(4) for _ in range(4))
+    texts += [texts[0], texts[1] + " more", line(9) + " " + passage + " " + line(9), line(8) + "\n" + block, block + "\n" + line(12), line(5) + " " + passage]
+    nasty = [line(6) + " " + " ".join(rng.choice(["idiot", "scumbag", "loser"]) for _ in range(4)) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts + nasty)] + [(500, None), (501, ""), (None, texts[2]), (502, texts[3]), (502, texts[3])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    labels = spark.createDataFrame([(k, 1, int(k >= len(texts))) for k in range(len(texts) + len(nasty))], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "substring dedup", "packing"]
+    flags = {(r.doc_id, r.predicted) for r in toxicity.score(docs, labels).collect()}
+    bad = {i for i, p in flags if p}
+    assert bad and all(i is not None and len(texts) <= i < 500 for i in bad)
+    left = [(i, t) for i, t in rows if i not in bad]
+    from pyspark.sql import functions as F
+
+    h = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    number = lambda i: i if i is not None else 1 << 63
+    cut = brute_lines([((number(i), h[t]), t) for i, t in left])
+    left = [(i, t if t is None else "\n".join(kept)) for (i, t), (_, kept) in zip(left, cut, strict=True)]
+    low = brute_components(left, 80, 5)
+    left = [(i, t) for i, t in left if i is None or low[i] == i]
+    first = {}
+    for i, t in left:
+        w = (t or "").encode().split()
+        for p in range(len(w) - 49):
+            first[tuple(w[p : p + 50])] = min(number(i), first.get(tuple(w[p : p + 50]), number(i)))
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    want = []
+    for i, t in left:
+        w = (t or "").encode().split()
+        gone = {q for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < number(i) for q in range(p, p + 50)}
+        t = t if not gone else b" ".join(x for k, x in enumerate(w) if k not in gone).decode()
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, 0, len(ids), zlib.crc32(ids.tobytes()), len(ids)))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert keyed(got, "doc_id", "start", "length", "ids_crc32", "doc_tokens") == sorted(want, key=repr)
