@@ -3,6 +3,11 @@ copies, drop passages that an earlier document holds, and pack what is left into
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is the next one's docs; all but the last return the
 columns of documents.
+
+Defined cases: null texts stay null and empty ones empty through all stages but packing, where both are one end token;
+rows with a null doc_id stay, and count as later than every other; rows that repeat id and text all stay or lose the
+same; of documents that are copies of each other the smallest id stays, and ties can't arise beyond that; extra columns
+go along, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
