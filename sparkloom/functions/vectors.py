@@ -81,6 +81,13 @@ def unpack(column: Column) -> Column:
     return _unpack(column)
 
 
+def from_text(column: Column) -> Column:
+    """The bytes that a text stands for: pairs of hexadecimal digits, or else characters and \\xNN escapes."""
+    tokens = F.regexp_extract_all(column, F.lit(r"(?s)(\\x[0-9A-Fa-f]{2}|.)"))
+    digits = F.transform(tokens, lambda t: F.when(F.length(t) == 4, F.substring(t, 3, 2)).otherwise(F.hex(F.encode(t, "UTF-8"))))
+    return F.when(column.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(column)).otherwise(F.unhex(F.array_join(digits, "")))
+
+
 @scorer("onnx")
 def _onnx(state: dict, x: list[Column]) -> Column:
     """The first number that the model's output holds for a row."""

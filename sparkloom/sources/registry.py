@@ -19,6 +19,8 @@ TABLES = {
     "models": "name string, version int, algorithm string, n_samples long, n_features int, r_squared double, mse double, body string, status string, at long",
     "deployments": "model_name string, version int, strategy string, at long",
     "snapshots": "model_name string, relation_name string, n_features int, n_samples long, target_column string, feature_columns string, data_hash string, at long",
+    "experiments": "name string, task string, at long",
+    "datasets": "name string, path string, at long",
     "runs": "run_id string, experiment string, run_name string, model_name string, status string, at long",
     "metrics": "run_id string, key string, value double, step int, at long",
     "params": "run_id string, key string, value string, at long",
@@ -51,6 +53,29 @@ class Registry:
         self._add("models", name, version, model.algorithm, int(model.n_samples or 0), len(model.features), model.r_squared, model.mse, model.to_json(), "trained")
         return version
 
+    def keep_data(self, name: str, df: DataFrame) -> None:
+        """Keep rows under a name, to be scored or trained on again."""
+        path = f"{self.path}/data/{name}-{time.time_ns():x}"
+        df.write.parquet(path)
+        self._add("datasets", name, path)
+
+    def data(self, name: str) -> DataFrame:
+        """The rows last kept under a name."""
+        row = self._rows("datasets").where(F.col("name") == name).orderBy(F.desc("at")).limit(1).collect()
+        if not row:
+            raise KeyError(f"no data {name!r}")
+        return self.spark.read.parquet(row[0]["path"])
+
+    def publish(self, prefix: str = "ml_") -> None:
+        """Make models and all tables readable in SQL, as temporary views: ml_list_models, ml_deployments, ..."""
+        self.list_models().createOrReplaceTempView(f"{prefix}list_models")
+        for name in TABLES:
+            self._rows(name).createOrReplaceTempView(f"{prefix}{name}")
+
+    def score(self, name: str, df: DataFrame | str, out: str = "prediction") -> DataFrame:
+        """`df`, or the rows kept under that name, with the prediction of the deployed or latest version."""
+        return self.get(name).transform(self.data(df) if isinstance(df, str) else df, out)
+
     def delete(self, name: str) -> None:
         """Mark all versions of a model as deleted."""
         for r in self._versions().where(F.col("name") == name).collect():
@@ -107,6 +132,13 @@ class Registry:
     def list_snapshots(self, model_name: str) -> DataFrame:
         return self._rows("snapshots").where(F.col("model_name") == model_name).orderBy("at").drop("at")
 
+    def ensure_experiment(self, name: str, task: str = "regression") -> None:
+        """Note an experiment; one that is there already keeps its name and takes the task."""
+        self._add("experiments", name, task)
+
+    def experiments(self) -> DataFrame:
+        return self._rows("experiments").groupBy("name").agg(F.max_by("task", "at").alias("task"), F.min("at").alias("created_at"))
+
     def start_run(self, experiment: str, run_name: str, model_name: str = "") -> str:
         run_id = f"{experiment}-{time.time_ns():x}"
         self._add("runs", run_id, experiment, run_name, model_name, "running")

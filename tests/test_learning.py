@@ -135,7 +135,8 @@ def test_boosting_of_classes(spark):
     assert m.algorithm == "xgboost_multi" and len(m.state["trees"]) == 9 and m.r_squared > 0.9
     assert m.transform(df).where("prediction_label = y").count() / 150 == pytest.approx(m.r_squared)
     half = tree.gradient_boosting(df, ["f0"], "f1", rounds=2, subsample=0.5, max_depth=2, bins=16)
-    assert half.state == tree.gradient_boosting(df.repartition(3), ["f0"], "f1", rounds=2, subsample=0.5, max_depth=2, bins=16).state
+    again = tree.gradient_boosting(df.repartition(3), ["f0"], "f1", rounds=2, subsample=0.5, max_depth=2, bins=16)
+    assert half.transform(df, "p").withColumn("q", again.column()).where("abs(p - q) > 1e-9").isEmpty()
     with pytest.raises(ValueError, match="from 0 to 2"):
         tree.gradient_boosting(df, ["f0"], "f1", classes=3)
 
@@ -203,6 +204,8 @@ def test_packed_vectors(spark):
     assert raw[0] == np.array([1.0, -2.5], "<f4").tobytes() and raw[1] == b"" and raw[2] is None and len(raw[3]) == 8
     back = spark.createDataFrame([(0, raw[0]), (1, b""), (2, None), (3, b"abcde")], "k int, b binary")
     assert {r.k: r.v for r in back.select("k", vectors.unpack(F.col("b")).alias("v")).collect()} == {0: [1.0, -2.5], 1: [], 2: None, 3: None}
+    texts = spark.createDataFrame([("0000803F",), (r"\x00\x00\x80?",), ("",)], "t string")
+    assert [bytes(r.b).hex() for r in texts.select(vectors.from_text(F.col("t")).alias("b")).collect()] == ["0000803f", "0000803f", ""]
     with pytest.raises(ValueError, match="10000"):
         vectors.similar(spark.createDataFrame([(1, [1.0])], "row_id long, embedding array<float>"), [1.0], 10_001)
 
@@ -383,6 +386,15 @@ def test_registry(spark, noisy, tmp_path):
     r.log_param(run, "k", "3")
     r.finish_run(run)
     assert r.runs("e").first().status == "finished" and r.metrics(run).first().value == 0.5 and r.params(run).first().value == "3"
+    r.ensure_experiment("e")
+    r.ensure_experiment("e", "classification")
+    assert [(x.name, x.task) for x in r.experiments().collect()] == [("e", "classification")]
+    r.keep_data("rows", noisy.limit(7))
+    assert r.score("m", "rows").count() == 7 and r.score("m", noisy, "p").where("p is null").isEmpty()
+    r.publish()
+    assert spark.sql("select count(*) from ml_list_models where name = 'm'").first()[0] == 2
+    with pytest.raises(KeyError):
+        r.data("other")
     r.delete("m")
     assert r.list_models().count() == 0
 
