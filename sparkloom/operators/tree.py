@@ -2,8 +2,9 @@
 
 For a level, every row knows its open node; one aggregation gives the sums of each (node, feature, value), running sums
 over the values give both sides of every split, and a grouped minimum picks each node's best: the lowest impurity, then
-the first feature, then the lowest threshold. `bins` limits distinct values of a feature to quantiles, which bounds the
-windows on continuous features; without it splits are exact.
+the first feature, then the lowest threshold. `bins` limits distinct values of a feature to quantiles; without it splits
+are exact, and features of over FEW values are summed in ranges whose totals are carried over, so that no window holds
+all values of a feature.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..frame import checked, doubles, encode_labels, first_greatest, sigmoid
 from ..model import Model, scorer
 from ..plans.graph import cut
-from ..stats import range_cuts, running_sums, with_next
+from ..stats import range_cuts, range_of, running_sums, with_next
 
 
 def tree_column(tree: dict, x: list[Column], strict: bool = False) -> Column:
@@ -150,14 +151,47 @@ def binned(df: DataFrame, features: Sequence[str], bins: int | None) -> DataFram
     return df.withColumns({f: raised(f) for f in features})
 
 
-def _best_splits(rows: DataFrame, features: Sequence[str], sums: list[str], impurity, min_leaf: float, middle: bool) -> list:
-    """For each node the best split of `rows` (node, weight w, sums, features): impurity of both sides, feature, threshold."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).cast("double").alias("v")) for k, f in enumerate(features)]))
-    at = rows.select("node", "w", *sums, pairs.alias("p")).groupBy("node", "p.f", "p.v").agg(*[F.sum(s).alias(s) for s in ["w", *sums]])
+#: Distinct values of a feature up to which a node's sums run in one window.
+FEW = 10_000
+
+
+def value_ranges(df: DataFrame, features: Sequence[str]) -> list[list[float]] | None:
+    """For features of over FEW values: where to part each feature's values into ranges."""
+    counts = df.agg(*[F.approx_count_distinct(F.col(f).cast("double")).alias(f) for f in features]).first()
+    return [range_cuts(df, f) for f in features] if max(counts) > FEW else None
+
+
+def _by_ranges(at: DataFrame, sums: list[str], cuts: list[list[float]]) -> DataFrame:
+    """node, f, v, the next value, and the sums up to v and of all values, by ranges of v."""
+    which = F.lit(0)
+    for k, c in enumerate(cuts):
+        which = F.when(F.col("f") == k, range_of(F.col("v"), c)).otherwise(which)
+    at = cut(at.withColumn("r", which))
+    by = Window.partitionBy("node", "f").orderBy("r")  # at most as many rows as ranges
+    before, all_of = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("node", "f")
+    totals = at.groupBy("node", "f", "r").agg(F.min("v").alias("v0"), *[F.sum(s).alias(s) for s in sums])
+    totals = totals.select("node", "f", "r", F.lead("v0").over(by).alias("after"), *[F.coalesce(F.sum(s).over(before), F.lit(0.0)).alias(f"b_{s}") for s in sums], *[F.sum(s).over(all_of).alias(f"a_{s}") for s in sums])
+    inside = Window.partitionBy("node", "f", "r").orderBy("v")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    at = at.select("node", "f", "r", "v", F.lead("v").over(inside).alias("next"), *[F.sum(s).over(so_far).alias(f"l_{s}") for s in sums]).join(totals, ["node", "f", "r"])
+    return at.select("node", "f", "v", F.coalesce("next", "after").alias("next"), *[(F.col(f"l_{s}") + F.col(f"b_{s}")).alias(f"l_{s}") for s in sums], *[f"a_{s}" for s in sums])
+
+
+def _in_one_window(at: DataFrame, sums: list[str]) -> DataFrame:
     by = Window.partitionBy("node", "f").orderBy("v")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     all_of = Window.partitionBy("node", "f").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at = at.select("node", "f", "v", F.lead("v").over(by).alias("next"), *[F.sum(s).over(so_far).alias(f"l_{s}") for s in ["w", *sums]], *[F.sum(s).over(all_of).alias(f"a_{s}") for s in ["w", *sums]])
+    return at.select("node", "f", "v", F.lead("v").over(by).alias("next"), *[F.sum(s).over(so_far).alias(f"l_{s}") for s in sums], *[F.sum(s).over(all_of).alias(f"a_{s}") for s in sums])
+
+
+def _best_splits(rows: DataFrame, features: Sequence[str], sums: list[str], impurity, min_leaf: float, middle: bool, cuts: list[list[float]] | None = None) -> list:
+    """For each node the best split of `rows` (node, weight w, sums, features): impurity of both sides, feature, threshold."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).cast("double").alias("v")) for k, f in enumerate(features)]))
+    at = rows.select("node", "w", *sums, pairs.alias("p")).groupBy("node", "p.f", "p.v").agg(*[F.sum(s).alias(s) for s in ["w", *sums]])
+    if cuts is None:
+        at = _in_one_window(at, ["w", *sums])
+    else:
+        at = _by_ranges(at, ["w", *sums], cuts)
     at = at.where("next is not null")
     left = {s: F.col(f"l_{s}") for s in ["w", *sums]}
     right = {s: F.col(f"a_{s}") - F.col(f"l_{s}") for s in ["w", *sums]}
@@ -172,7 +206,7 @@ def _variance(s: dict) -> Column:
     return s["ss"] - s["s"] * s["s"] / s["w"]
 
 
-def grow(df: DataFrame, features: Sequence[str], y: Column, max_depth: int, min_split: int, min_leaf: int, leaf_value=None, middle: bool = True) -> dict:
+def grow(df: DataFrame, features: Sequence[str], y: Column, max_depth: int, min_split: int, min_leaf: int, leaf_value=None, middle: bool = True, cuts: list[list[float]] | None = None) -> dict:
     """A regression tree on `y`. `leaf_value` maps a node's sums (w, s, ss and those of `extra` columns) to its value.
 
     Thresholds stand in the middle between two values, or at the lower one (for binned features)."""
@@ -191,7 +225,7 @@ def grow(df: DataFrame, features: Sequence[str], y: Column, max_depth: int, min_
             if not stats:
                 raise ValueError("no rows to train on")
             can = [k for k, r in stats.items() if depth < max_depth and r["w"] >= min_split and r["w"] >= 2 * min_leaf and r["ss"] - r["s"] ** 2 / r["w"] > 1e-12]
-            splits = {r["node"]: r for r in _best_splits(level.where(F.col("node").isin(can)), features, ["s", "ss"], _variance, min_leaf, middle)} if can else {}
+            splits = {r["node"]: r for r in _best_splits(level.where(F.col("node").isin(can)), features, ["s", "ss"], _variance, min_leaf, middle, cuts)} if can else {}
             nxt = {}
             for k, place in open_.items():
                 r, s = stats[k], splits.get(k)
@@ -215,7 +249,7 @@ def _node_of(tree: dict, x: list[Column], number: int = 1) -> Column:
 
 def decision_tree(df: DataFrame, features: Sequence[str], label: str, max_depth: int = 10, min_split: int = 5, min_leaf: int = 2, bins: int | None = None) -> Model:
     df = binned(checked(df, features, label), features, bins)
-    return Model("decision_tree", list(features), {"tree": grow(df, features, F.col(label).cast("double"), max_depth, min_split, min_leaf, middle=not bins)}, n_samples=df.count())
+    return Model("decision_tree", list(features), {"tree": grow(df, features, F.col(label).cast("double"), max_depth, min_split, min_leaf, middle=not bins, cuts=None if bins else value_ranges(df, features))}, n_samples=df.count())
 
 
 def gradient_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int = 100, rate: float = 0.1, max_depth: int = 6, subsample: float = 1.0, binary: bool = False, classes: int = 0, bins: int | None = None) -> Model:
@@ -240,6 +274,7 @@ def gradient_boosting(df: DataFrame, features: Sequence[str], label: str, rounds
     base = 0.0 if binary or many > 1 else base
     scores = [f"_s{k}" for k in range(many)]
     df = df.withColumns({s: F.lit(float(base)) for s in scores} | ({"_row": F.xxhash64(*features, "_label")} if subsample < 1 else {}))
+    cuts = None if bins else value_ranges(df, features)
     newton = lambda r: -r["s"] / max(r["h"], 1e-12)
     for k in range(rounds):
         some = df.where(F.pmod(F.xxhash64("_row", F.lit(k)), F.lit(1 << 30)) < F.lit(subsample * (1 << 30))) if subsample < 1 else df
@@ -248,12 +283,12 @@ def gradient_boosting(df: DataFrame, features: Sequence[str], label: str, rounds
             parts = [F.exp(F.col(s) - top) for s in scores]
             whole = sum(parts[1:], parts[0])
             probabilities = [p / whole for p in parts]
-            grown = [grow(some.withColumn("_h", p * (1 - p)), features, p - (y == c).cast("double"), max_depth, 5, 1, newton, not bins) for c, p in enumerate(probabilities)]
+            grown = [grow(some.withColumn("_h", p * (1 - p)), features, p - (y == c).cast("double"), max_depth, 5, 1, newton, not bins, cuts) for c, p in enumerate(probabilities)]
         elif binary:
             p = sigmoid(F.col("_s0"))
-            grown = [grow(some.withColumn("_h", p * (1 - p)), features, p - y, max_depth, 5, 1, newton, not bins)]
+            grown = [grow(some.withColumn("_h", p * (1 - p)), features, p - y, max_depth, 5, 1, newton, not bins, cuts)]
         else:
-            grown = [grow(some, features, y - F.col("_s0"), max_depth, 5, 1, middle=not bins)]
+            grown = [grow(some, features, y - F.col("_s0"), max_depth, 5, 1, middle=not bins, cuts=cuts)]
         trees += grown
         df = df.withColumns({s: F.col(s) + F.lit(rate) * tree_column(t, x) for s, t in zip(scores, grown, strict=True)})
         if k % 4 == 3:

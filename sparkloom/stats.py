@@ -70,16 +70,16 @@ def range_cuts(df: DataFrame, order: str, buckets: int = 128) -> list[float]:
     return sorted(set(cuts))
 
 
-def _range_of(x: Column, cuts: Sequence[float], low: int = 0) -> Column:
+def range_of(x: Column, cuts: Sequence[float], low: int = 0) -> Column:
     """How many of the sorted cuts lie below x, found by halves: as many comparisons a row as the logarithm of the cuts."""
     if not cuts:
         return F.lit(low)
     mid = len(cuts) // 2
-    return F.when(x > F.lit(float(cuts[mid])), _range_of(x, cuts[mid + 1 :], low + mid + 1)).otherwise(_range_of(x, cuts[:mid], low))
+    return F.when(x > F.lit(float(cuts[mid])), range_of(x, cuts[mid + 1 :], low + mid + 1)).otherwise(range_of(x, cuts[:mid], low))
 
 
 def _ranged(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
-    return df.withColumn("_range", _range_of(F.col(order).cast("double"), cuts))
+    return df.withColumn("_range", range_of(F.col(order).cast("double"), cuts))
 
 
 def with_next(df: DataFrame, order: str, cuts: Sequence[float] | None = None) -> DataFrame:

@@ -127,6 +127,14 @@ def test_text_labels_end_to_end(spark, noisy):
         assert again.where("prediction_label = c").count() > 200, name
 
 
+def test_splits_by_ranges_of_values(noisy, monkeypatch):
+    """Sums carried over ranges give the tree that one window gives."""
+    whole = tree.decision_tree(noisy, ["f0", "f1"], "y", max_depth=2)
+    monkeypatch.setattr(tree, "FEW", 20)
+    ranges = tree.decision_tree(noisy, ["f0", "f1"], "y", max_depth=2)
+    assert whole.transform(noisy, "p").withColumn("q", ranges.column()).where("abs(p - q) > 1e-9").isEmpty()
+
+
 def test_boosting_of_classes(spark):
     rng = np.random.default_rng(7)
     centers = [(0, 0), (4, 0), (0, 4)]
