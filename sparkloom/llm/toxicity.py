@@ -3,8 +3,9 @@
 1. A bounded sample of labelled teaching rows gives voters: words (lexicon) and word beginnings (patterns) that are
    much likelier in rejected texts. Counting them is a Spark aggregation over the sample; the best few hundred stay.
 2. A generative label model takes the votes of all voters, and the annotators' mark as one more noisy voter, on the
-   sample. Expectation-maximisation estimates how often each votes under either truth (its accuracy); what the votes
-   still share given the truth (their correlation) gathers voters into blocs, whose votes count together as one.
+   sample. Expectation-maximisation estimates how often each votes under either truth (its accuracy). Where two voters'
+   votes still go together given the truth, the later one depends on the earlier: its rates are estimated, and count, given
+   what that one says (their correlation), so that copies of a voter add nothing.
 3. A logistic model over the same features is fitted to the posterior labels, and scores every whole text.
 
 Only the text is an input of the score. Defined cases: null and empty texts get the score of a text without any
@@ -106,34 +107,42 @@ class Model:
     bias: float
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 30, bloc: float = 0.4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row's truth, each voter's two rates, and each voter's weight within its bloc.
+def label_model(votes: np.ndarray, prior: float, rounds: int = 30, bound: float = 0.4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of each row's truth; rates[truth, what the parent says, voter]; and each voter's parent, or -1.
 
-    `votes` is rows x voters, the last voter being the annotators' mark, which starts the estimation.
+    `votes` is rows x voters, the last voter being the annotators' mark, which starts the estimation. The model is a
+    forest over the voters: a voter depends on the truth and on at most one earlier voter, the one that correlates most
+    with it, by over `bound`, once the truth is accounted for. A voter without a parent has its rates at 0.
     """
     v = votes.astype("f8")
     n, m = v.shape
     post = np.where(v[:, -1] > 0, 0.9, 0.1)
-    share = np.ones(m)
-    rates = np.zeros((2, m))
+    parent = np.full(m, -1)
+    said = np.zeros((n, m))  # what each voter's parent says
+    both = v * said
+    rates = np.zeros((2, 2, m))
     for step in range(rounds):
         for k, w in ((1, post), (0, 1 - post)):
-            rates[k] = (w @ v + 0.5) / (w.sum() + 1)
+            spoke, led, together = w @ v, w @ said, w @ both
+            rates[k, 0] = (spoke - together + 0.5) / (w.sum() - led + 1)
+            rates[k, 1] = (together + 0.5) / (led + 1)
         rates[1] = np.maximum(rates[1], rates[0])  # a voter never speaks against what it was chosen for
         if step in (2, 10):  # correlation that the truth leaves unexplained
-            left = v - np.outer(post, rates[1]) - np.outer(1 - post, rates[0])
+            means = [(w @ v) / w.sum() for w in (1 - post, post)]
+            left = v - np.outer(post, means[1]) - np.outer(1 - post, means[0])
             left -= left.mean(0)
             sd = np.sqrt((left**2).mean(0)) + 1e-9
-            corr = (left.T @ left) / n / np.outer(sd, sd)
-            np.fill_diagonal(corr, 1)
-            share = 1 / np.where(np.abs(corr) > bloc, np.abs(corr), 0).sum(1)
+            corr = np.tril(np.abs(left.T @ left) / n / np.outer(sd, sd), -1)
+            parent = np.where(corr.max(1) > bound, corr.argmax(1), -1)
+            said = np.where(parent >= 0, v[:, parent], 0.0)
+            both = v * said
+            continue  # the rates given the new parents come first
         # silence of a lexicon voter says little: it counts by its rate as well
-        yes = np.log(rates[1]) - np.log(rates[0])
-        no = np.log1p(-rates[1]) - np.log1p(-rates[0])
-        log_odds = np.log(prior / (1 - prior)) + v @ (share * yes) + (1 - v) @ (share * no)
+        yes, no = np.log(rates[1]) - np.log(rates[0]), np.log1p(-rates[1]) - np.log1p(-rates[0])
+        log_odds = np.log(prior / (1 - prior)) + no[0].sum() + v @ (yes[0] - no[0]) + said @ (no[1] - no[0]) + both @ (yes[1] - no[1] - yes[0] + no[0])
         post = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
         prior = float(np.clip(post.mean(), 0.01, 0.99))
-    return post, rates, share
+    return post, rates, parent
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -180,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, characters: int
         v[i, r["votes"]] = True
         v[i, -1] = r["label"] == 1
     order = np.lexsort(v.T)  # the sums don't depend on the order in which rows came
-    post, _rates, _share = label_model(v[order], base)
+    post, _rates, _parent = label_model(v[order], base)
     weights, bias = logistic(v[order][:, :-1].astype("f8"), post)
     return Model(wanted, weights, bias)
 

@@ -416,10 +416,14 @@ def test_label_model_trusts_good_voters():
     flip = lambda p: np.where(rng.random(3000) < p, ~y, y)
     copy = flip(0.3)
     votes = np.stack([flip(0.05), flip(0.1), copy, copy, copy, flip(0.1)], 1)
-    post, rates, share = toxicity.label_model(votes, 0.2)
+    post, rates, parent = toxicity.label_model(votes, 0.2)
     assert ((post > 0.5) == y).mean() > 0.95
-    assert share[2] < 0.5 < share[0]  # copies of one voter count as one
-    assert rates[1][0] > rates[1][2]
+    assert parent[:3].tolist() == [-1, -1, -1] and parent[3] == 2 and parent[4] in (2, 3) and parent[5] == -1
+    assert rates[1, 0, 0] > rates[1, 0, 2]
+    told = np.log(rates[1, :, 3] / rates[0, :, 3])  # a copy says nothing beyond its original
+    assert abs(told[1]) < 0.01 and rates[:, 0, 3].max() < 0.01
+    alone, _, _ = toxicity.label_model(votes[:, [0, 1, 2, 5]], 0.2)
+    assert np.abs(post - alone).mean() < 0.01
 
 
 def test_quality(spark, none):
