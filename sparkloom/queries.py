@@ -99,9 +99,9 @@ def linear_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("l_extendedprice") - F.col("prediction"))), 3).alias("mae"))
 
 
-@query(oracle.robust(5))
+@query(oracle.robust(3))
 def robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coefficients(spark, linear.robust(_table(spark, sf_dir, "part"), ["p_size"], "p_retailprice", rounds=5))
+    return _coefficients(spark, linear.robust(_table(spark, sf_dir, "part"), ["p_size"], "p_retailprice", rounds=3))
 
 
 def _standard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,16 +121,16 @@ def logistic_gd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(m.state["intercept"], 6), round(m.state["coefficients"][0], 6))], "intercept double, b1 double")
 
 
-@query(oracle.multilogistic(10))
+@query(oracle.multilogistic(6))
 def multilogistic_gd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = glm.multilogistic(_standard(spark, sf_dir), ["x"], "y", epochs=10)
+    m = glm.multilogistic(_standard(spark, sf_dir), ["x"], "y", epochs=6)
     return spark.createDataFrame([(c, *[round(v, 6) for v in w]) for c, w in zip(m.state["classes"], m.state["weights"], strict=True)], "class double, b1 double, intercept double")
 
 
-@query(oracle.ordinal(10))
+@query(oracle.ordinal(6))
 def ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "part").select((F.col("p_retailprice") / 1000).alias("x"), F.floor((F.col("p_size") - 1) / 17).alias("y"))
-    m = glm.ordinal(rows, ["x"], "y", epochs=10, tol=0.0)
+    m = glm.ordinal(rows, ["x"], "y", epochs=6, tol=0.0)
     return spark.createDataFrame([(k, round(t, 6)) for k, t in enumerate(m.state["thresholds"])], "place int, threshold double")
 
 
