@@ -52,15 +52,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def matched(rows: DataFrame, keys: DataFrame, key: str, most: int = 5000, spread: int = 64) -> DataFrame:
+def matched(rows: DataFrame, keys: DataFrame, key: str, most: int = 5000) -> DataFrame:
     """Inner join of `rows` with `keys`, a stored table of distinct `key` and `c`, the rows of `rows` that hold it.
 
     Keys of over 1/`most` of all those rows, of which there are fewer than `most`, are broadcast to deal their rows out
-    over `spread` salts, so that no task gets all rows of one key. `rows` is read once.
+    over salts, as many as the key's count asks for: no task gets more than about that share of one key, however many
+    rows it has, and all salts together are fewer than 2 * `most`. `rows` is read once.
     """
     bar = max(10_000, -(-(keys.agg(F.sum("c")).first()[0] or 0) // most))
-    hot: Column = F.col("c") >= bar
-    salts = F.broadcast(keys.where(hot).select(key, F.lit(spread).alias("_spread")))
+    spread: Column = F.ceil(F.col("c") / bar).cast("int")
+    salts = F.broadcast(keys.where(F.col("c") >= bar).select(key, spread.alias("_spread")))
     dealt = rows.join(salts, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "_spread"), F.lit(0)).cast("int")).drop("_spread")
-    every = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, spread - 1).otherwise(0))))
+    every = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("c") >= bar, spread - 1).otherwise(0))))
     return dealt.join(every, [key, "_salt"]).drop("_salt")

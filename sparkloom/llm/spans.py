@@ -1,7 +1,9 @@
 """Numpy over the raw bytes of many texts at once: blocks of an Arrow batch, words, and hashes of any span.
 
-A span's hash is a polynomial in its units modulo 2**64, taken from running sums, so the hash of any span costs O(1):
-(S[end] - S[start]) * BASE**-start. Units are mapped to random 64-bit values first and results are mixed after.
+A span's hash holds two polynomials in its units, at two random points of the field of P = 2**31 - 1 elements, each from
+running sums, so the hash of any span costs O(1): (S[end] - S[start]) * BASE**-start. A field has no words like those
+that collide at every point modulo a power of two: of two different spans of n units, at most n of the P points, for
+each polynomial, give one value. Units count by 62 bits of a 64-bit value, 31 for each polynomial; results are mixed after.
 """
 
 from __future__ import annotations
@@ -13,28 +15,46 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
+P = (1 << 31) - 1
+_P, _31 = _U(P), _U(31)
+_RANDOM = np.random.default_rng(20240229)
+#: The two points, drawn once: copies on different machines must agree.
+BASES = tuple(_RANDOM.integers(1 << 20, P - 1, 2).tolist())
 #: Random values of the 256 bytes.
-BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=_U) * _U(2) + _U(1)
+BYTES = _RANDOM.integers(1, 1 << 62, 256, dtype=_U)
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-_powers = [np.ones(1, _U), np.ones(1, _U)]
+_powers: dict[int, np.ndarray] = {}
 
 
 #: A worker keeps so many powers, and makes more anew for a longer block.
 KEPT_POWERS = (1 << 20) + (1 << 16)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**j and BASE**-j for j < n."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        more = [np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, b, _U)]), dtype=_U) for b in (BASE, _INVERSE)]
-        if size > KEPT_POWERS:
-            return more[0][:n], more[1][:n]
-        _powers[:] = more
-    return _powers[0][:n], _powers[1][:n]
+def fold(x: np.ndarray) -> np.ndarray:
+    """x modulo P, for any 64-bit x (in place, where x is an array of the caller's own)."""
+    for _ in range(2):
+        high = x >> _31
+        x &= _P
+        x += high
+    np.subtract(x, _P, out=x, where=x >= _P)
+    return x
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**j modulo P for j < n."""
+    found = _powers.get(base)
+    if found is not None and len(found) >= n:
+        return found[:n]
+    size = 1 << max(16, (n - 1).bit_length())
+    out = np.ones(size, _U)
+    done = 1
+    while done < size:
+        out[done : 2 * done] = fold(out[:done] * _U(pow(base, done, P)))
+        done *= 2
+    if size <= 1 << (KEPT_POWERS - 1).bit_length():
+        _powers[base] = out
+    return out[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,16 +66,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def sums(units: np.ndarray) -> np.ndarray:
-    """Running sums S of length n + 1 over 64-bit units."""
-    s = np.zeros(len(units) + 1, _U)
-    np.cumsum(units * powers(len(units))[0], out=s[1:])
-    return s
+def sums(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums S of length n + 1 over 64-bit units, for each of the two polynomials."""
+    out = []
+    for k, base in enumerate(BASES):
+        s = np.zeros(len(units) + 1, _U)
+        u = (units >> _U(31 * k)) & _P
+        u *= powers(base, len(units))
+        np.cumsum(fold(u), out=s[1:])  # exact: the values of up to 2**33 units stay below 2**64
+        out.append(s)
+    return out[0], out[1]
 
 
-def hashes(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hashes(s: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each span [start, end) of the units summed in `s`."""
-    return mix((s[end] - s[start]) * powers(len(s))[1][start])
+    found = []
+    for base, x in zip(BASES, s, strict=True):
+        d = fold(x[end] - x[start])
+        d *= powers(pow(base, -1, P), len(x))[start]
+        found.append(fold(d))
+    return mix((found[0] << _31) | found[1])
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

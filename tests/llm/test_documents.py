@@ -460,6 +460,32 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(marg, want) and np.allclose(pair, want_pair) and np.isclose(log_z, total)
 
 
+def thue_morse(size):
+    """A word and its complement that collide in every polynomial modulo a power of two."""
+    bits = [k.bit_count() & 1 for k in range(size)]
+    return ["".join(letters[b] for b in bits) for letters in ("ab", "ba", "-Y", "Y-")]
+
+
+@pytest.mark.parametrize("size", [1024, 8192])
+def test_hashes_tell_thue_morse_words_apart(spark, size):
+    """Words and lines that a hash modulo 2**64 can't tell apart: what brute force gives, through op1, op4, op5 and op10."""
+    t, u, v, w = thue_morse(size)
+    frame = " ".join(f"w{k}" for k in range(30))
+    texts = [f"{t} x y z", f"{u} x y z", f"{frame} {t} {frame}", f"{frame} {u} {frame}", f"{v}\nshort", f"{w}\nshort", f"{frame} {u} {frame}"]
+    rows = [(k, x) for k, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 85, 4)
+    assert {r.doc_id: r.component_id for r in jaccard.join(df).collect()} == want and want[1] == 1
+    assert {r.doc_id: r.n_removed for r in fmindex.dedup(df).collect()} == dict.fromkeys(range(6), 0) | {6: 61}
+    count = {}
+    for _, x in rows:
+        for p in range(len(x) - 399):
+            count[x[p : p + 400]] = count.get(x[p : p + 400], 0) + 1
+    gone = {k: len({q for p in range(len(x) - 399) if count[x[p : p + 400]] > 1 for q in range(p, p + 400)}) for k, x in rows}
+    assert {r.doc_id: r.n_removed for r in doubling.dedup(df).collect()} == gone
+    assert {r.doc_id: r.n_removed for r in lines.dedup(df).collect()} == dict.fromkeys(range(6), 0) | {6: 1}
+
+
 def test_very_long_texts(spark):
     """A text of over a million bytes and its copy, through every operator on texts."""
     rng = random.Random(3)
