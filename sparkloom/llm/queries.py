@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, doubling, fmindex, forest, jaccard, lines, packing, quality, topk, toxicity
+from . import audit, bpe, doubling, fingerprints, fmindex, forest, jaccard, lines, packing, quality, topk, toxicity, trie
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,23 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(*trie.with_shared_heads(table(spark, sf_dir, "conversations")))
+
+
+ALL = (op1_jaccard, op2_toxicity, op3_forest, op4_fmindex, op5_doubling, op6_packing, op7_bpe, op8_topk, op9_quality, op10_lines, op11_audit, op12_fingerprints, op13_trie)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_jaccard": op1_jaccard, "op2_toxicity": op2_toxicity, "op3_forest": op3_forest, "op4_fmindex": op4_fmindex, "op5_doubling": op5_doubling, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_quality": op9_quality, "op10_lines": op10_lines}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
