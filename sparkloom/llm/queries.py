@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, doubling, fingerprints, fmindex, forest, jaccard, lines, packing, quality, topk, toxicity, trie
+from . import audit, bpe, doubling, fingerprints, fmindex, forest, jaccard, lines, oracle, packing, quality, topk, toxicity, trie
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,4 +73,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
