@@ -49,18 +49,21 @@ _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 
 
-def _positions(length: int, grams_only: bool):
+def _positions(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for first, _last, data, offsets in blocks(batch.column("text")):
                 r = runs_of(BYTES[data], offsets, length, GRAM)
-                cols = {"g": pa.array(r.gram.view("i8"))}
-                if not grams_only:
-                    row = pa.array(first + r.text)
-                    cols |= {"run": pa.array(r.run.view("i8")), "n": pa.array(r.count.astype("i4")), "d": pa.array(r.reach.astype("i4"))}
-                    cols |= {k: batch.column(k).take(row) for k in ("_id", "_th")}
-                    cols["at"] = pa.array(r.start - offsets[r.text])
-                yield pa.RecordBatch.from_pydict(cols)
+                row = pa.array(first + r.text)
+                yield pa.RecordBatch.from_pydict({
+                    "g": pa.array(r.gram.view("i8")),
+                    "run": pa.array(r.run.view("i8")),
+                    "n": pa.array(r.count.astype("i4")),
+                    "d": pa.array(r.reach.astype("i4")),
+                    "_id": batch.column("_id").take(row),
+                    "_th": batch.column("_th").take(row),
+                    "at": pa.array(r.start - offsets[r.text]),
+                })
 
     return run
 
@@ -124,44 +127,61 @@ def _pairs(length: int):
 POSITION = "run long, g long, crowded boolean, m int"
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray] | None:
-    """A sorted partition as a table, and where its pairs begin."""
-    table = [b for b in batches if b.num_rows]
-    if not table:
-        return None
-    table = pa.Table.from_batches(table).combine_chunks()
-    x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
+def _begins(batch: pa.RecordBatch, last: tuple[int, int] | None) -> np.ndarray:
+    """Which rows of a sorted batch begin a new pair, given the pair before them."""
+    x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return table, new
+    new[0] = last != (x[0], y[0])
+    return new
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A sorted partition's number, first and last pair, and count of pairs."""
-    if got := _columns(batches):
-        table, new = got
-        pick = lambda k, at: [table.column(k)[at].as_py()]
-        last = table.num_rows - 1
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "x0": pick("x", 0), "y0": pick("y", 0), "x1": pick("x", last), "y1": pick("y", last), "pairs": [int(new.sum())]})
+    first, last, pairs = None, None, 0
+    for batch in slices(batches, 10_000):
+        if batch.num_rows:
+            pairs += int(_begins(batch, last).sum())
+            at = lambda k: (batch.column("x")[k].as_py(), batch.column("y")[k].as_py())  # noqa: B023, E731
+            first, last = first or at(0), at(batch.num_rows - 1)
+    if last is not None:
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "x0": [first[0]], "y0": [first[1]], "x1": [last[0]], "y1": [last[1]], "pairs": [pairs]})
 
 
 def _number(before: dict[int, tuple[int, bool, bool]]):
     """Ranks of a sorted partition's rows; those of pairs that stand alone are left out.
 
-    `before`: for a partition, its first rank, and whether its first and last pair go on beyond it.
+    `before`: for a partition, its first rank, and whether its first and last pair go on beyond it. Batches stream: of
+    those before, the last row alone waits for the next one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if got := _columns(batches):
-            table, new = got
-            base, joins_left, joins_right = before[TaskContext.get().partitionId()]
-            alone = new & np.concatenate([new[1:], [True]])
-            if joins_left:
-                alone[0] = False
-            if joins_right:
-                alone[-1] = False
-            table = table.append_column("rank", pa.array(base + np.cumsum(new) - 1)).filter(pa.array(~alone))
-            yield from table.select(["run", "g", "crowded", "m", "rank"]).to_batches(max_chunksize=10_000)
+        rank, joins_left, joins_right = before.get(TaskContext.get().partitionId(), (0, False, False))
+        rank -= 1
+        wait, wait_new, last = None, False, None
+
+        def out(rows: pa.RecordBatch, ranks: np.ndarray, new: np.ndarray, more: bool) -> pa.RecordBatch:
+            """`more`: whether the pair of the last row goes on."""
+            alone = new & np.append(new[1:], not more)
+            return rows.append_column("rank", pa.array(ranks)).filter(pa.array(~alone)).select(["run", "g", "crowded", "m", "rank"])
+
+        for batch in slices(batches, 10_000):
+            if not batch.num_rows:
+                continue
+            new = _begins(batch, last)
+            begins = new.copy()
+            if last is None and joins_left:
+                begins[0] = False  # not alone, but the first of its rank here
+            if wait is not None:
+                yield out(wait, np.array([rank]), np.array([wait_new]), not new[0])
+            ranks = rank + np.cumsum(new)
+            n = batch.num_rows - 1
+            if n:
+                yield out(batch.slice(0, n), ranks[:n], begins[:n], not new[n])
+            wait, wait_new, rank = batch.slice(n), bool(begins[n]), int(ranks[n])
+            last = (batch.column("x")[n].as_py(), batch.column("y")[n].as_py())
+        if wait is not None:
+            yield out(wait, np.array([rank]), np.array([wait_new]), joins_right)
 
     return run
 
@@ -260,8 +280,9 @@ def recurring_spans(rows: DataFrame, length: int = 400, crowd: int = 4096, bucke
     if length < CELLS * GRAM // 2:
         raise ValueError(f"windows have {CELLS * GRAM // 2} bytes or more")
     text = rows.select("_id", "_th", "text")
-    grams = cut(text.select("text").mapInArrow(_positions(length, True), "g long").groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
-    found = stored(matched(text.mapInArrow(_positions(length, False), RUN), grams, "g").drop("c"))
+    every = stored(text.mapInArrow(_positions(length), RUN))
+    grams = cut(every.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
+    found = stored(matched(every, grams, "g").drop("c"))
     folded = found.groupBy("run").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_th", "at", "g", "n", "d")).alias("first"))
     folded = cut(folded.select("run", "copies", "first.*"))
     whole = matched(found, folded.where("copies > 1").select("run", F.col("copies").alias("c")), "run")

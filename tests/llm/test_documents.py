@@ -558,3 +558,49 @@ def test_pipeline(spark, tmp_path):
         want.append((i, 0, len(ids), zlib.crc32(ids.tobytes()), len(ids)))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert keyed(got, "doc_id", "start", "length", "ids_crc32", "doc_tokens") == sorted(want, key=repr)
+
+
+def test_ranks_stream_over_batches(monkeypatch):
+    """A sorted partition in batches of any size gives the ranks of the whole; one row of it waits at a time."""
+    import pyarrow as pa
+
+    class Here:
+        @staticmethod
+        def get():
+            return Here()
+
+        def partitionId(self):
+            return 3
+
+    monkeypatch.setattr(doubling, "TaskContext", Here)
+    rng = random.Random(1)
+    for trial in range(60):
+        pairs = sorted((rng.randrange(4), rng.randrange(5)) for _ in range(rng.randint(1, 40)))
+        left, right = trial % 2 == 0, trial % 3 == 0
+        table = pa.RecordBatch.from_pydict({"run": list(range(len(pairs))), "g": [0] * len(pairs), "crowded": [False] * len(pairs), "m": pa.array([0] * len(pairs), pa.int32()), "x": [x for x, _ in pairs], "y": [y for _, y in pairs]})
+        size = rng.randint(1, 7)
+        batches = lambda: iter([table.slice(k, size) for k in range(0, len(pairs), size)])  # noqa: B023, E731
+        got = [r for b in doubling._number({3: (100, left, right)})(batches()) for r in b.to_pylist()]
+        order = sorted(set(pairs))
+        want = []
+        for k, p in enumerate(pairs):
+            alone = pairs.count(p) == 1 and not (left and p == pairs[0]) and not (right and p == pairs[-1])
+            if not alone:
+                want.append((k, 100 + order.index(p)))
+        assert [(r["run"], r["rank"]) for r in got] == want
+        end = next(doubling._ends(batches())).to_pylist()[0]
+        assert (end["x0"], end["y0"]) == pairs[0] and (end["x1"], end["y1"]) == pairs[-1] and end["pairs"] == len(order)
+
+
+def test_lines_take_time_in_proportion(spark):
+    """Two copies of a text of 100,000 lines: nothing looks through all deleted lines for each line."""
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        text = "\n".join(f"line {k} of a text" for k in range(n))
+        df = spark.createDataFrame([(1, text), (2, text + "\nits own end")], "doc_id long, text string")
+        began = time.time()
+        assert {r.doc_id: r.text for r in lines.dedup_text(df).collect()} == {1: text, 2: "its own end"}
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 20
