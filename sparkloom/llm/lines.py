@@ -232,10 +232,10 @@ def duplicated(docs: DataFrame, rare: int = 50, min_lines: int = 3, min_bytes: i
         return both.select("_id", "_th", "a", "b", "sizes").mapInPandas(_align(min_lines, min_bytes), "_id long, _th long, gone array<int>").where("size(gone) > 0")
 
     by_rare = cut(aligned(matched(held, shared, "h").where(F.col("c") <= rare)))
-    # no more positions than the document has lines come together here
-    covered = by_rare.select("_id", "_th", F.explode("gone").alias("at")).groupBy("_id", "_th").agg(F.collect_set("at").alias("covered"))
-    left = matched(window, shared, "h").where(F.col("c") > rare).join(covered, ["_id", "_th"], "left")
-    left = left.where(F.col("covered").isNull() | (F.size(F.array_except(F.sequence("at", "to"), "covered")) > 0))
+    # a window asks if any of its lines is left; a line stands in at most `min_lines` windows for each size
+    covered = by_rare.select("_id", "_th", F.explode("gone").alias("at")).distinct()
+    left = matched(window, shared, "h").where(F.col("c") > rare).select("_id", "_th", "f_id", "f_th", F.explode(F.sequence("at", "to")).alias("at"))
+    left = left.join(covered, ["_id", "_th", "at"], "left_anti")
     positions = by_rare.union(aligned(left)).select("_id", "_th", F.explode("gone").alias("at"))
     return positions.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
@@ -257,6 +257,12 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = [t if g is None or t is None else _without(t, np.array(g))[0] for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string())], ["row", "kept"])
+
+
 def dedup(docs: DataFrame, **limits: int) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, kept_sha256 (of the lines left, joined by newlines)."""
     rows = keyed(docs).join(duplicated(docs, **limits), ["_id", "_th"], "left")
@@ -266,12 +272,11 @@ def dedup(docs: DataFrame, **limits: int) -> DataFrame:
 def dedup_text(docs: DataFrame, **limits: int) -> DataFrame:
     """The rows and columns of `docs`, texts without the deleted lines, and n_chars (if there) to match."""
     gone = duplicated(docs, **limits)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_th"))
-    out = rows.join(gone, ["_id", "_th"], "left")
-    lines = F.split("row.text", "\n")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
-    cols = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_th"))
+    both = rows.join(gone, ["_id", "_th"], "left").select("row", "text", "gone")
+    out = both.mapInArrow(_rewrite, rows.select("row").schema.add("kept", "string"))
+    cols = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+        same = F.col("kept").eqNullSafe(F.col("row.text"))
+        cols["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[v.alias(k) for k, v in cols.items()])
