@@ -41,19 +41,22 @@ GRAM = 10
 _U = np.uint64
 
 
-def _runs(length: int, grams_only: bool):
+def _runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for row, _last, data, offsets in blocks(batch.column("text")):
                 words, first = word_hashes(data, offsets)
                 r = runs_of(words, first, length, GRAM)
-                cols = {"g": pa.array(r.gram.view("i8"))}
-                if not grams_only:
-                    take = pa.array(row + r.text)
-                    cols |= {"run": pa.array(r.run.view("i8")), "n": pa.array(r.count.astype("i4")), "d": pa.array(r.reach.astype("i4"))}
-                    cols |= {k: batch.column(k).take(take) for k in ("_id", "_th")}
-                    cols["at"] = pa.array(r.start - first[r.text])
-                yield pa.RecordBatch.from_pydict(cols)
+                take = pa.array(row + r.text)
+                yield pa.RecordBatch.from_pydict({
+                    "g": pa.array(r.gram.view("i8")),
+                    "run": pa.array(r.run.view("i8")),
+                    "n": pa.array(r.count.astype("i4")),
+                    "d": pa.array(r.reach.astype("i4")),
+                    "_id": batch.column("_id").take(take),
+                    "_th": batch.column("_th").take(take),
+                    "at": pa.array(r.start - first[r.text]),
+                })
 
     return run
 
@@ -305,8 +308,9 @@ def _as_rows(length: int):
 def earlier_spans(rows: DataFrame, length: int = 50, crowd: int = 1024, shard: int = 2500) -> DataFrame:
     """Per key of `rows` (keyed texts): `spans`, the array of (start, end) in words that an earlier document's windows cover."""
     text = rows.select("_id", "_th", "text")
-    grams = cut(text.select("text").mapInArrow(_runs(length, True), "g long").groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
-    found = stored(matched(text.mapInArrow(_runs(length, False), RUN), grams, "g").drop("c"))
+    every = stored(text.mapInArrow(_runs(length), RUN))
+    grams = cut(every.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
+    found = stored(matched(every, grams, "g").drop("c"))
     folded = found.groupBy("run").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_th", "at", "g", "n", "d")).alias("first"))
     folded = cut(folded.select("run", "copies", "first.*"))
     open_ = cut(folded.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
