@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from ..stats import with_next
 from .common import cut
 from .spans import BYTES, blocks, hashes, slices, sums
 
-WIDTH = 16
+WIDTH = 10
 #: Of 2**64 hashes, those below 2**64 / SCALE are kept, and LEAST in any case.
 SCALE, LEAST = 32, 32
 PART = 1 << 20
@@ -146,28 +147,41 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     return made.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != out], F.col("made").alias(out))
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, compressed for the shuffle that they go through."""
+    press = zstandard.ZstdCompressor(3)
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_pydict({"_o": batch.column("_o"), "_th": batch.column("_th"), "z": pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())})
+
+
+def _unzipped(column: pa.Array) -> list[str]:
+    back = zstandard.ZstdDecompressor()
+    return [back.decompress(z).decode() for z in column.to_pylist()]
+
+
 def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document that asks its neighbour: the characters it wants, and the neighbour's sketch."""
     for batch in slices(batches):
-        text = batch.column("text")
+        plain = _unzipped(batch.column("z"))
+        text = pa.array(plain, pa.large_string())
         keys = list(zip(batch.column("_o").to_pylist(), batch.column("_th").to_pylist(), strict=True))
         one = [k for k, key in enumerate(keys) if not k or key != keys[k - 1]]  # rows of one text follow each other
         of = np.cumsum(np.isin(np.arange(len(keys)), one)) - 1
         made = [packed(s) for s in sketches(text.take(pa.array(one, pa.int32())))]
-        plain = text.to_pylist()
+        press = zstandard.ZstdCompressor(3)
         yield pa.RecordBatch.from_pydict({
             "_o": batch.column("asker_o"),
             "_th": batch.column("asker_th"),
-            "more": pa.array([t[:k] for t, k in zip(plain, batch.column("k").to_pylist(), strict=True)], pa.string()),
+            "more": pa.array([press.compress(t[:k].encode()) for t, k in zip(plain, batch.column("k").to_pylist(), strict=True)], pa.binary()),
             "sketch": pa.array([made[k] for k in of.tolist()], pa.binary()),
         })
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        text = batch.column("text").to_pylist()
-        edited = [t[: len(t) - len(t) // 3] + m[: len(t) // 3] for t, m in zip(text, batch.column("more").to_pylist(), strict=True)]
-        own = [packed(s) for s in sketches(batch.column("text"))]
+        text = _unzipped(batch.column("z"))
+        edited = [t[: len(t) - len(t) // 3] + m[: len(t) // 3] for t, m in zip(text, _unzipped(batch.column("more")), strict=True)]
+        own = [packed(s) for s in sketches(pa.array(text, pa.large_string()))]
         new = [packed(s) for s in sketches(pa.array(edited, pa.large_string()))]
         yield pa.RecordBatch.from_pydict({
             "_o": batch.column("_o"),
@@ -190,13 +204,14 @@ def compare(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(text.alias("text"), F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(_LAST)).alias("_o"), F.xxhash64(text).alias("_th"))
+    rows = rows.mapInArrow(_zipped, "_o long, _th long, z binary")
     ids = cut(docs.select(F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(_LAST)).alias("_o"), F.xxhash64(text).alias("_th"), F.floor(F.length(text) / 3).cast("int").alias("k")).distinct())
     one = ids.groupBy("_o").agg(F.min("_th").alias("next_th"))
     least = one.agg(F.min("_o")).first()[0]
     after = with_next(one.select("_o"), "_o").select("_o", F.coalesce("next", F.lit(least)).alias("next_o"))
     after = after.join(one.select(F.col("_o").alias("next_o"), "next_th"), "next_o")
     asks = ids.join(after, "_o").select(F.col("_o").alias("asker_o"), F.col("_th").alias("asker_th"), "k", F.col("next_o").alias("_o"), F.col("next_th").alias("_th"))
-    given = rows.join(asks, ["_o", "_th"]).mapInArrow(_given, "_o long, _th long, more string, sketch binary")
+    given = rows.join(asks, ["_o", "_th"]).mapInArrow(_given, "_o long, _th long, more binary, sketch binary")
     given = given.groupBy("_o", "_th").agg(F.first("more").alias("more"), F.first("sketch").alias("sketch"))  # repeated rows give the same
-    out = rows.join(given, ["_o", "_th"]).select("_o", "text", "more", "sketch").mapInArrow(_compared, OUT)
+    out = rows.join(given, ["_o", "_th"]).select("_o", "z", "more", "sketch").mapInArrow(_compared, OUT)
     return out.select(F.when(F.col("_o") != _LAST, F.bitwise_not("_o")).alias("doc_id"), *[c for c in out.columns if c != "_o"])
