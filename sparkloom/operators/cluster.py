@@ -1,18 +1,18 @@
-"""Clustering: an iteration is one grouped aggregation; DBSCAN is a grid join and connected components."""
+"""Clustering: an iteration is one grouped aggregation; DBSCAN joins the blocks of a k-d split and takes components."""
 
 from __future__ import annotations
 
-import itertools
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import checked, doubles, first_least, squared_distance
 from ..model import Model, scorer
 from ..plans.graph import components, cut
+from ..plans.space import blocked, corners, fit, matrix
 from ..stats import with_next
 
 
@@ -91,54 +91,132 @@ def memberships(centers: Sequence[Sequence[float]], x: list[Column], m: float) -
     return out
 
 
-def dbscan(df: DataFrame, features: Sequence[str], row_id: str, eps: float = 0.5, min_points: int = 5) -> DataFrame:
-    """row_id, cluster (its smallest core row's id, or null for noise), core.
+def _block_pairs(tree, d: int, eps: float):
+    """For each block the leaves that may hold a row within eps of one of its own."""
 
-    Equal points fold into one with a count. Cells have the side eps / sqrt(d), so that all points of a cell are
-    neighbours: the points of a cell of `min_points` rows or more are core and linked without any pair. Only points of
-    thinner cells are compared with single points around them to be counted. Cells link where a core point of one and one
-    of the other are near: the outermost core points of every cell try first, and all core points only for neighbouring
-    cells that nothing connects yet. A point counts among its own neighbours. Border points join their smallest cluster.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lo, hi = matrix(batch["lo"], d), matrix(batch["hi"], d)
+            of, leaf = tree.within(lo, hi, np.full(len(batch), eps))
+            yield pd.DataFrame({"a": batch["block"].to_numpy()[of], "lo": batch["lo"].to_numpy()[of], "hi": batch["hi"].to_numpy()[of], "leaf": leaf.astype("i4")})
+
+    return run
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):  # by differences: exact where coordinates are
+        out += (x[:, k, None] - y[None, :, k]) ** 2
+    return out
+
+
+def _near_counts(d: int, eps: float):
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"p": pd.Series([], dtype="i8"), "m": pd.Series([], dtype="i8")})
+        y, n = matrix(b["x"], d), b["n"].to_numpy("i8")
+        m = [(_squares(matrix(a["x"].iloc[k : k + 256], d), y) <= eps * eps) @ n for k in range(0, len(a), 256)]
+        return pd.DataFrame({"p": a["p"].to_numpy("i8"), "m": np.concatenate(m)})
+
+    return run
+
+
+def _near_links(d: int, eps: float):
+    """A star for each group of core points of two blocks that nearness connects; points of one node are connected."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": pd.Series([], dtype="i8"), "b": pd.Series([], dtype="i8")})
+        near = np.concatenate([_squares(matrix(a["x"].iloc[k : k + 256], d), matrix(b["x"], d)) <= eps * eps for k in range(0, len(a), 256)])
+        nodes, of = np.unique(np.concatenate([a["node"].to_numpy("i8"), b["node"].to_numpy("i8")]), return_inverse=True)
+        left, right = of[: len(a)], of[len(a) :]
+        name = np.arange(len(nodes))
+        for _ in range(len(nodes)):
+            least = np.where(near, name[right][None], len(nodes)).min(1)
+            new = name.copy()
+            np.minimum.at(new, left, least)
+            least = np.where(near, new[left][:, None], len(nodes)).min(0)
+            np.minimum.at(new, right, least)
+            if (new == name).all():
+                break
+            name = new
+        far = name != np.arange(len(nodes))
+        return pd.DataFrame({"a": nodes[name[far]], "b": nodes[far]})
+
+    return run
+
+
+def _near_cores(d: int, eps: float):
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"p": pd.Series([], dtype="i8"), "cluster": pd.Series([], dtype="i8")})
+        near = np.concatenate([_squares(matrix(a["x"].iloc[k : k + 256], d), matrix(b["x"], d)) <= eps * eps for k in range(0, len(a), 256)])
+        least = np.where(near, b["cluster"].to_numpy("i8")[None], np.iinfo("i8").max).min(1)
+        return pd.DataFrame({"p": a["p"].to_numpy("i8"), "cluster": least})[near.any(1)]
+
+    return run
+
+
+def dbscan(df: DataFrame, features: Sequence[str], row_id: str, eps: float = 0.5, min_points: int = 5, rows: int = 1024) -> DataFrame:
+    """row_id, cluster (its smallest core row's id, or null for noise), core; of any number of features.
+
+    Equal points fold into one with a count. A k-d split deals the points into blocks of about `rows`, each with its box.
+    Pairs of blocks whose boxes lie further than eps apart never meet. In pairs whose boxes lie within eps as a whole all
+    points are neighbours, and neither counting nor linking looks at points: dense regions cost a row per pair of blocks.
+    Other pairs are compared in a task that holds two blocks; to count, only where that decides anything. A point counts
+    among its own neighbours. Border points join their smallest cluster.
     """
     x, d = doubles(features), len(features)
-    side = eps / math.sqrt(d) * (1 - 1e-9)
-    rows = checked(df, features, row_id).select(F.col(row_id).alias("id"), F.array(*x).alias("x"))
-    points = rows.groupBy("x").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")).withColumn("cell", F.transform("x", lambda v: F.floor(v / side).cast("bigint")))
+    given = checked(df, features, row_id).select(F.col(row_id).cast("long").alias("id"), F.array(*x).alias("x"))
+    points = cut(given.groupBy("x").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")))
+    tree = fit(points, d, points.count(), rows)
+    points, _ = blocked(points, tree, d, rows, "p")
     points = cut(points)
-    points = cut(points.join(points.groupBy("cell").agg(F.sum("n").alias("of_cell")), "cell"))
-    reach = range(-math.ceil(eps / side), math.ceil(eps / side) + 1)
-    # cells that can hold a point within eps
-    steps = [s for s in itertools.product(reach, repeat=d) if any(s) and sum(max(abs(k) - 1, 0) ** 2 for k in s) * side * side <= eps * eps]
-    around = F.array(*[F.array(*[(F.col("cell")[k] + s).cast("bigint") for k, s in enumerate(step)]) for step in steps])
-    gap = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    thin = points.where(F.col("of_cell") < min_points)
-    other = points.select(F.col("x").alias("y"), F.col("n").alias("m"), "cell")
-    counted = thin.select("p", "x", F.explode(around).alias("cell")).join(other, "cell").where(gap <= eps * eps).groupBy("p").agg(F.sum("m").alias("more"))
-    core = points.join(counted, "p", "left").where(F.coalesce("more", F.lit(0)) + F.col("of_cell") >= min_points).select("p", "x", "cell")
-    core = cut(core)
-    # all core points of a cell are one, named by the smallest; two cells are, where any of their core points are near
-    cells = core.groupBy("cell").agg(F.min("p").alias("head"), F.array_distinct(F.array(*[f("x", F.col("x")[k]) for k in range(d) for f in (F.min_by, F.max_by)])).alias("outer"))
-    cells = cut(cells)
-    forward = F.explode(F.slice(around, 1, max(1, len(steps) // 2)))
-    outer = cells.select("cell", "head", F.explode("outer").alias("x"))
-    near = outer.select(F.col("head").alias("a"), "x", forward.alias("cell")).join(outer.select("cell", F.col("head").alias("b"), F.col("x").alias("y")), "cell")
-    links = cut(near.where(gap <= eps * eps).select("a", "b").distinct())
-    joined = components(links).withColumnRenamed("node", "head")
-    cells = cut(cells.join(joined, "head", "left").select("cell", "head", F.coalesce("component", "head").alias("part")))
-    apart = cells.select(F.col("cell").alias("from"), F.col("head").alias("a"), F.col("part").alias("pa"), forward.alias("cell")).join(cells.select("cell", F.col("head").alias("b"), F.col("part").alias("pb")), "cell")
-    apart = apart.where("pa <> pb").select(F.col("from"), "cell", "a", "b")
-    near = core.select(F.col("cell").alias("from"), "x").join(apart, "from").join(core.select("cell", F.col("x").alias("y")), "cell")
-    found = components(links.union(near.where(gap <= eps * eps).select("a", "b").distinct()))
-    core = core.join(cells.select("cell", "head"), "cell")
-    core = cut(core.join(found.withColumnRenamed("node", "head"), "head", "left").select("p", "x", "cell", F.coalesce("component", "head").alias("cluster")))
-    rest = points.join(core.select("p"), "p", "left_anti")
-    near = core.select("cluster", F.col("x").alias("y"), "cell")
-    border = rest.select("p", "x", F.explode(F.concat(F.array("cell"), around)).alias("cell")).join(near, "cell").where(gap <= eps * eps).groupBy("p").agg(F.min("cluster").alias("cluster"))
+    blocks = cut(points.groupBy("block", "leaf").agg(F.sum("n").alias("weight"), *corners(d)))
+    meet = blocks.select("block", "lo", "hi").mapInPandas(_block_pairs(tree, d, eps), "a long, lo array<double>, hi array<double>, leaf int")
+    other = blocks.select("leaf", F.col("block").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    square = lambda f: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), f), F.lit(0.0), lambda s, v: s + v * v)
+    apart = square(lambda k: F.greatest(F.col("lo")[k] - F.col("hi2")[k], F.col("lo2")[k] - F.col("hi")[k], F.lit(0.0)))
+    across = square(lambda k: F.greatest(F.col("hi")[k] - F.col("lo2")[k], F.col("hi2")[k] - F.col("lo")[k]))
+    pairs = cut(meet.join(other, "leaf").where(apart <= eps * eps * (1 + 1e-9)).select("a", "b", (across <= eps * eps * (1 - 1e-12)).alias("full")))
+    # counting
+    sure = pairs.where("full").join(blocks.select(F.col("block").alias("b"), "weight"), "b").groupBy(F.col("a").alias("block")).agg(F.sum("weight").alias("sure"))
+    points = cut(points.join(sure, "block", "left").withColumn("sure", F.coalesce("sure", F.lit(0).cast("long"))))
+    partly = pairs.where("not full").select("a", "b")
+
+    def sides(p: DataFrame, q: DataFrame):
+        """Each side's points, once for every block of the other side that they may be near to; with columns of their own."""
+        p = p.join(partly.withColumnRenamed("a", "block"), "block").withColumnRenamed("block", "a")
+        q = q.join(partly.withColumnRenamed("b", "block"), "block").withColumnRenamed("block", "b")
+        return [side.select(*[F.col(c).alias(c) for c in side.columns]).groupBy("a", "b") for side in (p, q)]
+
+    left, right = sides(points.where(F.col("sure") < min_points).select("p", "x", "block"), points.select("x", "n", "block"))
+    counted = left.cogroup(right).applyInPandas(_near_counts(d, eps), "p long, m long").groupBy("p").agg(F.sum("m").alias("m"))
+    points = points.join(counted, "p", "left").withColumn("core", F.col("sure") + F.coalesce("m", F.lit(0)) >= min_points)
+    points = cut(points.select("p", "x", "block", "core"))
+    # linking: where a block's core points have a neighbour in common, they are one node
+    core = points.where("core")
+    heads = cut(core.groupBy("block").agg(F.min("p").alias("head")))
+    whole = pairs.where("full").join(heads.select(F.col("block").alias("b"), F.col("head").alias("other")), "b").join(heads.withColumnRenamed("block", "a"), "a")
+    whole = cut(whole.select("a", "head", "other"))
+    node = F.coalesce("head", "p").alias("node")
+    core = cut(core.join(whole.select(F.col("a").alias("block"), "head").distinct(), "block", "left").select("p", "x", "block", node))
+    left, right = sides(core.select("x", "node", "block"), core.select("x", "node", "block"))
+    links = left.cogroup(right).applyInPandas(_near_links(d, eps), "a long, b long")
+    links = links.union(whole.select(F.col("head").alias("a"), F.col("other").alias("b")))
+    # a head that stands for a block in `whole` may itself be no node of its own where that block has none in common
+    links = links.union(core.where("p <> node").select(F.col("node").alias("a"), F.col("p").alias("b")))
+    found = components(links)
+    core = cut(core.join(found.select(F.col("node").alias("p"), "component"), "p", "left").select("p", "x", "block", F.coalesce("component", "p").alias("cluster")))
+    # border points
+    rest = points.where("not core").select("p", "x", "block")
+    left, right = sides(rest, core.select("x", "cluster", "block"))
+    near = left.cogroup(right).applyInPandas(_near_cores(d, eps), "p long, cluster long")
+    beside = pairs.where("full").join(core.groupBy(F.col("block").alias("b")).agg(F.min("cluster").alias("cluster")), "b").select(F.col("a").alias("block"), "cluster")
+    border = near.union(rest.select("p", "block").join(beside, "block").select("p", "cluster")).groupBy("p").agg(F.min("cluster").alias("cluster"))
     placed = core.select("p", "cluster", F.lit(True).alias("core")).union(border.select("p", "cluster", F.lit(False)))
-    # a cluster is named by its smallest core row, of all rows that its points stand for
-    out = rows.join(points.select("x", "p"), "x").join(placed, "p", "left")
-    names = out.where("core").groupBy("cluster").agg(F.min("id").alias("name"))
-    return out.join(names, "cluster", "left").select(F.col("id").alias(row_id), F.col("name").alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+    out = given.join(points.select("x", "p"), "x").join(placed, "p", "left")
+    return out.select(F.col("id").alias(row_id), "cluster", F.coalesce("core", F.lit(False)).alias("core"))
 
 
 def dbscan_model(df: DataFrame, clustered: DataFrame, features: Sequence[str], row_id: str) -> Model:

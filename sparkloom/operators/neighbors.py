@@ -1,4 +1,5 @@
-"""Exact nearest neighbours by blocks: every block of queries meets every block of the training rows once, as matrices.
+"""Exact nearest neighbours by a k-d split: a query is compared with its own leaf, and then only with leaves whose box
+is no further than the k-th distance found there.
 
 Blocks bound what a task holds; only k rows per query leave a pair of blocks, and a grouped merge keeps the k best.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..frame import checked, doubles
 from ..model import Model, joiner
 from ..plans.graph import cut, shared_folder
+from ..plans.space import blocked, fit, leaf_of, matrix
 
 
 def _nearest_in_block(d: int, k: int):
@@ -32,29 +34,81 @@ def _nearest_in_block(d: int, k: int):
             for c in range(d):  # by differences: squares of sums would lose equal distances
                 dist += (q[:, c, None] - t[None, :, c]) ** 2
             dist[some["qid"].to_numpy()[:, None] == ids[None]] = np.inf if some["self_out"].iloc[0] else 0
+            dist = np.sqrt(dist)  # ties are of distances, not of their squares
             order = np.argsort(dist, axis=1, kind="stable")[:, :k]
             best = np.take_along_axis(dist, order, 1)
             row, col = np.nonzero(np.isfinite(best))
-            out.append(pd.DataFrame({"qid": some["qid"].to_numpy()[row], "tid": ids[order[row, col]], "distance": np.sqrt(best[row, col]), "y": y[order[row, col]]}))
+            out.append(pd.DataFrame({"qid": some["qid"].to_numpy()[row], "tid": ids[order[row, col]], "distance": best[row, col], "y": y[order[row, col]]}))
         return pd.concat(out)
 
     return run
 
 
-def nearest(train: DataFrame, queries: DataFrame, features: Sequence[str], k: int, train_id: str, query_id: str, label: str | None = None, skip_self: bool = False, block: int = 4096) -> DataFrame:
-    """query_id's k nearest rows of `train` by Euclidean distance: qid, rank, tid, distance, y. Ties go to the smaller id."""
+def _asked(tree, d: int, most: dict[int, int]):
+    """A row for each block, beyond those of its own leaf, that may hold a row nearer than a query's k-th so far."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = np.ones(1 << tree.depth, "i8")
+        blocks[list(most)] = list(most.values())
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                some = batch.iloc[low : low + 1000]
+                x = matrix(some["x"], d)
+                of, leaf = tree.within(x, x, some["far"].to_numpy("f8"))
+                new = leaf != some["leaf"].to_numpy()[of]
+                of, leaf = of[new], leaf[new]
+                n = blocks[leaf]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                of = np.repeat(of, n)
+                yield pd.DataFrame({"qid": some["qid"].to_numpy()[of], "x": some["x"].to_numpy()[of], "self_out": some["self_out"].to_numpy()[of], "block": np.repeat(leaf, n) * (1 << 24) + at})
+
+    return run
+
+
+def nearest(train: DataFrame, queries: DataFrame, features: Sequence[str], k: int, train_id: str, query_id: str, label: str | None = None, skip_self: bool = False, block: int = 2048, counted: dict | None = None) -> DataFrame:
+    """query_id's k nearest rows of `train` by Euclidean distance: qid, rank, tid, distance, y. Ties go to the smaller id.
+
+    `counted`, if given, gets how often a query met a block, and how often it would have met all.
+    """
     if k < 1:
         raise ValueError("k must be 1 or more")
+    d = len(features)
     x = F.array(*[F.col(f).cast("double") for f in features])
     t = checked(train, features, train_id).select(F.col(train_id).cast("long").alias("tid"), x.alias("x"), (F.col(label) if label else F.lit(0)).cast("double").alias("y"))
     q = checked(queries, features, query_id).select(F.col(query_id).cast("long").alias("qid"), x.alias("x"), F.lit(skip_self).alias("self_out"))
-    nt, nq = max(1, -(-t.count() // block)), max(1, -(-q.count() // block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    t = t.withColumn("tb", F.pmod(F.xxhash64("tid"), F.lit(nt)).cast("int")).withColumn("qb", every(nq))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("tb", every(nt))
-    found = t.groupBy("tb", "qb").cogroup(q.groupBy("tb", "qb")).applyInPandas(_nearest_in_block(len(features), k), "qid long, tid long, distance double, y double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "tid"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "tid", "distance", "y")
+    n = t.count()
+    tree = fit(t, d, n, max(block, 4 * k))
+    t, blocks = blocked(t, tree, d, max(block, 4 * k), "tid")
+    t = cut(t.drop("leaf"))
+    q = q.withColumn("leaf", leaf_of(tree, d) if tree.depth else F.lit(0))
+    kinds, best = "qid long, tid long, distance double, y double", Window.partitionBy("qid").orderBy("distance", "tid")
+
+    def compared(asked: DataFrame) -> DataFrame:
+        """Blocks that many queries ask are sent once for each block of queries."""
+        asked = cut(asked)
+        load = asked.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+        load = cut(load.select("block", F.ceil(F.col("n") / block).cast("int").alias("sides"), "n"))
+        if counted is not None:
+            counted["met"] = counted.get("met", 0) + (load.agg(F.sum("n")).first()[0] or 0)
+        sent = t.join(load, "block").withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("tid", "x", "y", "block", "side")
+        dealt = asked.join(load, "block").withColumn("side", F.pmod(F.xxhash64("qid"), "sides").cast("int")).select("qid", "x", "self_out", "block", "side")
+        found = sent.groupBy("block", "side").cogroup(dealt.groupBy("block", "side")).applyInPandas(_nearest_in_block(d, k), kinds)
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    many = F.lit(1)
+    if split := {a: b for a, b in blocks.items() if b > 1}:
+        many = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in sorted(split.items()) for v in kv]), F.col("leaf")), F.lit(1))
+    own = q.withColumn("at", F.explode(F.sequence(F.lit(0), many - 1))).select("qid", "x", "self_out", (F.col("leaf").cast("long") * (1 << 24) + F.col("at")).alias("block"))
+    found = compared(own)
+    if tree.depth:
+        found = cut(found)
+        far = found.groupBy("qid").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("held"))
+        open_ = q.join(far, "qid", "left").withColumn("far", F.when(F.col("held") >= k, F.col("far")).otherwise(F.lit(float("inf"))))
+        more = compared(open_.select("qid", "x", "self_out", "leaf", "far").mapInPandas(_asked(tree, d, blocks), "qid long, x array<double>, self_out boolean, block long"))
+        found = found.union(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if counted is not None:
+        counted["all"] = q.count() * sum(blocks.values())
+    return found.select("qid", "rank", "tid", "distance", "y")
 
 
 def knn_regression(train: DataFrame, queries: DataFrame, features: Sequence[str], label: str, k: int = 5, train_id: str = "id", query_id: str = "id", **more) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from ..frame import checked, encode_labels
 from ..functions.metrics import regression
 from ..model import Model
-from . import bayes, cluster, decomp, glm, linear, margin, neighbors, network, survival, tree, tseries
+from . import bayes, cluster, decomp, glm, kernels, linear, margin, neighbors, network, survival, tree, tseries, tsne
 
 #: Trainers that give a model: (rows, features, label, parameters). Defaults are the trainers' own.
 TRAINERS: dict[str, Callable[..., Model]] = {
@@ -39,8 +39,11 @@ TRAINERS: dict[str, Callable[..., Model]] = {
     "kaplan_meier": survival.survival_model,
     "cox": lambda df, features, label, time, **p: glm.cox(df, time, label, features, **p),
     "dbscan": lambda df, features, label=None, **p: cluster.dbscan_train(df, features, **p),
-    "svm": margin.svm,
-    "svr": margin.svr,
+    "svm": kernels.svm,
+    "svr": kernels.svr,
+    "svm_features": margin.svm,
+    "svr_features": margin.svr,
+    "tsne": lambda df, features, label=None, **p: tsne.tsne_train(df, features, **p),
     "mlp_regressor": network.mlp_regressor,
     "lda": decomp.lda,
     "pca": lambda df, features, label=None, **p: decomp.pca(df, features, **p),
@@ -52,7 +55,7 @@ TRAINERS: dict[str, Callable[..., Model]] = {
 REGRESSION = ("linear_regression", "lasso_regression", "random_forest", "knn_regressor", "mlp_regressor")
 CLASSIFICATION = ("logistic_regression", "rf_classifier", "knn_classifier", "naive_bayes")
 #: Algorithms whose label is a class; text labels are numbered for them in their order.
-OF_CLASSES = {"logistic_regression", "multilogistic", "ordinal", "naive_bayes", "xgboost_binary", "adaboost", "svm", "knn_classifier", "lda"}
+OF_CLASSES = {"logistic_regression", "multilogistic", "ordinal", "naive_bayes", "xgboost_binary", "adaboost", "svm", "svm_features", "knn_classifier", "lda"}
 
 
 def train(df: DataFrame, algorithm: str, features: Sequence[str], label: str | None = None, **params) -> Model:

@@ -124,10 +124,10 @@ c AS (SELECT (SELECT count(*) FROM e WHERE e.v < s.s_acctbal) AS g, s_acctbal AS
 SELECT CAST(g AS INTEGER) AS cluster, round(avg(v), 6) AS center FROM c GROUP BY g"""
 
 
-def discriminants() -> str:
-    """Two features and three classes: the eigenvectors of a two by two problem in closed form."""
+def discriminants(rows: str = "SELECT l_quantity / 10 AS x, l_tax * 100 AS y, l_returnflag AS k FROM lineitem") -> str:
+    """Two features x and y, any number of classes k: the eigenvectors of a two by two problem in closed form."""
     parts = [
-        ("d", "SELECT l_quantity / 10 AS x, l_tax * 100 AS y, l_returnflag AS k FROM lineitem"),
+        ("d", rows),
         ("c", "SELECT k, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS vxy FROM d GROUP BY k"),
         ("m", "SELECT sum(n * mx) / sum(n) AS ax, sum(n * my) / sum(n) AS ay FROM c"),
         ("w", "SELECT sum(n * vx) AS a, sum(n * vxy) AS b, sum(n * vy) AS c, sum(n * (mx - ax) * (mx - ax)) AS p, sum(n * (mx - ax) * (my - ay)) AS q, sum(n * (my - ay) * (my - ay)) AS r FROM c, m"),
@@ -159,6 +159,18 @@ def neighbours() -> str:
 r AS (SELECT q.vec_id AS qid, t.y, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.x, t.x), t.vec_id) AS k FROM e q JOIN e t ON q.vec_id <> t.vec_id) """
 
 
+def dense_vectors(eps: float, min_points: int) -> str:
+    """Density clusters of the embeddings by all pairs and their reach."""
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON list_distance(a.x, b.x) <= {eps}),
+core AS (SELECT a FROM p GROUP BY a HAVING count(*) >= {min_points}),
+l AS (SELECT p.a, p.b FROM p SEMI JOIN core ON p.a = core.a SEMI JOIN core c ON p.b = c.a),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS cluster FROM reach GROUP BY a),
+border AS (SELECT p.a, min(c.cluster) AS cluster FROM p JOIN c ON p.b = c.a GROUP BY p.a)
+SELECT vec_id, coalesce(c.cluster, border.cluster) AS cluster, c.a IS NOT NULL AS core FROM e LEFT JOIN c ON c.a = vec_id LEFT JOIN border ON border.a = vec_id"""
+
+
 def naive_bayes() -> str:
     return """WITH e AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 p AS (SELECT label, count(*) / (SELECT count(*) FROM embeddings) AS p FROM embeddings GROUP BY label),
