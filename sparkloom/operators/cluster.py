@@ -20,37 +20,118 @@ from ..stats import with_next
 def _nearest_center(state: dict, x: list[Column]) -> Column:
     if not state["centers"]:
         return F.lit(0.0)
+    if len(state["centers"]) * len(x) > 1500:  # past what generated code can hold
+        centers = np.array(state["centers"], "f8")
+
+        @F.pandas_udf("double")
+        def near(rows: pd.Series) -> pd.Series:
+            return pd.Series([float(_distances(centers, np.array([r], "f8"))[0][0]) if r is not None and not any(v is None for v in r) else None for r in rows], dtype="float64")
+
+        return near(F.array(*x))
     return first_least([squared_distance(c, x) for c in state["centers"]])
 
 
-def seeds(df: DataFrame, x: list[Column], k: int, sample: int = 2000) -> list[list[float]]:
-    """k-means++ on a bounded sample, chosen by a hash of the rows."""
-    rows = np.array([r[0] for r in df.select(F.array(*x).alias("_point")).orderBy(F.xxhash64("_point"), "_point").limit(sample).collect()])
-    if not 1 <= k <= len(rows):
-        raise ValueError(f"k must be from 1 to {len(rows)}")
+def _distances(centers: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, the first nearest center and the squared distance, by differences and some rows at a time."""
+    near, least = np.zeros(len(x), "i8"), np.zeros(len(x))
+    step = max(1, 4_000_000 // max(1, centers.size))
+    for low in range(0, len(x), step):
+        d = ((x[low : low + step, None] - centers[None]) ** 2).sum(-1)
+        near[low : low + step] = d.argmin(1)
+        least[low : low + step] = d.min(1)
+    return near, least
+
+
+def seeds(df: DataFrame, x: list[Column], k: int, rounds: int = 5) -> list[list[float]]:
+    """k-means|| over all rows: each round draws about 2k of them, a row's chance being its squared distance to those
+    drawn before; what is drawn is weighted by the rows nearest to it, and k-means++ picks k of these. At most some
+    10k rows are drawn, whatever the table's size; draws go by hashes of the rows and repeat."""
+    d = len(x)
+    points = df.select(F.array(*x).alias("_x")).groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
+    first = [r[0] for r in points.orderBy(F.xxhash64("_x"), "_x").select("_x").limit(1).collect()]
+    if not first or k < 1:
+        raise ValueError("k must be from 1 to the number of different rows" if first else "no rows to train on")
+    drawn = np.array(first, "f8").reshape(-1, d)
+
+    def far(drawn: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(d=_distances(drawn, matrix(batch["_x"], d))[1])
+
+        return points.mapInPandas(run, "_x array<double>, _n long, d double")
+
+    for turn in range(rounds):
+        rows = far(drawn)
+        cost = rows.agg(F.sum(F.col("d") * F.col("_n"))).first()[0]
+        if not cost:
+            break
+        chance = (F.pmod(F.xxhash64("_x", F.lit(turn)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        new = rows.where(chance < 2.0 * k * F.col("d") * F.col("_n") / F.lit(cost)).select("_x").collect()
+        drawn = np.concatenate([drawn, np.array(sorted(r[0] for r in new), "f8").reshape(-1, d)])
+    if len(drawn) < k:  # rare: few different rows, or short draws; the farthest ones make up
+        more = far(drawn).where("d > 0").orderBy(F.desc("d"), "_x").limit(k - len(drawn)).collect()
+        drawn = np.concatenate([drawn, np.array([r["_x"] for r in more], "f8").reshape(-1, d)])
+    if len(drawn) < k:
+        raise ValueError(f"k must be from 1 to {len(drawn)}")
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = np.bincount(_distances(drawn, matrix(batch["_x"], d))[0], batch["_n"].to_numpy("f8"), len(drawn))
+            yield pd.DataFrame({"k": np.flatnonzero(n), "n": n[n > 0]})
+
+    weight = np.zeros(len(drawn))
+    for r in points.mapInPandas(weigh, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        weight[r["k"]] = r["n"]
     rng = np.random.default_rng(0)
-    centers = [rows[0]]
-    for _ in range(k - 1):
-        d = np.min([((rows - c) ** 2).sum(1) for c in centers], axis=0)
-        centers.append(rows[rng.choice(len(rows), p=d / d.sum())] if d.sum() > 0 else rows[len(centers)])
-    return [c.tolist() for c in centers]
+    centers = [int(weight.argmax())]
+    d2 = ((drawn - drawn[centers[0]]) ** 2).sum(1)
+    while len(centers) < k:
+        p = weight * d2
+        p = p if p.sum() > 0 else np.where(np.isin(np.arange(len(drawn)), centers), 0.0, 1.0)
+        centers.append(int(rng.choice(len(drawn), p=p / p.sum())))
+        d2 = np.minimum(d2, ((drawn - drawn[centers[-1]]) ** 2).sum(1))
+    return drawn[centers].tolist()
 
 
 def kmeans(df: DataFrame, features: Sequence[str], k: int = 3, rounds: int = 100, tol: float = 1e-4, centers: Sequence[Sequence[float]] | None = None) -> Model:
-    """Lloyd's rounds from k-means++ or given centers; a center without rows stays where it is."""
-    df = checked(df, features).select(*[c.alias(n) for c, n in zip(doubles(features), features, strict=True)]).cache()
+    """Lloyd's rounds from k-means|| or given centers. A round is one pass of partial sums; centers without rows move to
+    the rows that lie farthest from their own center."""
+    d = len(features)
+    df = checked(df, features).select(F.array(*doubles(features)).alias("_x")).cache()
     try:
-        x = doubles(features)
-        now = [list(map(float, c)) for c in centers] if centers is not None else seeds(df, x, k)
+        now = np.array(centers if centers is not None else seeds(df, [F.col("_x")[i] for i in range(d)], k), "f8").reshape(-1, d)
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = matrix(batch["_x"], d)
+                near, least = _distances(now, x)
+                n = np.bincount(near, minlength=len(now))
+                total = np.stack([np.bincount(near, x[:, i], len(now)) for i in range(d)], 1)
+                on = np.flatnonzero(n)
+                far = np.lexsort((*x.T, -least))[: len(now)]
+                yield pd.DataFrame({"k": on, "n": n[on], "s": total[on].tolist(), "far": [None] * len(on), "by": np.nan})
+                if len(on) < len(now):  # only where centers may be without rows
+                    yield pd.DataFrame({"k": -1, "n": 0, "s": None, "far": x[far].tolist(), "by": least[far]})
+
+        kinds = "k long, n long, s array<double>, far array<double>, by double"
         for _ in range(rounds):
-            near = first_least([squared_distance(c, x) for c in now])
-            means = {r["k"]: [r[f] for f in features] for r in df.groupBy(near.alias("k")).agg(*[F.avg(f).alias(f) for f in features]).collect()}
-            new = [means.get(j, c) for j, c in enumerate(now)]
-            moved = max(float(np.linalg.norm(np.subtract(a, b))) for a, b in zip(now, new, strict=True))
+            got = df.mapInPandas(sums, kinds)
+            found = got.where("k >= 0").groupBy("k").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s")).collect()
+            new, there = now.copy(), {r["k"] for r in found}
+            for r in found:
+                new[r["k"]] = np.array(r["s"]) / r["n"]
+            empty = [j for j in range(len(now)) if j not in there]
+            if empty:
+                far = got.where("k < 0 and by > 0").select("by", "far").distinct().orderBy(F.desc("by"), "far").limit(len(empty)).collect()
+                for j, r in zip(empty, far, strict=False):
+                    new[j] = r["far"]
+            moved = float(np.sqrt(((new - now) ** 2).sum(1)).max())
             now = new
             if moved < tol:
                 break
-        return Model("kmeans", list(features), {"centers": now}, n_samples=df.count())
+        return Model("kmeans", list(features), {"centers": now.tolist()}, n_samples=df.count())
     finally:
         df.unpersist()
 

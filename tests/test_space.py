@@ -1,10 +1,14 @@
 """The k-d split and what stands on it: neighbours, density clusters, the two-dimensional layout."""
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from sparkloom.operators import cluster, neighbors, tsne
+from sparkloom.operators import cluster, mining, neighbors, tsne
 from sparkloom.plans import space
 
 
@@ -114,3 +118,42 @@ def test_layout_keeps_groups_apart_and_repeats(spark):
     assert dist[same].mean() < 0.5 * dist[~same].mean()
     first, again = (sorted(map(tuple, tsne.tsne(d, names, "id", perplexity=12, rounds=3, early=2).collect())) for d in (df, df.repartition(2)))
     assert first == again
+
+
+def test_seeds_and_empty_centers(spark):
+    """k in the thousands, seeds from all rows, and centers that would stay without rows."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(3000, 2)), [[500.0, 500.0]], np.repeat([[9.0, 9.0]], 800, 0)])
+    df, names = frame(spark, x)
+    seeds = np.array(cluster.seeds(df, [F.col(n) for n in names], 2500))
+    assert len(np.unique(seeds, axis=0)) == 2500 and (seeds == 500).all(1).any() and {tuple(s) for s in seeds} <= {tuple(r) for r in x}
+    assert cluster.seeds(df.repartition(2), [F.col(n) for n in names], 40) == cluster.seeds(df, [F.col(n) for n in names], 40)
+    m = cluster.kmeans(df, names, 2500, rounds=1)
+    assert len(m.state["centers"]) == 2500 and m.transform(df.limit(5)).where("prediction is null").isEmpty()
+    far = cluster.kmeans(df, names, centers=[[0.0, 0.0], [9.0, 9.0], [-800.0, 0.0]], rounds=3)
+    assert np.allclose(sorted(far.state["centers"])[-1], [500, 500])
+    with pytest.raises(ValueError, match="from 1 to 2"):
+        cluster.seeds(spark.createDataFrame([(1.0,), (2.0,), (2.0,)], "x double"), [F.col("x")], 3)
+
+
+def test_itemsets_of_large_baskets(spark):
+    """Baskets of 200 items: sets are counted without listing their occurrences; and against enumeration."""
+    rng = np.random.default_rng(2)
+    common = [f"c{k:03}" for k in range(12)]
+    baskets = [(b, [*common, *(f"r{v}" for v in rng.choice(5000, 188, replace=False))]) for b in range(60)]
+    df = spark.createDataFrame(baskets, "tid long, items array<string>").repartition(3)
+    found, n = mining.frequent_itemsets(mining.basket_items(df, "tid", "items"), 0.9)
+    sizes = {r["size"]: (r["count"], r["least"]) for r in found.groupBy("size").agg(F.count("*").alias("count"), F.min("n").alias("least")).collect()}
+    assert n == 60 and sizes == {k: (math.comb(12, k), 60) for k in range(1, 13)}
+    rows = [(b, [x for x in "abcdefg" if rng.random() < 0.6]) for b in range(80)]
+    df = spark.createDataFrame(rows, "tid long, items array<string>").repartition(3)
+    found, n = mining.frequent_itemsets(mining.basket_items(df, "tid", "items"), 0.2, 4)
+    want = {}
+    for size in range(1, 5):
+        for s in itertools.combinations("abcdefg", size):
+            c = sum(set(s) <= set(items) for _, items in rows)
+            if c >= math.ceil(0.2 * n - 1e-9):
+                want[s] = c
+    assert {tuple(r["items"]): r["n"] for r in found.collect()} == want
+    with pytest.raises(ValueError, match="over 3 itemsets"):
+        mining.frequent_itemsets(mining.basket_items(df, "tid", "items"), 0.2, 4, most=3)
