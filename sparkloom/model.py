@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import decode_labels, doubles
@@ -66,7 +66,8 @@ class Model:
         return SCORERS[self.algorithm](self.state, doubles(self.features)).cast("double")
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        """`df` with the prediction; no action runs, so streams can be scored as well."""
+        """`df` with the prediction. Where the score is an expression no action runs, and streams can be scored as well;
+        models that keep a table (neighbours, layouts) join with it, and take tables only."""
         if missing := [n for n in self.features if n not in df.columns]:
             raise ValueError(f"no such columns: {', '.join(missing)}")
         df = JOINERS[self.algorithm](self, df, out) if self.algorithm in JOINERS else df.withColumn(out, self.column())
@@ -82,6 +83,13 @@ class Model:
         kinds = "model_name string, algorithm string, r_squared double, mse double, n_samples long, n_features int"
         return df_like.sparkSession.createDataFrame([(name, self.algorithm, self.r_squared, self.mse, self.n_samples, len(self.features))], kinds)
 
+    def at(self, spark: SparkSession, path: str) -> Model:
+        """The model with its own table, if it has one, copied to `path`."""
+        if "table" not in self.state:
+            return self
+        spark.read.parquet(self.state["table"]).write.parquet(path)
+        return replace(self, state=self.state | {"table": path})
+
     def to_json(self) -> str:
         return json.dumps(plain({k: getattr(self, k) for k in ("algorithm", "features", "state", "r_squared", "mse", "n_samples", "labels", "extra")}))
 

@@ -51,7 +51,10 @@ def vote(models: Sequence[Model], df: DataFrame, mode: str = "hard", out: str =
         raise ValueError("no models to ask")
     if mode not in ("hard", "majority", "mean", "average", "soft"):
         raise ValueError(f"unknown mode {mode!r}")
-    df = df.withColumn("votes", F.array(*[m.column() for m in models]))
+    given = df.columns
+    for k, m in enumerate(models):
+        df = m.transform(df, f"_vote{k}")
+    df = df.select(*given, F.array(*[f"_vote{k}" for k in range(len(models))]).alias("votes"))
     if mode in ("mean", "average", "soft"):
         return df.withColumn(out, F.aggregate("votes", F.lit(0.0), lambda a, v: a + v) / len(models))
     whole = F.transform("votes", lambda v: F.round(v))

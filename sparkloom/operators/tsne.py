@@ -24,7 +24,7 @@ from ..plans.graph import cut, shared_folder
 from .neighbors import knn_regression, nearest
 
 #: Nodes of a box in each dimension, and most boxes.
-NODES, MOST = 3, 120
+NODES, MOST = 3, 160
 
 
 def _widths(perplexity: float):
@@ -131,19 +131,22 @@ def _moved(field: Field, n: int, exaggeration: float, rate: float, momentum: flo
 STATE = "id long, y1 double, y2 double, v1 double, v2 double"
 
 
-def tsne(df: DataFrame, features: Sequence[str], row_id: str, perplexity: float = 30.0, rounds: int = 300, rate: float = 200.0, momentum: float = 0.8, exaggeration: float = 12.0, early: int = 250) -> DataFrame:
-    """row_id, y1, y2. Attraction counts `exaggeration` times, with momentum 0.5, in the first `early` rounds."""
+def tsne(df: DataFrame, features: Sequence[str], row_id: str, perplexity: float = 30.0, rounds: int = 300, rate: float = 0.0, momentum: float = 0.8, exaggeration: float = 12.0, early: int = 250) -> DataFrame:
+    """row_id, y1, y2. Attraction counts `exaggeration` times, with momentum 0.5, in the first `early` rounds.
+    A rate of 0 means rows / (2 exaggeration): larger ones make small tables swing."""
     x = doubles(features)
     rows = cut(checked(df, features, row_id).select(F.col(row_id).cast("long").alias("id"), *[c.alias(f) for c, f in zip(x, features, strict=True)]))
     n = rows.count()
     if n < 2:
         raise ValueError("t-SNE needs two rows or more")
+    rate = rate or n / (2 * exaggeration)
     pairs = cut(affinities(rows, features, "id", perplexity))
     unit = lambda s: (F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     far = lambda s: 1e-4 * F.sqrt(-2 * F.log(unit(s))) * F.cos(2 * math.pi * unit(s + 1))
     now = cut(rows.select("id", far(1).alias("y1"), far(3).alias("y2"), F.lit(0.0).alias("v1"), F.lit(0.0).alias("v2")))
-    width = 0.5
     for k in range(rounds):
+        top = now.agg(F.max(F.greatest(F.abs("y1"), F.abs("y2")))).first()[0]
+        width = 0.5 * 2.0 ** max(0, math.ceil(math.log2(2 * top / MOST / 0.5))) if top else 0.5  # the grid has at most MOST boxes a side, or one more
         scale = 2.0 ** min(36, 58 - math.ceil(math.log2(n * MOST * NODES * width)))
         got = now.mapInPandas(_charges(width, scale), "node long, c0 long, c1 long, c2 long").groupBy("node").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(3)]).toPandas()
         field = Field(got["node"].to_numpy("i8"), got[["c0", "c1", "c2"]].to_numpy("f8") / scale, width, n)
@@ -154,9 +157,6 @@ def tsne(df: DataFrame, features: Sequence[str], row_id: str, perplexity: float
         both = now.join(pull, "id", "left").fillna(0, ["a1", "a2"])
         first = k < min(early, rounds)
         now = cut(both.mapInPandas(_moved(field, n, exaggeration if first else 1.0, rate, 0.5 if first else momentum, fine), STATE))
-        span = (field.grid.shape[1] / NODES) * width
-        while span / width > MOST:
-            width *= 2
     return now.select(F.col("id").alias(row_id), "y1", "y2")
 
 

@@ -47,9 +47,10 @@ class Registry:
         self.spark.createDataFrame([(*row, time.time_ns())], TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
 
     def save(self, name: str, model: Model) -> int:
-        """Store a new version; its number."""
+        """Store a new version, with a copy of its table if it has one; its number."""
         last = self._rows("models").where(F.col("name") == name).agg(F.max("version")).first()[0]
         version = (last or 0) + 1
+        model = model.at(self.spark, f"{self.path}/tables/{name}-{version}-{time.time_ns():x}")
         self._add("models", name, version, model.algorithm, int(model.n_samples or 0), len(model.features), model.r_squared, model.mse, model.to_json(), "trained")
         return version
 
