@@ -14,6 +14,7 @@ from ..model import Model, scorer
 from ..plans.graph import components, cut
 from ..plans.space import blocked, corners, fit, matrix
 from ..stats import with_next
+from .neighbors import nearest
 
 
 @scorer("kmeans", "fuzzy_cmeans", "agglomerative", "dbscan")
@@ -318,6 +319,7 @@ def agglomerative(df: DataFrame, features: Sequence[str], k: int = 3, linkage: s
     """Greedy merging on squared distances, single, complete or average.
 
     Single linkage of one feature takes any table: its groups end at the k - 1 widest gaps between neighbouring values.
+    So does average linkage: over `most` distinct rows its merges are found in rounds (but for ties, they are the same).
     Other merging needs the distances of all pairs on the driver; over `most` distinct rows it's refused.
     """
     x = doubles(features)
@@ -326,6 +328,8 @@ def agglomerative(df: DataFrame, features: Sequence[str], k: int = 3, linkage: s
     if linkage == "single" and len(features) == 1:
         return _by_gaps(points, features[0], k)
     some = points.orderBy(*features).limit(most + 1).collect()
+    if len(some) > most and linkage == "average":
+        return _by_reciprocal(points, features, k)
     if len(some) > most:
         raise ValueError(f"{linkage} linkage of {len(features)} features compares all pairs and takes at most {most} distinct rows; raise `most` or gather the rows first")
     p, size = np.array([[r[f] for f in features] for r in some], "f8"), np.array([r["n"] for r in some], "f8")
@@ -354,6 +358,47 @@ def agglomerative(df: DataFrame, features: Sequence[str], k: int = 3, linkage: s
     return Model("agglomerative", list(features), {"centers": centers}, n_samples=df.count())
 
 
+def _by_reciprocal(points: DataFrame, features: Sequence[str], k: int) -> Model:
+    """Average linkage of distinct points with counts `n`, by rounds of reciprocal nearest groups.
+
+    The mean squared distance of two groups is that of their means plus both groups' mean squared deviations, so that a
+    group is a point with one feature more, its nearest group is a nearest neighbour, and no distances are kept. Two groups
+    that are nearest to each other are merged at once, all such pairs in one round: the order changes no merge. The whole
+    tree is built, and its total - k lowest merges count.
+    """
+    d = len(features)
+    names = [f"c{i}" for i in range(d + 1)]
+    rows = cut(points.select(F.monotonically_increasing_id().alias("id"), F.array(*features).alias("x"), F.col("n").cast("double").alias("w"), F.lit(0.0).alias("v")))
+    total = rows.count()
+    if not 1 <= k <= total:
+        raise ValueError(f"k must be from 1 to {total}")
+    now, merges, turn = rows, None, 0
+    while total > k and now.count() > 1:
+        at = [F.col("x")[i].alias(f"c{i}") for i in range(d)]
+        near = nearest(now.select("id", *at, F.sqrt("v").alias(f"c{d}")), now.select("id", *at, F.lit(0.0).alias(f"c{d}")), names, 1, "id", "id", skip_self=True)
+        near = cut(near.select(F.col("qid").alias("a"), F.col("tid").alias("b"), "distance"))
+        pairs = near.join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").where("a < b").select("a", "b")
+        if pairs.isEmpty():  # rounding may hide the least pair from one of its two
+            least = near.join(now.select(F.col("id").alias("a"), "v"), "a").orderBy(F.col("distance") * F.col("distance") + F.col("v"), "a", "b").limit(1)
+            pairs = least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = cut(pairs)
+        one, two = (now.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in "xwv"]) for side in "ab")
+        both = pairs.join(one, "a").join(two, "b").withColumn("gap", F.aggregate(F.zip_with("x_a", "x_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+        w = F.col("w_a") + F.col("w_b")
+        both = both.select("a", "b", (F.col("gap") + F.col("v_a") + F.col("v_b")).alias("height"), F.zip_with("x_a", "x_b", lambda p, q: (p * F.col("w_a") + q * F.col("w_b")) / w).alias("x"), w.alias("w"), ((F.col("w_a") * F.col("v_a") + F.col("w_b") * F.col("v_b") + F.col("gap") * F.col("w_a") * F.col("w_b") / w) / w).alias("v"))
+        both = cut(both)
+        more = both.select("a", "b", "height", F.lit(turn).alias("turn"))
+        merges = more if merges is None else merges.union(more)
+        alone = now.join(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), "id", "left_anti")
+        now, turn = cut(alone.select("id", "x", "w", "v").union(both.select(F.col("a").alias("id"), "x", "w", "v"))), turn + 1
+    named = rows
+    if merges is not None:
+        low = components(merges.orderBy("height", "turn", "a").limit(total - k).select("a", "b"))
+        named = rows.join(low.withColumnRenamed("node", "id"), "id", "left").withColumn("id", F.coalesce("component", "id"))
+    means = named.groupBy("id").agg(*[(F.sum(F.col("x")[i] * F.col("w")) / F.sum("w")).alias(f"c{i}") for i in range(d)], F.sum("w").alias("w")).orderBy("id").collect()
+    return Model("agglomerative", list(features), {"centers": [[r[f"c{i}"] for i in range(d)] for r in means]}, n_samples=int(sum(r["w"] for r in means)))
+
+
 def _by_gaps(points: DataFrame, feature: str, k: int) -> Model:
     """Single linkage of distinct values with counts `n`; of equal gaps the lower are merged first."""
     points = points.select(F.col(feature).alias("v"), "n").cache()

@@ -157,3 +157,13 @@ def test_itemsets_of_large_baskets(spark):
     assert {tuple(r["items"]): r["n"] for r in found.collect()} == want
     with pytest.raises(ValueError, match="over 3 itemsets"):
         mining.frequent_itemsets(mining.basket_items(df, "tid", "items"), 0.2, 4, most=3)
+
+
+def test_average_linkage_of_whole_tables(spark):
+    """Rounds of reciprocal neighbours give the groups of the greedy merging of all pairs."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(5, 2)) + c for c in ((0, 0), (5, 1), (2, 7))])
+    df, names = frame(spark, np.concatenate([x, x[:3]]))
+    rounds = cluster.agglomerative(df, names, 4, "average", most=5)
+    greedy = cluster.agglomerative(df, names, 4, "average", most=10_000)
+    assert np.allclose(sorted(rounds.state["centers"]), sorted(greedy.state["centers"])) and rounds.n_samples == greedy.n_samples == 18
