@@ -416,6 +416,25 @@ def arima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(m["phi"][0], 6), round(m["constant"], 6))], "phi double, constant double")
 
 
+@query("""WITH s AS (SELECT event_id, value AS y FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+l AS (SELECT y, lag(y) OVER (ORDER BY event_id, y) AS a, lag(y, 2) OVER (ORDER BY event_id, y) AS b FROM s),
+m AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM l WHERE b IS NOT NULL),
+p AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS phi1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS phi2 FROM m)
+SELECT round(phi1, 7) AS phi1, round(phi2, 7) AS phi2, round(my - phi1 * ma - phi2 * mb, 5) AS constant FROM p""")
+def arima_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tseries.arima_by(_table(spark, sf_dir, "events"), [], "event_id", "value", 2, 0, 0)
+    return m.select(*[F.round(F.col("phi")[i], 7).alias(f"phi{i + 1}") for i in range(2)], F.round("constant", 5).alias("constant"))
+
+
+@query("""WITH s AS (SELECT event_type, event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+d AS (SELECT event_type, event_id, value, value - lag(value) OVER w AS z FROM s WINDOW w AS (PARTITION BY event_type ORDER BY event_id, value)),
+l AS (SELECT event_type, event_id, value, z, lag(z) OVER w AS a FROM d WINDOW w AS (PARTITION BY event_type ORDER BY event_id, value))
+SELECT event_type, count(*) AS n_samples, round(regr_slope(z, a), 7) AS phi, round(regr_intercept(z, a), 5) AS constant, arg_max(value, event_id) AS last FROM l GROUP BY event_type""")
+def arima_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tseries.arima_by(_table(spark, sf_dir, "events"), ["event_type"], "event_id", "value", 1, 1, 0)
+    return m.select("event_type", "n_samples", F.round(F.col("phi")[0], 7).alias("phi"), F.round("constant", 5).alias("constant"), F.element_at("tail", -1).alias("last"))
+
+
 MARK = "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END"
 
 
