@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..frame import checked, doubles, first_least, squared_distance
 from ..model import Model, scorer
-from ..plans.graph import components, cut
+from ..plans.graph import components, cut, stored
 from ..plans.space import blocked, corners, fit, matrix
 from ..stats import with_next
 from .neighbors import nearest
@@ -368,7 +368,7 @@ def _by_reciprocal(points: DataFrame, features: Sequence[str], k: int) -> Model:
     """
     d = len(features)
     names = [f"c{i}" for i in range(d + 1)]
-    rows = cut(points.select(F.monotonically_increasing_id().alias("id"), F.array(*features).alias("x"), F.col("n").cast("double").alias("w"), F.lit(0.0).alias("v")))
+    rows = stored(points.select(F.monotonically_increasing_id().alias("id"), F.array(*features).alias("x"), F.col("n").cast("double").alias("w"), F.lit(0.0).alias("v")))
     total = rows.count()
     if not 1 <= k <= total:
         raise ValueError(f"k must be from 1 to {total}")
@@ -376,21 +376,21 @@ def _by_reciprocal(points: DataFrame, features: Sequence[str], k: int) -> Model:
     while total > k and now.count() > 1:
         at = [F.col("x")[i].alias(f"c{i}") for i in range(d)]
         near = nearest(now.select("id", *at, F.sqrt("v").alias(f"c{d}")), now.select("id", *at, F.lit(0.0).alias(f"c{d}")), names, 1, "id", "id", skip_self=True)
-        near = cut(near.select(F.col("qid").alias("a"), F.col("tid").alias("b"), "distance"))
+        near = stored(near.select(F.col("qid").alias("a"), F.col("tid").alias("b"), "distance"))
         pairs = near.join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").where("a < b").select("a", "b")
         if pairs.isEmpty():  # rounding may hide the least pair from one of its two
             least = near.join(now.select(F.col("id").alias("a"), "v"), "a").orderBy(F.col("distance") * F.col("distance") + F.col("v"), "a", "b").limit(1)
             pairs = least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = cut(pairs)
+        pairs = stored(pairs)
         one, two = (now.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in "xwv"]) for side in "ab")
         both = pairs.join(one, "a").join(two, "b").withColumn("gap", F.aggregate(F.zip_with("x_a", "x_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
         w = F.col("w_a") + F.col("w_b")
         both = both.select("a", "b", (F.col("gap") + F.col("v_a") + F.col("v_b")).alias("height"), F.zip_with("x_a", "x_b", lambda p, q: (p * F.col("w_a") + q * F.col("w_b")) / w).alias("x"), w.alias("w"), ((F.col("w_a") * F.col("v_a") + F.col("w_b") * F.col("v_b") + F.col("gap") * F.col("w_a") * F.col("w_b") / w) / w).alias("v"))
-        both = cut(both)
+        both = stored(both)
         more = both.select("a", "b", "height", F.lit(turn).alias("turn"))
         merges = more if merges is None else merges.union(more)
         alone = now.join(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), "id", "left_anti")
-        now, turn = cut(alone.select("id", "x", "w", "v").union(both.select(F.col("a").alias("id"), "x", "w", "v"))), turn + 1
+        now, turn = stored(alone.select("id", "x", "w", "v").union(both.select(F.col("a").alias("id"), "x", "w", "v"))), turn + 1
     named = rows
     if merges is not None:
         low = components(merges.orderBy("height", "turn", "a").limit(total - k).select("a", "b"))

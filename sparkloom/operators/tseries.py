@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..model import Model, scorer
-from ..plans.graph import cut, shared_folder
+from ..plans.graph import cut, stored
 from .grouped import linear_by
 
 STATE = "_k string, best array<double>, trial array<double>, loss double, normal array<double>, damp double, shocks array<double>, done boolean"
@@ -205,10 +205,7 @@ def _shocks(z: DataFrame, fits: DataFrame, p: int, q: int, rounds: int) -> DataF
             asked = spans.join(states.where("not done").select("_k", "trial"), "_k")
             asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
             sums = z.groupBy("_k", "_range").cogroup(asked.groupBy("_k", "_range")).applyInPandas(_sums(p, q), "_k string, _range int, gram array<double>, ends array<double>")
-            # a table, as a checkpoint would keep the estimate of its plan's size, which is squared every round
-            path = shared_folder(z.sparkSession, "table")
-            sums.groupBy("_k").cogroup(states.groupBy("_k")).applyInPandas(_moved(p, q), STATE).write.parquet(path)
-            states = z.sparkSession.read.schema(STATE).parquet(path)
+            states = stored(sums.groupBy("_k").cogroup(states.groupBy("_k")).applyInPandas(_moved(p, q), STATE))
             if states.where("not done").isEmpty():
                 break
     finally:

@@ -30,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a table in the shared folder and read again: what rounds hand on to each other.
+
+    A checkpoint keeps the estimate of its plan's size. Joins multiply estimates, so that in a loop the number's digits
+    grow by a factor every round, and after some ten rounds planning takes longer than the work. A table's size is known.
+    """
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of `edges` (a, b: long) by large-star and small-star steps.
 
