@@ -320,7 +320,7 @@ def agglomerative(df: DataFrame, features: Sequence[str], k: int = 3, linkage: s
 
     Single linkage of one feature takes any table: its groups end at the k - 1 widest gaps between neighbouring values.
     So does average linkage: over `most` distinct rows its merges are found in rounds (but for ties, they are the same).
-    Other merging needs the distances of all pairs on the driver; over `most` distinct rows it's refused.
+    Single linkage of several features cuts the minimum spanning tree. Complete linkage needs the distances of all pairs on the driver; over `most` distinct rows it's refused.
     """
     x = doubles(features)
     df = checked(df, features)
@@ -328,8 +328,8 @@ def agglomerative(df: DataFrame, features: Sequence[str], k: int = 3, linkage: s
     if linkage == "single" and len(features) == 1:
         return _by_gaps(points, features[0], k)
     some = points.orderBy(*features).limit(most + 1).collect()
-    if len(some) > most and linkage == "average":
-        return _by_reciprocal(points, features, k)
+    if len(some) > most and linkage != "complete":
+        return (_by_reciprocal if linkage == "average" else _by_tree)(points, features, k)
     if len(some) > most:
         raise ValueError(f"{linkage} linkage of {len(features)} features compares all pairs and takes at most {most} distinct rows; raise `most` or gather the rows first")
     p, size = np.array([[r[f] for f in features] for r in some], "f8"), np.array([r["n"] for r in some], "f8")
@@ -399,6 +399,104 @@ def _by_reciprocal(points: DataFrame, features: Sequence[str], k: int) -> Model:
     return Model("agglomerative", list(features), {"centers": [[r[f"c{i}"] for i in range(d)] for r in means]}, n_samples=int(sum(r["w"] for r in means)))
 
 
+def _least_links(d: int):
+    """Of each component in `a`, the shortest link to a point of another one in `b`; of equals the one of least ids."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {c: [] for c in ("comp", "gap", "p", "q")}
+        if len(a) and len(b):
+            a, b = a.sort_values("id"), b.sort_values("id")
+            y, other, ids = matrix(b["x"], d), b["comp"].to_numpy("i8"), b["id"].to_numpy("i8")
+            best = {}
+            for low in range(0, len(a), 256):
+                some = a.iloc[low : low + 256]
+                comp = some["comp"].to_numpy("i8")
+                gap = _squares(matrix(some["x"], d), y)
+                gap[comp[:, None] == other[None]] = np.inf
+                least = gap.min(1)
+                for i in np.flatnonzero(np.isfinite(least)):
+                    at = ids[np.flatnonzero(gap[i] == least[i])]
+                    links = np.sort(np.column_stack([np.full(len(at), some["id"].iloc[i]), at]), axis=1)
+                    link = (least[i], *links[np.lexsort((links[:, 1], links[:, 0]))[0]])
+                    if comp[i] not in best or link < best[comp[i]]:
+                        best[comp[i]] = link
+            out = {"comp": list(best), "gap": [v[0] for v in best.values()], "p": [v[1] for v in best.values()], "q": [v[2] for v in best.values()]}
+        return pd.DataFrame(out).astype({"comp": "i8", "gap": "f8", "p": "i8", "q": "i8"})
+
+    return run
+
+
+def _surely_within(leaves: pd.DataFrame, d: int):
+    """For the part of a component in a box: a distance within which some box holds a point of another component."""
+    lo, hi, first, last = matrix(leaves["lo"], d), matrix(leaves["hi"], d), leaves["first"].to_numpy("i8"), leaves["last"].to_numpy("i8")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bound = []
+            for a, b, c in zip(matrix(batch["lo"], d), matrix(batch["hi"], d), batch["comp"], strict=True):
+                far = np.maximum(np.maximum(hi - a, b - lo), 0)
+                far = (far * far).sum(1)[(first != c) | (last != c)]
+                bound.append(far.min() if len(far) else np.inf)
+            yield pd.DataFrame({"comp": batch["comp"].to_numpy("i8"), "bound": np.array(bound, "f8")})
+
+    return run
+
+
+def _by_tree(points: DataFrame, features: Sequence[str], k: int, rows: int = 1024) -> Model:
+    """Single linkage of distinct points with counts `n`: its merges are the edges of the minimum spanning tree.
+
+    The tree grows by Boruvka's rounds: every component takes its shortest link to another one, which at least halves
+    them. Points lie in the blocks of a k-d split; a component's link can't be longer than the best inside its blocks, nor
+    than the way across to the nearest box that holds another component, and only blocks nearer than that meet. Links are
+    ordered by length and ids, so that equal ones close no circle; the total - k shortest edges are merged.
+    """
+    d = len(features)
+    pts = stored(points.select(F.monotonically_increasing_id().alias("id"), F.array(*features).alias("x"), "n"))
+    total = pts.count()
+    if not 1 <= k <= total:
+        raise ValueError(f"k must be from 1 to {total}")
+    tree = fit(pts, d, total, rows)
+    pts, _ = blocked(pts, tree, d, rows, "id")
+    pts = stored(pts)
+    blocks = stored(pts.groupBy("block", "leaf").agg(*corners(d)))
+    other = blocks.select("leaf", F.col("block").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    square = lambda f: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), f), F.lit(0.0), lambda s, v: s + v * v)
+    apart = square(lambda i: F.greatest(F.col("lo")[i] - F.col("hi2")[i], F.col("lo2")[i] - F.col("hi")[i], F.lit(0.0)))
+    now = pts.select("id", "x", "block", "leaf", F.col("id").alias("comp"))
+    kinds, edges, left = "comp long, gap double, p long, q long", None, total
+    fresh = lambda side: side.select(*[F.col(c).alias(c) for c in side.columns])
+
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            of, leaf = tree.within(matrix(batch["lo"], d), matrix(batch["hi"], d), np.sqrt(batch["bound"].to_numpy("f8")))
+            yield batch.iloc[of].assign(leaf=leaf.astype("i4"))[["a", "comp", "lo", "hi", "bound", "leaf"]]
+
+    while left > 1:
+        some = now.select("id", "x", "comp", "block")
+        inside = stored(fresh(some).groupBy("block").cogroup(fresh(some).groupBy("block")).applyInPandas(_least_links(d), kinds))
+        leaves = now.groupBy("leaf").agg(*corners(d), F.min("comp").alias("first"), F.max("comp").alias("last")).toPandas()  # at most 16,384
+        parts = stored(now.groupBy("block", "comp").agg(*corners(d)))
+        bound = parts.mapInPandas(_surely_within(leaves, d), "comp long, bound double").union(inside.select("comp", "gap")).groupBy("comp").agg(F.min("bound").alias("bound"))
+        asked = parts.join(bound, "comp").withColumnRenamed("block", "a").select("a", "comp", "lo", "hi", "bound")
+        met = asked.mapInPandas(reached, "a long, comp long, lo array<double>, hi array<double>, bound double, leaf int")
+        met = stored(met.join(other, "leaf").where((apart <= F.col("bound") * (1 + 1e-9)) & (F.col("a") != F.col("b"))).select("a", "comp", "b"))
+        one = some.withColumnRenamed("block", "a").join(met, ["a", "comp"]).select("id", "x", "comp", "a", "b")
+        two = some.withColumnRenamed("block", "b").join(met.select("a", "b").distinct(), "b").select("id", "x", "comp", "a", "b")
+        between = fresh(one).groupBy("a", "b").cogroup(fresh(two).groupBy("a", "b")).applyInPandas(_least_links(d), kinds)
+        links = inside.union(between).groupBy("comp").agg(F.min(F.struct("gap", "p", "q")).alias("e")).select("e.*").distinct()
+        links = stored(links)
+        edges = links if edges is None else edges.union(links)
+        found = components(edges.select(F.col("p").alias("a"), F.col("q").alias("b")))
+        now = stored(pts.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "x", "block", "leaf", F.coalesce("component", "id").alias("comp")))
+        left = now.select("comp").distinct().count()
+    named = pts.withColumn("comp", F.col("id"))
+    if edges is not None and total > k:
+        low = components(edges.orderBy("gap", "p", "q").limit(total - k).select(F.col("p").alias("a"), F.col("q").alias("b")))
+        named = pts.join(low.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    means = named.groupBy("comp").agg(*[(F.sum(F.col("x")[i] * F.col("n")) / F.sum("n")).alias(f"c{i}") for i in range(d)], F.sum("n").alias("n")).orderBy("comp").collect()
+    return Model("agglomerative", list(features), {"centers": [[r[f"c{i}"] for i in range(d)] for r in means]}, n_samples=int(sum(r["n"] for r in means)))
+
+
 def _by_gaps(points: DataFrame, feature: str, k: int) -> Model:
     """Single linkage of distinct values with counts `n`; of equal gaps the lower are merged first."""
     points = points.select(F.col(feature).alias("v"), "n").cache()

@@ -256,9 +256,14 @@ def test_single_linkage_of_any_size(spark):
     assert np.allclose([c[0] for c in m.state["centers"]], want) and m.n_samples == len(values)
     follow = stats.with_next(df.distinct(), "x").orderBy("x").collect()
     assert [(r.x, r.next) for r in follow] == list(zip(v, [*v[1:], None]))
-    for linkage, features in (("complete", ["x"]), ("single", ["x", "y"])):
+    both = df.withColumn("y", F.col("x"))
+    for features in (["x"], ["x", "y"]):
         with pytest.raises(ValueError, match="at most 300"):
-            cluster.agglomerative(df.withColumn("y", F.col("x")), features, 5, linkage, most=300)
+            cluster.agglomerative(both, features, 5, "complete", most=300)
+    # several features: the tree's groups are those of the gaps, where all features are one
+    several = cluster.agglomerative(both.where("x > 80"), ["x", "y"], 3, "single", most=100)
+    one = cluster.agglomerative(df.where("x > 80"), ["x"], 3, "single")
+    assert np.allclose(sorted(several.state["centers"]), [c * 2 for c in one.state["centers"]]) and several.n_samples == one.n_samples
 
 
 def test_directions(noisy):

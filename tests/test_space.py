@@ -167,3 +167,14 @@ def test_average_linkage_of_whole_tables(spark):
     rounds = cluster.agglomerative(df, names, 4, "average", most=5)
     greedy = cluster.agglomerative(df, names, 4, "average", most=10_000)
     assert np.allclose(sorted(rounds.state["centers"]), sorted(greedy.state["centers"])) and rounds.n_samples == greedy.n_samples == 18
+
+
+def test_single_linkage_of_whole_tables(spark):
+    """A spanning tree over several blocks, its edges cut, gives the groups of the greedy merging of all pairs."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(40, 3)) + c for c in ((0, 0, 0), (9, 1, 0), (2, 9, 4))])
+    df, names = frame(spark, np.concatenate([x, x[:3]]))
+    points = df.groupBy(*names).agg(F.count("*").alias("n"))
+    tree = cluster._by_tree(points, names, 5, rows=30)
+    greedy = cluster.agglomerative(df, names, 5, "single", most=10_000)
+    assert np.allclose(sorted(tree.state["centers"]), sorted(greedy.state["centers"])) and tree.n_samples == greedy.n_samples == 123
