@@ -256,6 +256,13 @@ def mlp_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fits(network.mlp_regressor(rows, ["x"], "y", steps=60).transform(rows), "y", 0.8)
 
 
+@query("SELECT count(*) AS n, TRUE AS fits FROM documents WHERE text IS NOT NULL")
+def mlp_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches with momentum, in parts side by side."""
+    rows = _lengths(spark, sf_dir)
+    return _fits(network.mlp_regressor(rows, ["x"], "y", rate=0.01, steps=10, batch=16).transform(rows), "y", 0.8)
+
+
 @query("""WITH d AS (SELECT c_acctbal / 1000 AS v FROM customer),
 p0(a, b, c) AS (VALUES (CAST(0 AS DOUBLE), CAST(4 AS DOUBLE), CAST(8 AS DOUBLE))),
 p1 AS (SELECT avg(v) FILTER (abs(v - a) <= least(abs(v - b), abs(v - c))) AS a, avg(v) FILTER (abs(v - b) < abs(v - a) AND abs(v - b) <= abs(v - c)) AS b, avg(v) FILTER (abs(v - c) < least(abs(v - a), abs(v - b))) AS c FROM d, p0),
