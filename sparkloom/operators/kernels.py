@@ -4,6 +4,12 @@ Equal rows fold into one whose bound on its weight is as many times C. A cascade
 in a task; the support vectors of two parts are merged and solved again, until one set is left. Then all rows are held
 against it: those that break its conditions join it, and it is solved again, until none does. What is found is so the
 solution for all rows, within `tol`, though no task ever holds more than a part and the support vectors.
+
+Support vectors grow with the rows, as every row outside the margin is one. Tables of over `most` distinct rows are so solved
+in the span of a few of their rows, where all others lie within rounding: a pivoted Cholesky factor over all rows finds
+these, and Newton steps on sums over all rows find the weights, by a loss whose corners are rounded within `tol`. Its slopes
+are the rows' weights: those between the bounds are within `tol` of the margin. Where `most` rows, or BASIS, don't span the
+others, the cascade runs.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +130,134 @@ def _breaking(kind: str, state: dict, epsilon: float, tol: float):
     return run
 
 
+#: Most rows of a basis, and what may be left of a row's kernel outside its span, as a share of the largest.
+BASIS, LEFT = 1000, 1e-9
+
+
+def _own(state: dict, x: np.ndarray) -> np.ndarray:
+    """Kernel of every row with itself."""
+    if state["kernel"] == "rbf":
+        return np.ones(len(x))
+    inner = (x * x).sum(1)
+    return inner if state["kernel"] == "linear" else (state["gamma"] * inner + state["coef0"]) ** state["degree"]
+
+
+def _pivots(state: dict, x: np.ndarray, basis: np.ndarray, left: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x, the furthest outside the span first, until all lie within it or there are `most`; and how far they were."""
+    rest = _own(state, x)
+    z = np.zeros((len(x), 0))
+    if len(basis):
+        z = _spanned(state, basis, x)
+        rest = rest - (z * z).sum(1)
+    found, far = [], []
+    while len(found) < most and (k := int(rest.argmax()), rest[k] > left)[1]:
+        found.append(k)
+        far.append(rest[k])
+        column = (gram(state, x, x[k : k + 1])[:, 0] - z @ z[k]) / np.sqrt(rest[k])
+        z = np.column_stack([z, column])
+        rest = rest - column * column
+        rest[k] = 0
+    return np.array(found, "i8"), np.array(far)
+
+
+def _spanned(state: dict, basis: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Coordinates in which the kernel of rows in the span is an inner product."""
+    return np.linalg.solve(_factor(state, basis), gram(state, basis, x)).T
+
+
+def _factor(state: dict, basis: np.ndarray) -> np.ndarray:
+    k = gram(state, basis, basis)
+    return np.linalg.cholesky(k + 1e-13 * np.diag(k).max() * np.eye(len(k)))
+
+
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    x, y, n = (batch.column(name) for name in ("x", "y", "n"))
+    return [x.flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1), y.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False).astype("f8")]
+
+
+def _basis(state: dict, rows: DataFrame, d: int, most: int) -> np.ndarray | None:
+    """Rows in whose span all rows lie, or None if they are over `most`."""
+    if state["kernel"] == "sigmoid":
+        return None  # no inner product
+    basis = np.zeros((0, d))
+    own = lambda batches: (pa.RecordBatch.from_pydict({"top": [float(_own(state, _arrays(b)[0]).max())]}) for b in batches if len(b))
+    left = LEFT * rows.mapInArrow(own, "top double").agg(F.max("top")).first()[0]
+    while True:
+
+        def outside(batches: Iterator[pa.RecordBatch], basis=basis) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    x = _arrays(batch)[0]
+                    found, far = _pivots(state, x, basis, left, 64)
+                    yield pa.RecordBatch.from_pydict({"x": pa.array(x[found].tolist(), pa.list_(pa.float64())), "far": pa.array(far, pa.float64())})
+
+        some = rows.mapInArrow(outside, "x array<double>, far double").orderBy(F.desc("far"), "x").limit(4 * BASIS).collect()
+        if not some:
+            return basis
+        x = np.array([r.x for r in some], "f8")
+        found, _ = _pivots(state, x, basis, left, most + 1 - len(basis))
+        basis = np.concatenate([basis, x[found]])
+        if len(basis) > most or not len(found):
+            return None
+
+
+def _sums(kind: str, state: dict, basis: np.ndarray, at: np.ndarray, c: float, epsilon: float, round_: float):
+    """A task's share of the loss, its gradient and its matrix of second derivatives, and of the rows with a weight."""
+    factor = _factor(state, basis)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = len(at)
+        total = np.zeros(2 + m + m * m)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y, n = _arrays(batch)
+            z = np.column_stack([np.linalg.solve(factor, gram(state, basis, x)).T, np.ones(len(x))])
+            f, held = z @ at, np.zeros(len(x), bool)
+            for sign, over in ((1, y - f - epsilon), (-1, f - y - epsilon)) if kind == "svr" else ((y, 1 - y * f),):
+                bent, up = np.abs(over) < round_, over >= round_
+                total[0] += c * n @ np.where(bent, (over + round_) ** 2 / (4 * round_), np.where(up, over, 0))
+                total[2 : 2 + m] -= z.T @ (sign * c * n * np.where(bent, (over + round_) / (2 * round_), up))
+                total[2 + m :] += (z[bent].T @ (z[bent] * (c * n[bent] / (2 * round_))[:, None])).ravel()
+                held |= bent | up
+            total[1] += held.sum()
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+    return run
+
+
+def _in_span(kind: str, state: dict, rows: DataFrame, basis: np.ndarray, c: float, epsilon: float, tol: float, steps: int = 500) -> tuple[np.ndarray, float, int]:
+    """Weights of the basis, the offset, and how many distinct rows are support vectors."""
+    m = len(basis) + 1
+    ridge = np.append(np.ones(m - 1), 0.0)
+
+    def measured(at: np.ndarray, round_: float) -> tuple[float, int, np.ndarray, np.ndarray]:
+        sums = rows.mapInArrow(_sums(kind, state, basis, at, c, epsilon, round_), "sums binary").rdd.map(lambda r: np.frombuffer(bytes(r.sums))).treeReduce(np.add)
+        return sums[0] + ridge @ (at * at) / 2, int(sums[1]), sums[2 : 2 + m] + ridge * at, sums[2 + m :].reshape(m, m) + np.diag(ridge)
+
+    low, high, middle = rows.agg(F.min("y"), F.max("y"), F.sum(F.col("y") * F.col("n")) / F.sum("n")).first()
+    at, round_ = np.append(np.zeros(m - 1), middle), max((high - low) / 2, tol)
+    value, held, slope, bend = measured(at, round_)
+    for _ in range(steps):
+        move = -np.linalg.solve(bend + 1e-12 * np.trace(bend) / m * np.eye(m), slope)
+        if -(slope @ move) <= 1e-9 * max(value, 1e-300):
+            if round_ <= tol:
+                inverse = np.linalg.inv(_factor(state, basis))
+                return inverse.T @ at[:-1], float(at[-1]), held
+            round_ = max(round_ / 4, tol)
+            value, held, slope, bend = measured(at, round_)
+            continue
+        share = 1.0
+        while True:
+            new = measured(at + share * move, round_)
+            if new[0] <= value + 1e-4 * share * (slope @ move) or share < 1e-6:
+                break
+            share /= 2
+        at = at + share * move
+        value, held, slope, bend = new
+    raise RuntimeError(f"no optimum after {steps} steps")
+
+
 def _train(kind: str, df: DataFrame, features: Sequence[str], label: str, kernel: str, c: float, epsilon: float, gamma: float, degree: int, coef0: float, tol: float, part: int, most: int, rounds: int) -> Model:
     if kernel not in KERNELS:
         raise ValueError(f"kernel must be one of {', '.join(KERNELS)}")
@@ -141,6 +276,10 @@ def _train(kind: str, df: DataFrame, features: Sequence[str], label: str, kernel
     if not points:
         raise ValueError("no rows to train on")
     parts = max(1, -(-points // part))
+    if points > most and (basis := _basis(state, rows, d, min(most, BASIS))) is not None:
+        weights, bias, held = _in_span(kind, state, rows, basis, c, epsilon, tol)
+        state |= {"support": basis.tolist(), "targets": [0.0] * len(basis), "weights": weights.tolist(), "bias": bias}
+        return _told(kind, df, features, label, y, state, held, parts)
     step = _solved(kind, state, c, epsilon, tol, most)
     held = rows.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)))
     while True:
@@ -158,7 +297,11 @@ def _train(kind: str, df: DataFrame, features: Sequence[str], label: str, kernel
         held = cut(held.select("x", "y", "n").union(worst.select("x", "y", "n")).withColumn("part", F.lit(0).cast("long")).groupBy("part").applyInPandas(step, KINDS))
     else:
         raise RuntimeError(f"rows still break the conditions after {rounds} rounds")
-    model = Model(f"kernel_{kind}", list(features), state, extra={"n_support": int(sum(w != 0 for w in state["weights"])), "rho": -state["bias"], "parts": max(1, -(-points // part))})
+    return _told(kind, df, features, label, y, state, int(sum(w != 0 for w in state["weights"])), max(1, -(-points // part)))
+
+
+def _told(kind: str, df: DataFrame, features: Sequence[str], label: str, y: Column, state: dict, n_support: int, parts: int) -> Model:
+    model = Model(f"kernel_{kind}", list(features), state, extra={"n_support": n_support, "rho": -state["bias"], "parts": parts})
     truth = checked(df, features, label)
     p = model.column()
     r = truth.agg(F.count(F.lit(1)), F.avg((y - p) * (y - p)), F.var_pop(y)).first()

@@ -114,3 +114,19 @@ def test_rules_from_sql(spark):
     assert len(got) > 10 and sorted(map(key, got)) == sorted(map(key, mining.association_rules(df, "tid", "items", 0.2, 0.5).collect()))
     apart = spark.sql("SELECT * FROM ml_assoc_rules(TABLE(baskets) PARTITION BY g, items => 'items', min_support => 0.3, min_confidence => 0.6)").collect()
     assert sorted(map(key, apart)) == sorted(key(r) for g in "ab" for r in mining.association_rules(df.where(F.col("g") == g), "tid", "items", 0.3, 0.6).collect())
+
+
+def test_kernels_of_more_support_vectors_than_a_task_may_hold(spark):
+    """Half of the rows are support vectors, over `most`: the optimum in the span of a few rows is that of the cascade."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.uniform(-3, 3, 600), 3)
+    y = np.round(np.sin(x) + rng.normal(0, 0.3, 600), 3)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double").repartition(3)
+    m, whole = (kernels.svr(df, ["x"], "y", gamma=1.0, most=most, part=200) for most in (100, 5000))
+    at = np.linspace(-3, 3, 50)[:, None]
+    assert np.abs(kernels.decision(m.state, at) - kernels.decision(whole.state, at)).max() < 0.01
+    assert abs(m.extra["n_support"] - whole.extra["n_support"]) < 10 and len(m.state["support"]) < 100 < m.extra["n_support"]
+    two = df.withColumn("y", (F.col("y") > 0.2).cast("double"))
+    m, whole = (kernels.svm(two, ["x"], "y", gamma=1.0, most=most, part=200) for most in (100, 5000))
+    assert np.abs(kernels.decision(m.state, at) - kernels.decision(whole.state, at)).max() < 0.02
+    assert m.extra["accuracy"] == pytest.approx(whole.extra["accuracy"], abs=0.01)
