@@ -178,3 +178,10 @@ def test_single_linkage_of_whole_tables(spark):
     tree = cluster._by_tree(points, names, 5, rows=30)
     greedy = cluster.agglomerative(df, names, 5, "single", most=10_000)
     assert np.allclose(sorted(tree.state["centers"]), sorted(greedy.state["centers"])) and tree.n_samples == greedy.n_samples == 123
+
+
+def test_layout_rounds_do_not_multiply_estimates(spark):
+    """A round hands on a table: its plan's estimate of size doesn't grow, by which the twentieth round was never planned."""
+    df, names = frame(spark, np.random.default_rng(5).normal(size=(40, 2)))
+    size = [str(tsne.tsne(df, names, "id", perplexity=5, rounds=k, early=1)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for k in (1, 3)]
+    assert len(size[1]) <= len(size[0]) + 1
