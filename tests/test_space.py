@@ -185,3 +185,21 @@ def test_layout_rounds_do_not_multiply_estimates(spark):
     df, names = frame(spark, np.random.default_rng(5).normal(size=(40, 2)))
     size = [str(tsne.tsne(df, names, "id", perplexity=5, rounds=k, early=1)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for k in (1, 3)]
     assert len(size[1]) <= len(size[0]) + 1
+
+
+def test_neighbours_where_boxes_skip_nothing(spark):
+    """Groups of both sides meet in bounded numbers, by products: the same rows, ties and copies as by differences."""
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(700, 12)) + 1e3, 1)
+    x[:90], x[90:150] = x[0], x[90:150].round()
+    df, names = frame(spark, x)
+    counted, got = {}, {}
+    for r in neighbors.nearest(df, df, names, 4, "id", "id", skip_self=True, block=20, counted=counted, sent=0).collect():
+        got.setdefault(r.qid, {})[r.rank] = r.tid
+    dist = np.zeros((700, 700))
+    for c in range(12):
+        dist += (x[:, c, None] - x[None, :, c]) ** 2
+    dist = np.sqrt(dist)
+    np.fill_diagonal(dist, np.inf)
+    want = np.argsort(dist, axis=1, kind="stable")[:, :4]
+    assert [[got[i][k] for k in range(1, 5)] for i in range(700)] == want.tolist()
