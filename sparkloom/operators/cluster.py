@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..frame import checked, doubles, first_least, squared_distance
 from ..model import Model, scorer
 from ..plans.graph import components, cut, stored
-from ..plans.space import blocked, corners, fit, matrix
+from ..plans.space import blocked, corners, fit, matrix, stacked
 from ..stats import with_next
 from .neighbors import nearest
 
@@ -192,12 +192,43 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _within(x: np.ndarray, y: np.ndarray, eps: float, step: int = 256) -> Iterator[tuple[slice, np.ndarray]]:
+    """For some rows of x at a time, which rows of y lie within eps: by matrix products, and by differences where these leave a doubt."""
+    d = x.shape[1]
+    with np.errstate(invalid="ignore", over="ignore"):
+        a, b = x - y.mean(0), y - y.mean(0)
+        top = np.sqrt(max((a * a).sum(1).max(initial=0), (b * b).sum(1).max(initial=0))) or 1.0
+    finite = bool(np.isfinite(top))
+    if finite:
+        reach = min((eps / top) ** 2, 8.0)
+        kind = "f4" if 16 * (d + 4) * np.finfo("f4").eps < 0.02 * reach else "f8"
+        slack = 16 * (d + 4) * float(np.finfo(kind).eps)  # of squares at most 4
+        a, b = a / top, b / top
+        square = (a * a).sum(1)[:, None]
+        a, b = np.column_stack([-2 * a, np.ones(len(a))]).astype(kind), np.column_stack([b, (b * b).sum(1)]).astype(kind).T.copy()
+    for low in range(0, len(x), step):
+        some = slice(low, low + step)
+        if not finite:
+            yield some, _squares(x[some], y) <= eps * eps
+            continue
+        product = a[some] @ b
+        near = product <= (reach + slack - square[some]).astype(kind)
+        row, col = np.nonzero(near & (product > (reach - slack - square[some]).astype(kind)))
+        for k in range(0, len(row), 100_000):
+            r, c = row[k : k + 100_000], col[k : k + 100_000]
+            total = np.zeros(len(r))
+            for j in range(d):
+                total += (x[some][r, j] - y[c, j]) ** 2
+            near[r, c] = total <= eps * eps
+        yield some, near
+
+
 def _near_counts(d: int, eps: float):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"p": pd.Series([], dtype="i8"), "m": pd.Series([], dtype="i8")})
-        y, n = matrix(b["x"], d), b["n"].to_numpy("i8")
-        m = [(_squares(matrix(a["x"].iloc[k : k + 256], d), y) <= eps * eps) @ n for k in range(0, len(a), 256)]
+        n = b["n"].to_numpy("i8")
+        m = [near @ n for _, near in _within(stacked(a["x"], d), stacked(b["x"], d), eps)]
         return pd.DataFrame({"p": a["p"].to_numpy("i8"), "m": np.concatenate(m)})
 
     return run
@@ -209,7 +240,7 @@ def _near_links(d: int, eps: float):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": pd.Series([], dtype="i8"), "b": pd.Series([], dtype="i8")})
-        near = np.concatenate([_squares(matrix(a["x"].iloc[k : k + 256], d), matrix(b["x"], d)) <= eps * eps for k in range(0, len(a), 256)])
+        near = np.concatenate([near for _, near in _within(stacked(a["x"], d), stacked(b["x"], d), eps)])
         nodes, of = np.unique(np.concatenate([a["node"].to_numpy("i8"), b["node"].to_numpy("i8")]), return_inverse=True)
         left, right = of[: len(a)], of[len(a) :]
         name = np.arange(len(nodes))
@@ -232,21 +263,116 @@ def _near_cores(d: int, eps: float):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"p": pd.Series([], dtype="i8"), "cluster": pd.Series([], dtype="i8")})
-        near = np.concatenate([_squares(matrix(a["x"].iloc[k : k + 256], d), matrix(b["x"], d)) <= eps * eps for k in range(0, len(a), 256)])
-        least = np.where(near, b["cluster"].to_numpy("i8")[None], np.iinfo("i8").max).min(1)
-        return pd.DataFrame({"p": a["p"].to_numpy("i8"), "cluster": least})[near.any(1)]
+        cluster, none = b["cluster"].to_numpy("i8"), np.iinfo("i8").max
+        least = np.concatenate([np.where(near, cluster[None], none).min(1) for _, near in _within(stacked(a["x"], d), stacked(b["x"], d), eps)])
+        return pd.DataFrame({"p": a["p"].to_numpy("i8"), "cluster": least})[least < none]
+
+    return run
+
+
+#: Rows of a group where large groups meet, fewest groups, rows of a group that only counts within itself, and hubs.
+GROUP, GROUPS, OWN, HUBS = 50_000, 8, 4096, 1024
+
+
+def _met(small: DataFrame, large: DataFrame, run, schema: str) -> DataFrame:
+    """`run` on all pairs of groups of two tables of points, dealt by p."""
+    a, b = max(1, -(-small.count() // GROUP)), max(GROUPS, -(-large.count() // GROUP))
+    deal = lambda n: F.pmod(F.xxhash64("p"), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    small = small.select("*", deal(a).alias("a"), copies(b).alias("b"))
+    large = large.select(*[F.col(c).alias(c) for c in large.columns], copies(a).alias("a"), deal(b).alias("b"))
+    return small.groupBy("a", "b").cogroup(large.groupBy("a", "b")).applyInPandas(run, schema)
+
+
+def _own_counts(d: int, eps: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x, n = stacked(group["x"], d), group["n"].to_numpy("i8")
+        return group.assign(m=np.concatenate([near @ n for _, near in _within(x, x, eps)]))[["p", "x", "n", "m"]]
 
     return run
 
 
-def dbscan(df: DataFrame, features: Sequence[str], row_id: str, eps: float = 0.5, min_points: int = 5, rows: int = 1024) -> DataFrame:
+def _hub_links(d: int, eps: float, hubs: np.ndarray, names: np.ndarray):
+    """A link of every core point to its first hub, and links of the hubs that a core point connects."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        beside = np.zeros((len(hubs), len(hubs)), bool)
+        for batch in batches:
+            if not len(batch):
+                continue
+            p = batch["p"].to_numpy("i8")
+            for some, near in _within(stacked(batch["x"], d), hubs, eps):
+                row = np.flatnonzero(near.any(1))
+                first = near[row].argmax(1)
+                yield pd.DataFrame({"a": names[first], "b": p[some][row]})
+                order = np.argsort(first, kind="stable")
+                if len(order):
+                    which, at = np.unique(first[order], return_index=True)
+                    beside[which] |= np.logical_or.reduceat(near[row[order]], at, axis=0)
+        i, j = np.nonzero(beside)
+        yield pd.DataFrame({"a": names[i[i != j]], "b": names[j[i != j]]})
+
+    return run
+
+
+def _node_links(d: int, eps: float):
+    """Different nodes of which points are near each other."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros((0, 2), "i8")]
+        if len(a) and len(b):
+            left, right = a["node"].to_numpy("i8"), b["node"].to_numpy("i8")
+            names, of = np.unique(right, return_inverse=True)
+            for some, near in _within(stacked(a["x"], d), stacked(b["x"], d), eps):
+                row, col = np.nonzero(near)
+                pairs = np.unique(row * len(names) + of[col])
+                pairs = np.column_stack([left[some][pairs // len(names)], names[pairs % len(names)]])
+                found.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+        found = np.concatenate(found)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return run
+
+
+def _by_hubs(points: DataFrame, d: int, eps: float, min_points: int) -> tuple[DataFrame, DataFrame]:
+    """Clusters of the points (p, x, n) where boxes skip little: core points (p, cluster), and border points.
+
+    A point that has enough neighbours in its own group of OWN rows is a core point; only others are counted against all.
+    Core points near a common hub, one of HUBS of them, are connected; only those that the largest group so made doesn't
+    hold are compared with all core points, as are the border points. In dense tables these are few; at worst, all pairs
+    of groups of GROUP rows are compared, by matrix products.
+    """
+    own = F.pmod(F.xxhash64("p"), F.lit(-(-points.count() // OWN)))
+    counted = stored(points.select("p", "x", "n", own.alias("g")).groupBy("g").applyInPandas(_own_counts(d, eps), "p long, x array<double>, n long, m long"))
+    doubt = counted.where(F.col("m") < min_points).select("p", "x")
+    exact = _met(doubt, counted.select("p", "x", "n"), _near_counts(d, eps), "p long, m long").groupBy("p").agg(F.sum("m").alias("m"))
+    more = stored(exact.where(F.col("m") >= min_points).select("p", F.lit(True).alias("also")))
+    counted = stored(counted.join(more, "p", "left").select("p", "x", ((F.col("m") >= min_points) | F.col("also").isNotNull()).alias("core")))
+    core = counted.where("core").select("p", "x")
+    some = core.orderBy(F.xxhash64("p"), "p").limit(HUBS).collect()
+    if some:
+        links = core.mapInPandas(_hub_links(d, eps, np.array([r.x for r in some], "f8"), np.array([r.p for r in some], "i8")), "a long, b long")
+        found = components(links.where("a <> b").distinct())
+        core = stored(core.join(found.withColumnRenamed("node", "p"), "p", "left").select("p", "x", F.coalesce("component", "p").alias("node")))
+        largest = core.groupBy("node").count().orderBy(F.desc("count"), "node").first()[0]
+        links = _met(core.where(F.col("node") != largest), core, _node_links(d, eps), "a long, b long")
+        found = components(links.distinct())
+        core = stored(core.join(found, "node", "left").select("p", "x", F.coalesce("component", "node").alias("cluster")))
+    else:
+        core = core.withColumn("cluster", F.col("p"))
+    border = _met(counted.where("not core").select("p", "x"), core, _near_cores(d, eps), "p long, cluster long")
+    return core.select("p", "cluster"), border.groupBy("p").agg(F.min("cluster").alias("cluster"))
+
+
+def dbscan(df: DataFrame, features: Sequence[str], row_id: str, eps: float = 0.5, min_points: int = 5, rows: int = 1024, sent: int = 500_000) -> DataFrame:
     """row_id, cluster (its smallest core row's id, or null for noise), core; of any number of features.
 
     Equal points fold into one with a count. A k-d split deals the points into blocks of about `rows`, each with its box.
     Pairs of blocks whose boxes lie further than eps apart never meet. In pairs whose boxes lie within eps as a whole all
     points are neighbours, and neither counting nor linking looks at points: dense regions cost a row per pair of blocks.
     Other pairs are compared in a task that holds two blocks; to count, only where that decides anything. A point counts
-    among its own neighbours. Border points join their smallest cluster.
+    among its own neighbours. Border points join their smallest cluster. Where such pairs would be over an eighth of all and
+    send over `sent` points, hubs connect the points instead.
     """
     x, d = doubles(features), len(features)
     given = checked(df, features, row_id).select(F.col(row_id).cast("long").alias("id"), F.array(*x).alias("x"))
@@ -261,6 +387,12 @@ def dbscan(df: DataFrame, features: Sequence[str], row_id: str, eps: float = 0.5
     apart = square(lambda k: F.greatest(F.col("lo")[k] - F.col("hi2")[k], F.col("lo2")[k] - F.col("hi")[k], F.lit(0.0)))
     across = square(lambda k: F.greatest(F.col("hi")[k] - F.col("lo2")[k], F.col("hi2")[k] - F.col("lo")[k]))
     pairs = cut(meet.join(other, "leaf").where(apart <= eps * eps * (1 + 1e-9)).select("a", "b", (across <= eps * eps * (1 - 1e-12)).alias("full")))
+    partial, many = pairs.where("not full").count(), blocks.count()
+    if partial > many * many / 8 and partial * rows > sent:
+        core, border = _by_hubs(points.select("p", "x", "n"), d, eps, min_points)
+        placed = core.withColumn("core", F.lit(True)).union(border.withColumn("core", F.lit(False)))
+        out = given.join(points.select("x", "p"), "x").join(placed, "p", "left")
+        return out.select(F.col("id").alias(row_id), "cluster", F.coalesce("core", F.lit(False)).alias("core"))
     # counting
     sure = pairs.where("full").join(blocks.select(F.col("block").alias("b"), "weight"), "b").groupBy(F.col("a").alias("block")).agg(F.sum("weight").alias("sure"))
     points = cut(points.join(sure, "block", "left").withColumn("sure", F.coalesce("sure", F.lit(0).cast("long"))))

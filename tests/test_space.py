@@ -203,3 +203,26 @@ def test_neighbours_where_boxes_skip_nothing(spark):
     np.fill_diagonal(dist, np.inf)
     want = np.argsort(dist, axis=1, kind="stable")[:, :4]
     assert [[got[i][k] for k in range(1, 5)] for i in range(700)] == want.tolist()
+
+
+def test_dbscan_where_boxes_skip_nothing(spark, monkeypatch):
+    """Hubs connect most core points; what they leave, counts in doubt and border points are compared with all."""
+    for name, value in (("GROUP", 90), ("GROUPS", 2), ("OWN", 60), ("HUBS", 4)):
+        monkeypatch.setattr(cluster, name, value)
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(300, 6)), 1)
+    x[:40], x[200:] = x[0], x[200:] + 5
+    df, names = frame(spark, x)
+    want = brute_dbscan(x, 1.3, 4)
+    assert len({c for c, _ in want.values()}) > 3 and any(c is not None and not core for c, core in want.values())
+    got = {r.id: (r.cluster, r.core) for r in cluster.dbscan(df, names, "id", 1.3, 4, 20, sent=0).collect()}
+    assert got == want
+
+
+def test_nearness_by_products_is_that_by_differences():
+    rng = np.random.default_rng(13)
+    for d, shift in itertools.product((1, 3, 64), (0, 1e3, 1e9)):
+        x = np.round(rng.normal(size=(300, d)), 1) + shift
+        for eps in (0.1, 0.5, d**0.5, 1e9):
+            got = np.concatenate([near for _, near in cluster._within(x, x[::2], eps)])
+            assert (got == (cluster._squares(x, x[::2]) <= eps * eps)).all()
