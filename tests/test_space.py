@@ -226,3 +226,14 @@ def test_nearness_by_products_is_that_by_differences():
         for eps in (0.1, 0.5, d**0.5, 1e9):
             got = np.concatenate([near for _, near in cluster._within(x, x[::2], eps)])
             assert (got == (cluster._squares(x, x[::2]) <= eps * eps)).all()
+
+
+def test_dense_regions_compare_no_points(spark, monkeypatch):
+    """As above: nearness by products isn't asked for either."""
+
+    def refuse(*_):
+        raise AssertionError("points were compared")
+
+    monkeypatch.setattr(cluster, "_within", refuse)
+    df, names = frame(spark, np.random.default_rng(5).uniform(0, 0.1, (400, 3)))
+    assert {(r.cluster, r.core) for r in cluster.dbscan(df, names, "id", 1.0, 5, 20).collect()} == {(0, True)}
