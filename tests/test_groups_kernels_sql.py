@@ -1,5 +1,8 @@
 """Models per group, exact kernels, and the SQL functions."""
 
+import datetime
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +106,35 @@ def test_sql_functions(spark):
             spark.sql(bad).collect()
 
 
+def test_sums_and_scores_in_batches(spark):
+    """Whole tables meet Python in Arrow batches, with the results of the row-by-row function."""
+    sql.register(spark)
+    rng = np.random.default_rng(5)
+    rows = [(f"é{k}" if k % 7 else None, datetime.datetime(2024, 3, 31, 1, k % 60, tzinfo=datetime.timezone.utc), [k, None], None if k % 11 == 3 else float(rng.normal()), None if k % 13 == 5 else k % 17, Decimal(k) / 100, float(k)) for k in range(500)]
+    df = spark.createDataFrame(rows, "s string, t timestamp, a array<long>, x double, m long, d decimal(12,2), y double").repartition(3)
+    df.createOrReplaceTempView("batched")
+    sums = spark.sql("SELECT * FROM ml_moments(TABLE(batched), label => 'y', features => 'x, m, d')")
+    assert "ArrowEvalPythonUDTF" in (plan := sums._jdf.queryExecution().toString()) and "BatchEvalPythonUDTF" not in plan
+    assert sum(r.n for r in sums.collect()) == sum(r[3] is not None and r[4] is not None for r in rows)
+    whole = linear.linear(df, ["x", "m", "d"], "y", 2.0)
+    for model in (whole, Model("logistic_regression", ["m", "d", "x"], {"coefficients": [0.5, -0.25, 400.0], "intercept": 0.1})):
+        sql.publish_table(spark, "of_batch", model, df.schema)
+        fast = spark.sql("SELECT * FROM of_batch(TABLE(batched))")
+        slow = spark.sql(f"SELECT * FROM ml_predict(TABLE(batched), model => '{model.to_json()}')")
+        assert fast.schema == slow.schema and "BatchEvalPythonUDTF" not in fast._jdf.queryExecution().toString()
+        got, want = ({r.y: r for r in f.collect()} for f in (fast, slow))
+        assert len(got) == len(rows) and all(got[y][:-1] == r[:-1] for y, r in want.items())
+        assert all((got[y].prediction is None) == (r.prediction is None) == (r.x is None or r.m is None) for y, r in want.items())
+        assert np.allclose(*[[f[y].prediction for y in sorted(f) if f[y].prediction is not None] for f in (got, want)], rtol=1e-12, atol=0)  # exp of -500 carries 500 roundings
+    assert spark.sql("SELECT * FROM of_batch(TABLE(SELECT * FROM batched WHERE y < 0))").isEmpty()
+    assert spark.sql("SELECT * FROM ml_fit(TABLE(SELECT * FROM ml_moments(TABLE(SELECT * FROM batched WHERE y < 0), label => 'y', features => 'x')) WITH SINGLE PARTITION)").isEmpty()
+    for bad, says in (("ml_moments(TABLE(batched), label => 's', features => 'x')", "s is not a number"), ("ml_moments(TABLE(batched), label => 'y', features => 'z')", "no such column: z"), ("of_batch(TABLE(SELECT y, x FROM batched))", "must be a TABLE of s, t")):
+        with pytest.raises(Exception, match=says):
+            spark.sql(f"SELECT * FROM {bad}").collect()
+    with pytest.raises(ValueError, match="no such column: x"):
+        sql.publish_table(spark, "of_batch", whole, df.drop("x").schema)
+
+
 def test_rules_from_sql(spark):
     sql.register(spark)
     rng = np.random.default_rng(4)
